@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mix, shard, simhash, topk, warc, winnow
+from . import langid, mix, quality, shard, simhash, sptok, topk, toxicity, warc, winnow
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sptok.digests(_read(spark, folder, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
+def op3_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
 def op4_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix.mix_words(_read(spark, folder, "documents"))
 
@@ -38,7 +50,11 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_source_mix, op5_winnowing, op6_exact_top_k, op7_warc_archive, op8_lpt_shards, op9_simhash)}
+def op10_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.predict(_read(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_line_quality, op4_source_mix, op5_winnowing, op6_exact_top_k, op7_warc_archive, op8_lpt_shards, op9_simhash, op10_language_mixture)}
 
 _MIX_SQL = """
 with recursive docs as (
