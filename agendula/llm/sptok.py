@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import Batches
 
@@ -218,7 +219,7 @@ def _with_ids(batches: Batches, data) -> Batches:
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` with token_ids (array of int)."""
     data = docs.sparkSession.sparkContext.broadcast(read_model(path))
-    schema = docs.drop("token_ids").schema.add("token_ids", "array<int>")
+    schema = docs.drop("token_ids").schema.add("token_ids", ArrayType(IntegerType()))
     return docs.drop("token_ids").mapInArrow(partial(_with_ids, data=data), schema)
 
 
