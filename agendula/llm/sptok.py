@@ -109,7 +109,7 @@ class SentencePiece:
             raise ValueError(f"model type {spec['type']} is neither unigram nor BPE")
         steps = [normalizers.Precompiled(spec["charsmap"])] if spec["charsmap"] else []
         if spec["squeeze"]:
-            steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
+            steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
         self.normaliser = normalizers.Sequence(steps) if steps else None
         self.backend = Tokenizer(model)
         own = [AddedToken(p, normalized=False) for p, _, kind in pieces if kind == USER]
