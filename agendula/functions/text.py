@@ -352,3 +352,8 @@ def split_location(location: Column) -> tuple[Column, Column, Column]:
     has = part(2) != ""
     city = trimmed(F.split(part(3), r"[,\n]")[0])
     return F.when(has, trimmed(part(1))).otherwise(F.nullif(F.trim(location), F.lit(""))), F.when(has, city), F.when(has, part(2))
+
+
+def visible_note(c: Column) -> Column:
+    """Text of a description without markup."""
+    return F.nullif(F.trim(F.regexp_replace(unescape(F.regexp_replace(_or_empty(c), "<[^>]+>", " ")), r"\s+", " ")), F.lit(""))
