@@ -17,7 +17,7 @@ from ..functions import text as T
 #: Elements without content, elements whose text is not shown, and the elements that can be a card.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HIDDEN = {"script", "style", "template", "noscript"}
-CARDS = {"article", "li", "tr", "section", "div", "a"}
+CARDS = {"article", "li", "tr", "section", "div"}
 CARD_TEXT = 4000
 
 ELEMENTS = "doc long, pos int, depth int, parent int, card int, tag string, id string, class string, href string, datetime string, text string"
@@ -68,7 +68,7 @@ def parse(html: str | None) -> list[dict]:
     tree.feed(html or "")
     tree.close()
     for r in tree.rows:
-        r["text"] = " ".join("".join(r["text"]).split())
+        r["text"] = " ".join(" ".join(r["text"]).split())
     for i, r in enumerate(tree.rows):
         r["pos"], r["card"] = i, _card(tree.rows, i)
     return tree.rows
