@@ -2,8 +2,10 @@
 
 The rolling hash of every ``k`` code points is taken, and of every window of ``w`` neighbouring hashes the smallest, the
 rightmost of equals; each chosen hash is kept once with its position. Two texts that share a passage of ``w + k - 1`` code
-points or more share a chosen hash, wherever the passage stands. A text with fewer than ``k`` points is one hash of the
-whole; one with fewer than ``w`` hashes is one window; the empty text has the empty fingerprint.
+points or more share a chosen hash, wherever the passage stands. A text of fewer than ``LEAST * w`` hashes has windows of a
+``LEAST``-th of them instead, so that its likeness does not hang on a few hashes: what a window chooses, the smaller windows
+inside it choose too, so the guarantee holds between texts of any lengths. A text with fewer than ``k`` points is one hash of
+the whole; the empty text has the empty fingerprint.
 
 The fingerprint is written as ``hash@step`` parts joined by ',': the hash in 8 hex digits, then the distance from the position
 before. Likeness of two fingerprints is the share of distinct hashes they have in common (Jaccard); two empty ones are alike
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Batches, cut, utf8
 
-K, W = 32, 64
+K, W, LEAST = 16, 64, 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -71,7 +73,7 @@ def winnow(text: str, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
         h = _grams(points, min(k, len(points)))
     # A smaller key is a smaller hash, or among equals one further right.
     key = (h.astype(np.uint64) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - np.arange(len(h), dtype=np.uint64))
-    w = min(w, len(h))
+    w = max(1, min(w, len(h) // LEAST))
     size, low = 1, key
     while size * 2 <= w:
         low = np.minimum(low[:-size], low[size:])

@@ -120,7 +120,7 @@ def _plain_winnow(text, k, w):
         return []
     k = min(k, len(p))
     grams = [winnow._grams(np.array(p[i : i + k], np.uint32), k)[0] for i in range(len(p) - k + 1)]
-    w = min(w, len(grams))
+    w = max(1, min(w, len(grams) // winnow.LEAST))
     chosen = {max((i for i in range(s, s + w) if grams[i] == min(grams[s : s + w]))) for s in range(len(grams) - w + 1)}
     return [(int(grams[i]), i) for i in sorted(chosen)]
 
