@@ -110,3 +110,20 @@ NEAR_DAYS, LD_DAYS, LD_ROWS = 42, 60, 150
 PAGE_DAYS, PAGE_MIN, PAGE_ROWS, PAGE_LD_ROWS = 90, 5, 250, 100
 DIGEST_DAYS, DIGEST_ROWS, DIGEST_LIMIT = 60, 24, 200
 RRULE_DAYS, NOTE_CHARS, TIME_ZONE = 120, 150, "Europe/Paris"
+
+# --- lines of listing cards
+SALE_KINDS = {
+    "brocante": "Brocante", "vide-grenier": "Vide-grenier", "vide-greniers": "Vide-grenier", "braderie": "Braderie", "bourse de collection": "Bourse de collection",
+    "vide-dressing": "Vide-dressing", "vide-maison": "Vide-maison", "marche de noel": "Marché de Noël",
+}
+SALE_SIZES = ["small", "medium-sized", "large", "very large"]
+VENUE_COMMUNES = {"maison departementale de l'environnement": "Nice", "dome": "Nice", "espace laure ecard": "Nice"}
+
+# --- flyers: categories by pattern, the first that matches; month abbreviations beyond those above
+FLYER_PATTERNS = [
+    (r"concert|dj\b|jazz|live|techno|house|electro|rock|rap|hip.?hop|club\b|soiree|apero.?club", "concert"), (r"expo|exposition|vernissage|galerie", "expo"), (r"theatre|spectacle|opera|ballet|humour|one.?man|cirque|impro", "scene"),
+    (r"tango|milonga|salsa|bachata|kizomba|danse|dance|\bbal\b|swing|lindy", "danse"), (r"brocante|vide.?grenier|braderie|bourse", "brocante"), (r"atelier|workshop|\bstage\b|masterclass|initiation", "atelier"),
+    (r"conference|meetup|networking|startup|business|pitch|forum", "business"), (r"marche\b|\bfete\b|foire|festin|carnaval|kermesse", "marche"), (r"visite|balade|parcours|patrimoine", "visite"),
+    (r"yoga|course|trail|rando|match|tournoi|petanque|marathon", "sport"), (r"apero|rencontre|expat|quiz|jeux|blind.?test", "social"),
+]
+FLYER_MONTHS = {"janv": 1, "fev": 2, "fevr": 2, "avr": 4, "jui": 6, "juil": 7, "aou": 8, "sept": 9}

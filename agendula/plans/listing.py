@@ -173,3 +173,17 @@ def source_report(events: DataFrame, runs: DataFrame, registry: list[str]) -> Da
 def stats(events: DataFrame, as_of: dt.date) -> DataFrame:
     """Live approved rows, their towns, and what is pending."""
     return events.agg(F.count_if(live(F.lit(as_of)) & F.col("approved")).alias("live"), F.count_distinct(F.when(live(F.lit(as_of)) & F.col("approved"), F.col("town"))).alias("towns"), F.count_if(~F.col("approved")).alias("pending"))
+
+
+def resolve_share(events: DataFrame, shared: DataFrame) -> DataFrame:
+    """Shared ids (id) with the fingerprint they name: their own, else that of their slug."""
+    own = events.select(F.col("fingerprint").alias("id"), F.col("fingerprint").alias("__own"))
+    slug = events.select(F.col("slug").alias("id"), F.col("fingerprint").alias("__slug"))
+    return shared.join(own, "id", "left").join(slug, "id", "left").select("id", F.coalesce("__own", "__slug").alias("fingerprint"))
+
+
+def town_rows(texts: DataFrame, town: str = "town") -> DataFrame:
+    """Rows that name no town get the one their location's text names."""
+    from ..functions.cards import town_in_text
+
+    return texts.withColumn(town, F.coalesce(F.nullif(F.col(town), F.lit("")), town_in_text(F.col("location"))))

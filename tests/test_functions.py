@@ -104,3 +104,22 @@ def test_calendar_times(spark):
     sat = lambda c: D.weekend(c.cast("date"))[0]
     assert ask(spark, sat, ["2026-07-18", "2026-07-19", "2026-07-20"]) == [dt.date(2026, 7, 18), dt.date(2026, 7, 25), dt.date(2026, 7, 25)]
     assert ask(spark, lambda c: D.nth_weekday(c.cast("date"), "TH", -1), ["2026-07-01"]) == [dt.date(2026, 7, 30)]
+
+
+def test_cards(spark):
+    from agendula.functions import cards as C
+
+    assert ask(spark, C.town_in_text, ["12ter Place Garibaldi 06 NICE", "st-jean-cap-ferrat plage, Nice", "Venice Beach", "", None]) == ["Nice", "Saint-Jean-Cap-Ferrat", None, None, None]
+    assert ask(spark, lambda c: C.commune_of_place(c, "06"), ["Vence - Salle", "Le DOME, parc", "", "Gourdon"]) == ["Vence", "Nice", "06", "Gourdon"]
+    assert ask(spark, C.genre_category, ["Concert pop", "Hip-hop", "Drame", None]) == ["concert", "danse", "scene", "scene"]
+    card = C.sale_card(F.col("v"))
+    assert ask(spark, lambda c: F.struct(*card.values()), ["Sale ~80 stands 06300 - Vide-greniers - Place X", "•• 06300 - Marché de Noël", '06300 - brocante - {"@type"}']) == [("06300", "Place X", "Vide-grenier · ~80 exhibitors"), ("06300", None, "Marché de Noël · medium-sized market"), ("06300", None, "Brocante")]
+    assert ask(spark, lambda c: C.without_town(c, F.lit("Consegudes")), ["Conségudes - Brocante", "Brocante", "Conségudes"]) == ["Brocante", "Brocante", "Conségudes"]
+    venue = lambda s, p, t: lambda c: C.venue_of_address(c, F.lit(s), F.lit(p), F.lit(t))
+    assert ask(spark, venue("5 rue X", "06000", "Nice"), ["Le 109 5 rue X 06000 Nice", "5 rue X 06000 Nice"]) == ["Le 109", "5 rue X"]
+    assert ask(spark, venue("", "", "Nice"), ["Plage Mar 15 Promenade Y 06000 Nice"]) == ["Plage Mar"]
+    flyer = "www.x.org\nGRAND BAL TANGO\nsamedi 18 juillet a 20h30\nVence, gratuit"
+    got = ask(spark, lambda c: C.flyer_fields(c, F.lit(AS_OF)), [flyer, "Jazz 3/2"])
+    assert (got[0].title, got[0].date, got[0].time, got[0].town, got[0].category) == ("GRAND BAL TANGO", dt.date(2026, 7, 18), "20:30", "Vence", "danse") and (got[1].date, got[1].category) == (dt.date(2027, 2, 3), "concert")
+    assert ask(spark, lambda c: C.first_present(F.lit(""), c), ["a", " ", None]) == ["a", None, None]
+    assert ask(spark, lambda c: C.in_scope(c, F.lit(None).cast("string")), ["Milano, Italia", "room 3"]) == [False, True]
