@@ -170,7 +170,7 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(2, min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // 64))
     bounds = np.unique(np.array(rows.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n), dtype=np.float64)).astype(np.int64)
     packed = rows.select("doc_id", "tie", "text").mapInArrow(partial(_pack, bounds=bounds), "part int, doc_id long, tie long, blob binary")
     inside = packed.repartition(n // 2, "part").sortWithinPartitions("part", "doc_id", "tie").mapInArrow(partial(_walk, k=k, w=w), _OUT)
