@@ -19,7 +19,7 @@ def unfold(body: Column) -> Column:
 
 
 def unescape(value: Column) -> Column:
-    for old, new in (("\\,", ","), ("\;", ";"), ("\\n", " "), ("\\N", " ")):
+    for old, new in (("\\,", ","), ("\\;", ";"), ("\\n", " "), ("\\N", " ")):
         value = F.replace(value, F.lit(old), F.lit(new))
     return value
 
