@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch of texts; with whole texts Spark's default of 10,000 holds too much at once.
+BATCH_ROWS = 2000
+
 #: Rows a side may have to be broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 2_000_000
 
@@ -27,6 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def lean(spark: SparkSession) -> None:
+    """Smaller Arrow batches from here on, unless the session chose a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/agendula/{name}-{uuid.uuid4().hex}"
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, crc_mod
+from .common import Batches, crc_mod, lean
 
 BITS, PENALTY, STEPS, TOLERANCE = 16, 3.0, 30, 1e-4
 
@@ -109,6 +109,7 @@ class Model:
 
 def train(docs: DataFrame, held_out: bool = True):
     """Broadcast model of the rows' languages; with ``held_out`` the rows that the contract holds out are left out."""
+    lean(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null")
     if held_out:
         rows = rows.where(crc_mod("doc_id", 4) != 2)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .calibrate import fit_logistic, logistic
-from .common import Batches, crc_mod
+from .common import Batches, crc_mod, lean
 
 SAMPLE, LINES, ROUNDS, STEPS = 2000, 200, 2, 80
 _UPPER, _LOWER, _DIGIT, _SPACE, _PLAIN, _SYMBOL = range(6)
@@ -205,6 +205,7 @@ def _measure(batches: Batches) -> Batches:
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
     """A fitted field with calibration weights. Rows that the contract holds out are left out here."""
+    lean(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("good"))
     known = known.where(crc_mod("doc_id", 3) != 1)
     pick = lambda g: known.where(F.col("good") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, cut, discard, popcount, small, utf8
+from .common import Batches, cut, discard, lean, popcount, small, utf8
 
 SHORT, HOT = 24, 4096
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -77,6 +77,7 @@ def _fingerprint(batches: Batches, shingle: int, words: int, distinct: bool) ->
 
 def fingerprints(rows: DataFrame, shingle: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
     """``rows`` with fp (binary, little-endian) in place of text. ``distinct``: each shingle of a text counts once."""
+    lean(rows.sparkSession)
     run = partial(_fingerprint, shingle=shingle, words=words, distinct=distinct)
     rest = [f for f in rows.schema if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", fp binary"
@@ -126,8 +127,9 @@ def _array(column: pa.Array, words: int) -> np.ndarray:
 
 def _blocks(batches: Batches, scheme: Scheme) -> Batches:
     for batch in batches:
-        for a in range(0, len(batch), 4096):
-            part = batch.slice(a, 4096)
+        step = max(1, 32_768 // scheme.n)
+        for a in range(0, len(batch), step):
+            part = batch.slice(a, step)
             keys = scheme.keys(_array(part["fp"], scheme.words))
             n = len(part)
             band = np.repeat(np.arange(scheme.n, dtype=np.int16), n)

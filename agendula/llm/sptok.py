@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import Batches
+from .common import Batches, lean
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -218,6 +218,7 @@ def _with_ids(batches: Batches, data) -> Batches:
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` with token_ids (array of int)."""
+    lean(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(read_model(path))
     schema = docs.drop("token_ids").schema.add("token_ids", ArrayType(IntegerType()))
     return docs.drop("token_ids").mapInArrow(partial(_with_ids, data=data), schema)
@@ -251,6 +252,7 @@ def _digest(batches: Batches, data) -> Batches:
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, n_byte_tokens, ids_sha256 (ids as little-endian int32), decoded_sha256 (UTF-8), round_trip."""
+    lean(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(read_model(path))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(partial(_digest, data=data), "doc_id long, n_tokens long, n_byte_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

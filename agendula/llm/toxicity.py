@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .calibrate import fit_logistic, logistic
-from .common import Batches, crc_mod, cut, small
+from .common import Batches, crc_mod, cut, lean, small
 
 ORDER, BITS, STRONG, CALIBRATE = 6, 19, 4.0, 20_000
 DISCOUNT, TOP_DISCOUNT, WORDS = 0.75, 2.5, re.compile(r"\w+")
@@ -194,6 +194,7 @@ def _evidence(batches: Batches, model, weights: np.ndarray | None, step: int = 2
 
 def train(docs: DataFrame, labels: DataFrame):
     """Broadcast model and weights. ``docs``: doc_id, text; ``labels``: doc_id, toxic. Held-out rows are left out here."""
+    lean(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
     known = known.where(crc_mod("doc_id", 5) != 0)
     rows = docs.select("doc_id", "text").join(small(known, known.count()), "doc_id").select("doc_id", "text", "label")

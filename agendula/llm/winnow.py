@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, cut, utf8
+from .common import Batches, cut, lean, utf8
 
 K, W, LEAST = 16, 64, 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -168,6 +168,7 @@ def _pairs(batches: Batches, k: int, w: int) -> Batches:
 def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
     spark = docs.sparkSession
+    lean(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     n = max(2, min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // 64))
