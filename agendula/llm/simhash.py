@@ -244,8 +244,9 @@ def cluster(marked: DataFrame, scheme_words: int, distance: int) -> DataFrame:
     first = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     scheme = Scheme(scheme_words, distance, blocks_for(first.count(), distance) if scheme_words == 1 else 0)
     roots = components(links(first, scheme))
-    rooted = first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Both sides of the last join are tables, so that a component with many members can be split.
+    rooted = cut(first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    least = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-least")
     return cut(rooted.select("fp", "root").join(least, "root"), "simhash-map")
 
 
