@@ -11,7 +11,9 @@ A document counts a word once. The highest order's discount is so large that an
 weighs nothing.
 
 Counting covers all labelled training rows but every fifth, which calibrate (at most ``CALIBRATE`` rows, least hash first). The
-grams are aggregated by Spark; what reaches the driver are tables of 2^BITS buckets an order, whatever the corpus.
+grams are aggregated by Spark; what reaches the driver is a table an order of all its grams and contexts, each under a 64-bit hash
+of its own, so the tables grow with the distinct grams of the labelled rows. ``_fold`` and ``Model`` also take tables folded to
+2^BITS buckets, which only serve to check small models.
 
 Defined results: null, empty and wordless texts have no evidence and get the score of none; repeated rows count as often as they
 stand; a document with several labels is toxic if one says so; null labels teach nothing; without labels of both classes the score
@@ -58,10 +60,10 @@ def _hashes(codes: np.ndarray) -> list[np.ndarray]:
         return out
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
+def _bucket(h: np.ndarray, bits: int = BITS) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _count(batches: Batches, room: int = 200_000) -> Batches:
@@ -92,45 +94,56 @@ def _count(batches: Batches, room: int = 200_000) -> Batches:
         yield grams(words)
 
 
-def _fold(batches: Batches, order: int, columns: list[str], discount: float) -> Batches:
-    """Grams to bucket sums: of each value by gram, and of each value and of what the discount takes from it by context."""
-    sums = np.zeros((3 * len(columns), 1 << BITS))
-    seen = False
+def _fold(batches: Batches, order: int, columns: list[str], discount: float, bits: int = BITS) -> Batches:
+    """Grams to sums by key: of each value by gram, and of each value and of what the discount takes from it by context."""
     for batch in batches:
         if not len(batch):
             continue
-        seen = True
         # Equally long grams, one after the other.
         codes = _codes("".join(batch["gram"].to_pylist()))
         h = _hashes(codes)
         last = np.arange(order - 1, len(codes), order)
-        own = _bucket(h[order - 1][last])
-        context = _bucket(h[order - 2][last - 1]) if order > 1 else np.zeros(len(last), np.int64)
+        own = _bucket(h[order - 1][last], bits)
+        context, of = np.unique(_bucket(h[order - 2][last - 1], bits) if order > 1 else np.zeros(len(last), np.int64), return_inverse=True)
         for i, c in enumerate(columns):
             v = np.asarray(batch[c], np.float64)
-            sums[3 * i] += np.bincount(own, v, 1 << BITS)
-            sums[3 * i + 1] += np.bincount(context, v, 1 << BITS)
-            sums[3 * i + 2] += np.bincount(context, np.minimum(v, discount), 1 << BITS)
-    if seen:
-        for kind in range(len(sums)):
-            at = np.flatnonzero(sums[kind])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(sums[kind][at])], ["kind", "bucket", "n"])
+            for kind, keys, n in ((3 * i, own, v), (3 * i + 1, context, np.bincount(of, v)), (3 * i + 2, context, np.bincount(of, np.minimum(v, discount)))):
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(keys[at]), pa.array(n[at])], ["kind", "bucket", "n"])
 
 
-def _tables(grams: DataFrame, order: int, columns: list[str], discount: float) -> np.ndarray:
-    parts = grams.mapInArrow(partial(_fold, order=order, columns=columns, discount=discount), "kind int, bucket int, n double")
-    # At most 3 * columns * 2^BITS rows, at any size of corpus.
-    got = parts.groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((3 * len(columns), 1 << BITS), np.float32)
-    out[np.asarray(got["kind"]), np.asarray(got["bucket"])] = np.asarray(got["n"])
-    return out
+def _tables(grams: DataFrame, order: int, columns: list[str], discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of all grams and contexts, and the sums under each; the last key has none and stands for unknown ones."""
+    parts = grams.mapInArrow(partial(_fold, order=order, columns=columns, discount=discount, bits=64), "kind int, bucket long, n double")
+    kinds = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0.0)).cast("float").alias(f"n{k}") for k in range(3 * len(columns))]
+    got = parts.groupBy("bucket").agg(*kinds).toArrow()
+    keys = np.asarray(got["bucket"]).astype(np.int64)
+    by = np.argsort(keys)
+    out = np.zeros((3 * len(columns), len(keys) + 1), np.float32)
+    for k in range(len(out)):
+        out[k, :-1] = np.asarray(got[f"n{k}"])[by]
+    return np.append(keys[by], np.iinfo(np.int64).max), out
 
 
 class Model:
-    """Bucket tables of all orders and the weights of the calibration."""
+    """Tables of all orders and the keys of their columns, lowest order first; without keys the columns are buckets."""
 
-    def __init__(self, top: np.ndarray, lower: list[np.ndarray]):
-        self.top, self.lower, self.weights = top, lower, np.zeros(3)
+    def __init__(self, top: np.ndarray, lower: list[np.ndarray], keys: list[np.ndarray] | None = None):
+        self.top, self.lower, self.keys = top, lower, keys
+
+    def _place(self, order: int, h: np.ndarray) -> np.ndarray:
+        """Columns of hashes in the tables of an order."""
+        if self.keys is None:
+            return _bucket(h)
+        keys, h = self.keys[order - 1], _bucket(h, 64)
+        at = np.searchsorted(keys, h)
+        return np.where(keys[at] == h, at, len(keys) - 1)
+
+    def _context(self, order: int, h: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        if order > 1:
+            return self._place(order, h[order - 2][at - 1])
+        none = np.zeros(len(at), np.int64)
+        return none if self.keys is None else np.searchsorted(self.keys[0], none)
 
     def words(self, words: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of each word."""
@@ -146,11 +159,10 @@ class Model:
         at = np.flatnonzero(inside)
         p = np.full(len(at), 1e-4)
         for k, (own, total, taken) in enumerate(self.lower, start=1):
-            g = _bucket(h[k - 1][at])
-            c = _bucket(h[k - 2][at - 1]) if k > 1 else np.zeros(len(at), np.int64)
+            g, c = self._place(k, h[k - 1][at]), self._context(k, h, at)
             n = total[c]
             p = np.where(n > 0, (np.maximum(own[g] - DISCOUNT, 0) + taken[c] * p) / np.maximum(n, 1), p)
-        g, c = _bucket(h[ORDER - 1][at]), _bucket(h[ORDER - 2][at - 1])
+        g, c = self._place(ORDER, h[ORDER - 1][at]), self._context(ORDER, h, at)
         apart = np.zeros(len(at))
         for sign, (own, total, taken) in ((-1, self.top[:3]), (1, self.top[3:])):
             n = total[c]
@@ -201,13 +213,15 @@ def train(docs: DataFrame, labels: DataFrame):
     fifth = F.floor(crc_mod("doc_id", 25) / 5) == 0
     counted = rows.where(~fifth).select("text", "label").mapInArrow(_count, "gram string, clean long, toxic long")
     grams = cut(counted.groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxicity-grams")
-    top = _tables(grams, ORDER, ["clean", "toxic"], TOP_DISCOUNT)
-    lower, g = [], grams
+    top_keys, top = _tables(grams, ORDER, ["clean", "toxic"], TOP_DISCOUNT)
+    lower, keys, g = [], [top_keys], grams
     for order in range(ORDER - 1, 0, -1):
         g = cut(g.groupBy(F.substring("gram", 2, order).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "toxicity-grams")
-        lower.insert(0, _tables(g, order, ["n"], DISCOUNT))
+        own_keys, table = _tables(g, order, ["n"], DISCOUNT)
+        lower.insert(0, table)
+        keys.insert(0, own_keys)
     sc = docs.sparkSession.sparkContext
-    model = sc.broadcast(Model(top, lower))
+    model = sc.broadcast(Model(top, lower, keys))
     chosen = known.where(fifth).orderBy(F.xxhash64("doc_id")).limit(CALIBRATE).select("doc_id")
     sample = rows.where(fifth).join(F.broadcast(chosen), "doc_id", "left_semi").select("label", "text")
     seen = sample.mapInArrow(partial(_evidence, model=model, weights=None), "label int, a double, b double").toPandas()
