@@ -2,13 +2,12 @@
 
 Texts are words, and each word is spelled by a model of ``ORDER`` characters that starts anew with the word. The highest order is
 counted for each class apart; all lower orders are Kneser-Ney continuation counts shared by both classes, so an expression
-too rare to be counted under a class gets the same probability from either and weighs nothing, while rare forms of a known stem
-still weigh by the stem. A document's evidence is the difference of its two log-likelihoods over its number of words, and that
+not counted under a class falls back on the same probability for either, while rare forms of a known stem still weigh by the stem. A document's evidence is the difference of its two log-likelihoods over its number of words, and that
 of its distinct words at least ``STRONG`` nats apart over the root of the number of distinct words (chance adds up as the root);
 a logistic regression fitted on labelled rows that were not counted turns both into a score.
 
-A document counts a word once. The highest order's discount is so large that an expression of one or two documents of a class
-weighs nothing.
+A document counts a word once. The highest order's discount is estimated for each class from how many grams were counted once and
+twice under it, so a rare expression is smoothed and keeps a share of its count.
 
 Counting covers all labelled training rows but every fifth, which calibrate (at most ``CALIBRATE`` rows, least hash first). The
 grams are aggregated by Spark; what reaches the driver is a table an order of all its grams and contexts, each under a 64-bit hash
@@ -34,7 +33,7 @@ from .calibrate import fit_logistic, logistic
 from .common import Batches, crc_mod, cut, lean, small
 
 ORDER, BITS, STRONG, CALIBRATE = 6, 19, 4.0, 20_000
-DISCOUNT, TOP_DISCOUNT, WORDS = 0.75, 2.5, re.compile(r"\w+")
+DISCOUNT, TOP_DISCOUNT, WORDS = 0.75, 0.75, re.compile(r"\w+")
 _START, _END = "\x01" * (ORDER - 1), "\x02"
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,7 +93,7 @@ def _count(batches: Batches, room: int = 200_000) -> Batches:
         yield grams(words)
 
 
-def _fold(batches: Batches, order: int, columns: list[str], discount: float, bits: int = BITS) -> Batches:
+def _fold(batches: Batches, order: int, columns: list[str], discount: float | list[float], bits: int = BITS) -> Batches:
     """Grams to sums by key: of each value by gram, and of each value and of what the discount takes from it by context."""
     for batch in batches:
         if not len(batch):
@@ -107,12 +106,13 @@ def _fold(batches: Batches, order: int, columns: list[str], discount: float, bit
         context, of = np.unique(_bucket(h[order - 2][last - 1], bits) if order > 1 else np.zeros(len(last), np.int64), return_inverse=True)
         for i, c in enumerate(columns):
             v = np.asarray(batch[c], np.float64)
-            for kind, keys, n in ((3 * i, own, v), (3 * i + 1, context, np.bincount(of, v)), (3 * i + 2, context, np.bincount(of, np.minimum(v, discount)))):
+            taken = np.minimum(v, discount[i] if isinstance(discount, list) else discount)
+            for kind, keys, n in ((3 * i, own, v), (3 * i + 1, context, np.bincount(of, v)), (3 * i + 2, context, np.bincount(of, taken))):
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(keys[at]), pa.array(n[at])], ["kind", "bucket", "n"])
 
 
-def _tables(grams: DataFrame, order: int, columns: list[str], discount: float) -> tuple[np.ndarray, np.ndarray]:
+def _tables(grams: DataFrame, order: int, columns: list[str], discount: float | list[float]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of all grams and contexts, and the sums under each; the last key has none and stands for unknown ones."""
     parts = grams.mapInArrow(partial(_fold, order=order, columns=columns, discount=discount, bits=64), "kind int, bucket long, n double")
     kinds = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0.0)).cast("float").alias(f"n{k}") for k in range(3 * len(columns))]
@@ -125,11 +125,19 @@ def _tables(grams: DataFrame, order: int, columns: list[str], discount: float) -
     return np.append(keys[by], np.iinfo(np.int64).max), out
 
 
+def _discounts(grams: DataFrame, columns: list[str]) -> list[float]:
+    """By column the discount that the grams counted once and twice give; ``TOP_DISCOUNT`` where either is missing."""
+    got = grams.agg(*[F.sum((F.col(c) == k).cast("long")).alias(f"{c}{k}") for c in columns for k in (1, 2)]).first()
+    counts = [(got[f"{c}1"] or 0, got[f"{c}2"] or 0) for c in columns]
+    return [one / (one + 2 * two) if one and two else TOP_DISCOUNT for one, two in counts]
+
+
 class Model:
     """Tables of all orders and the keys of their columns, lowest order first; without keys the columns are buckets."""
 
-    def __init__(self, top: np.ndarray, lower: list[np.ndarray], keys: list[np.ndarray] | None = None):
+    def __init__(self, top: np.ndarray, lower: list[np.ndarray], keys: list[np.ndarray] | None = None, discounts: list[float] | None = None):
         self.top, self.lower, self.keys = top, lower, keys
+        self.discounts = discounts or [TOP_DISCOUNT] * 2
 
     def _place(self, order: int, h: np.ndarray) -> np.ndarray:
         """Columns of hashes in the tables of an order."""
@@ -164,9 +172,9 @@ class Model:
             p = np.where(n > 0, (np.maximum(own[g] - DISCOUNT, 0) + taken[c] * p) / np.maximum(n, 1), p)
         g, c = self._place(ORDER, h[ORDER - 1][at]), self._context(ORDER, h, at)
         apart = np.zeros(len(at))
-        for sign, (own, total, taken) in ((-1, self.top[:3]), (1, self.top[3:])):
+        for sign, discount, (own, total, taken) in ((-1, self.discounts[0], self.top[:3]), (1, self.discounts[1], self.top[3:])):
             n = total[c]
-            q = np.where(n > 0, (np.maximum(own[g] - TOP_DISCOUNT, 0) + taken[c] * p) / np.maximum(n, 1), p)
+            q = np.where(n > 0, (np.maximum(own[g] - discount, 0) + taken[c] * p) / np.maximum(n, 1), p)
             apart += sign * np.log(np.maximum(q, 1e-30))
         return np.add.reduceat(apart, np.concatenate(([0], np.cumsum(lengths - ORDER + 1)[:-1])))
 
@@ -213,7 +221,8 @@ def train(docs: DataFrame, labels: DataFrame):
     fifth = F.floor(crc_mod("doc_id", 25) / 5) == 0
     counted = rows.where(~fifth).select("text", "label").mapInArrow(_count, "gram string, clean long, toxic long")
     grams = cut(counted.groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxicity-grams")
-    top_keys, top = _tables(grams, ORDER, ["clean", "toxic"], TOP_DISCOUNT)
+    discounts = _discounts(grams, ["clean", "toxic"])
+    top_keys, top = _tables(grams, ORDER, ["clean", "toxic"], discounts)
     lower, keys, g = [], [top_keys], grams
     for order in range(ORDER - 1, 0, -1):
         g = cut(g.groupBy(F.substring("gram", 2, order).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "toxicity-grams")
@@ -221,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame):
         lower.insert(0, table)
         keys.insert(0, own_keys)
     sc = docs.sparkSession.sparkContext
-    model = sc.broadcast(Model(top, lower, keys))
+    model = sc.broadcast(Model(top, lower, keys, discounts))
     chosen = known.where(fifth).orderBy(F.xxhash64("doc_id")).limit(CALIBRATE).select("doc_id")
     sample = rows.where(fifth).join(F.broadcast(chosen), "doc_id", "left_semi").select("label", "text")
     seen = sample.mapInArrow(partial(_evidence, model=model, weights=None), "label int, a double, b double").toPandas()

@@ -22,3 +22,14 @@ def test_every_gram_has_counts_of_its_own(spark):
     grams = {s[i : i + toxicity.ORDER] for s in spelled for i in range(len(s) - toxicity.ORDER + 1)}
     assert len(grams) > 20_000
     assert np.count_nonzero(model.top[0] + model.top[3]) == len(grams)
+
+
+def test_rare_expressions_of_a_class_carry_evidence(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    texts = [(" ".join(word() for _ in range(15)), i % 2) for i in range(400)]
+    counted = [i for i in range(1, 400, 2) if zlib.crc32(str(i).encode()) % 5 and zlib.crc32(str(i).encode()) % 25 // 5]
+    for i in counted[:2]:
+        texts[i] = (texts[i][0] + " abcdxyzzyx", 1)
+    model = toxicity.train(*_labelled(spark, texts))[0].value
+    assert model.words(["abcdxyzzyx"])[0] > 2
