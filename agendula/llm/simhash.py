@@ -4,8 +4,12 @@ A fingerprint bit is 1 if it is set in over half of the shingles' hashes. Two sc
 
 * ``combinations``: 64-bit fingerprints are split into ``blocks`` blocks; pairs within ``distance`` bits leave at least
   ``blocks - distance`` of them untouched, so joining on every choice of that many blocks finds all such pairs, exactly.
-* ``long``: for a wide distance (a similarity of 0.8 lets 15 % of the bits differ) 512-bit fingerprints are split twice into 32
-  blocks of 16 bits. The pigeonhole guarantee covers 63 differing bits; at the threshold 99 % of pairs share a block.
+* ``long``: for a wide distance (a similarity of 0.8 lets 15 % of the bits differ) 512-bit fingerprints are split ``SPLITS`` times
+  into 32 blocks of 16 bits. These blocks only find candidates, within ``MARGIN`` standard deviations of the expected distance.
+
+``keep_one`` decides by the exact Jaccard similarity of shingle sets. Texts of up to ``BRIEF`` distinct shingles say too little in a
+fingerprint: they meet by the least shingles of each (alike sets share one of those, exactly) and are compared in the bucket.
+Pairs of longer ones are candidates of the blocks, first a star a bucket and then every pair that the verified stars left apart.
 
 Rows meet by block key; each bucket is compared with vector operations and passes on edges that connect it, not its pairs:
 buckets of up to ``SHORT`` rows give the linked pairs, longer ones a spanning star of each of their components. A bucket above
@@ -19,6 +23,7 @@ null doc_id is never a component's id unless the component has no other; an empt
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
 
@@ -30,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import Batches, cut, discard, lean, popcount, small, utf8
 
 SHORT, HOT = 24, 4096
+BRIEF, SPLITS, MARGIN = 64, 3, 4.0
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,16 +101,16 @@ class Scheme:
             self.masks = np.array([sum(c) for c in combinations(parts, blocks - distance)], dtype=np.uint64)
             self.n = len(self.masks)
         else:
-            self.order = np.random.default_rng(7).permutation(64 * words)
-            self.n = 8 * words
+            rng = np.random.default_rng(7)
+            self.orders = [rng.permutation(64 * words) for _ in range(SPLITS - 1)]
+            self.n = 4 * words * SPLITS
 
     def keys(self, fps: np.ndarray) -> np.ndarray:
         if self.words == 1:
             return (fps & self.masks).astype(np.uint64)
         bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
-        again = np.packbits(np.ascontiguousarray(bits[:, self.order]), axis=1, bitorder="little")
-        again = np.ascontiguousarray(again)
-        return np.concatenate([fps.view(np.uint16), again.view(np.uint16)], axis=1).astype(np.uint64)
+        again = [np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits[:, o]), axis=1, bitorder="little")) for o in self.orders]
+        return np.concatenate([fps.view(np.uint16), *[a.view(np.uint16) for a in again]], axis=1).astype(np.uint64)
 
 
 def bits_apart(similarity: float, bits: int, margin: float = 1.0) -> int:
@@ -134,7 +140,9 @@ def _blocks(batches: Batches, scheme: Scheme) -> Batches:
             n = len(part)
             band = np.repeat(np.arange(scheme.n, dtype=np.int16), n)
             fp = part["fp"].take(pa.array(np.tile(np.arange(n), scheme.n)))
-            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(keys.T.ravel().view(np.int64)), fp], ["band", "key", "fp"])
+            rest = [c for c in batch.schema.names if c != "fp"]
+            more = [part[c].take(pa.array(np.tile(np.arange(n), scheme.n))) for c in rest]
+            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(keys.T.ravel().view(np.int64)), fp, *more], ["band", "key", "fp", *rest])
 
 
 def _star(fps: np.ndarray, distance: int, step: int = 512) -> np.ndarray:
@@ -171,6 +179,86 @@ def _links(fps: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarra
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, int), np.empty(0, int))
 
 
+def _cross(fps: np.ndarray, group: np.ndarray, comp: np.ndarray, distance: int, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (row, row) of unequal ``comp`` within the groups and the distance."""
+    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    sizes = np.diff(np.append(starts, len(group)))
+    left, right = [], []
+    brief = np.repeat(sizes <= SHORT, sizes)
+    for s in range(1, min(int(sizes.max()), SHORT)):
+        i = np.flatnonzero((group[:-s] == group[s:]) & brief[:-s] & (comp[:-s] != comp[s:]))
+        i = i[popcount(fps[i] ^ fps[i + s]).sum(axis=1) <= distance]
+        left.append(i)
+        right.append(i + s)
+    for a, n in zip(starts[sizes > SHORT], sizes[sizes > SHORT], strict=True):
+        f, c = fps[a : a + n], comp[a : a + n]
+        for x in range(0, n, step):
+            near = popcount(f[x : x + step, None, :] ^ f[None, :, :]).sum(axis=2, dtype=np.uint16) <= distance
+            i, j = np.nonzero(near & (c[x : x + step, None] != c[None, :]))
+            later = i + x < j
+            left.append(a + x + i[later])
+            right.append(a + j[later])
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, int), np.empty(0, int))
+
+
+def _forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Spanning edges of the components of sets that are as similar."""
+    sizes = np.array([len(x) for x in sets])
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    left, out = np.ones(len(sets), bool), []
+    for first in range(len(sets)):
+        queue = [first] if left[first] else []
+        left[first] = False
+        while queue:
+            i = queue.pop()
+            if not left.any():
+                return out
+            common = np.bincount(of[np.isin(flat, sets[i])], minlength=len(sets))
+            found = np.flatnonzero(left & (common >= similarity * (sizes + sizes[i] - common) - 1e-9))
+            left[found] = False
+            queue += found.tolist()
+            out += [(i, j) for j in found.tolist()]
+    return out
+
+
+def _buckets(batches: Batches) -> Iterator[pa.Table]:
+    """Runs of whole buckets (band, key, a, b) of sorted rows."""
+    held, by = None, ("band", "key", "a", "b")
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        if len(held):
+            same = np.logical_and.reduce([np.asarray(held[c]) == held[c][-1].as_py() for c in by])
+            whole = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if whole:
+                yield held.slice(0, whole)
+                held = held.slice(whole)
+    if held is not None and len(held):
+        yield held
+
+
+def _groups(t: pa.Table) -> np.ndarray:
+    ids = np.stack([np.asarray(t[c]).astype(np.int64) for c in ("band", "key", "a", "b")])
+    return np.cumsum(np.concatenate(([False], (ids[:, 1:] != ids[:, :-1]).any(axis=0))))
+
+
+def _pairs(batches: Batches, words: int, distance: int) -> Batches:
+    for t in _buckets(batches):
+        i, j = _cross(_array(t["fp"].combine_chunks(), words), _groups(t), np.asarray(t["comp"]), distance)
+        node = t["node"].combine_chunks()
+        yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], ["u", "v"])
+
+
+def _alike_sets(batches: Batches, similarity: float) -> Batches:
+    for t in _buckets(batches):
+        group, node = _groups(t), t["node"].combine_chunks()
+        sets = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
+        starts = np.append(np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))), len(group))
+        found = [(a + i, a + j) for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) if z - a > 1 for i, j in _forest(sets[a:z], similarity)]
+        i, j = (pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([node.take(i), node.take(j)], ["u", "v"])
+
+
 def _verify(batches: Batches, words: int, distance: int) -> Batches:
     """Rows sorted by bucket. The last, perhaps unfinished bucket of a batch waits for the next batch."""
     held = None
@@ -196,20 +284,26 @@ def _verify(batches: Batches, words: int, distance: int) -> Batches:
         yield edges(held)
 
 
-def links(fps: DataFrame, scheme: Scheme) -> DataFrame:
-    """Distinct fingerprints (fp) to edges (u, v) whose components are those of all pairs within the scheme's distance."""
-    rows = fps.select("fp").mapInArrow(partial(_blocks, scheme=scheme), "band short, key long, fp binary")
+def _meet(rows: DataFrame, by: str) -> DataFrame:
+    """Rows (band, key, ...) by bucket; a hot one in chunks by the hash of column ``by``, every two of which meet."""
+    rest = [c for c in rows.columns if c not in ("band", "key")]
     hot = cut(rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT), "simhash-hot")
     n_hot = hot.count()
     if n_hot:
         chunks = F.coalesce(F.ceil(F.col("n") / HOT), F.lit(1)).cast("int")
         rows = rows.join(small(hot, n_hot), ["band", "key"], "left").withColumn("chunks", chunks)
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64(by), "chunks").cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        rows = rows.select("band", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
+        rows = rows.select("band", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), *rest)
     else:
-        rows = rows.select("band", "key", F.lit(0).alias("a"), F.lit(0).alias("b"), "fp")
-    met = rows.repartition("band", "key", "a", "b").sortWithinPartitions("band", "key", "a", "b")
+        rows = rows.select("band", "key", F.lit(0).alias("a"), F.lit(0).alias("b"), *rest)
+    return rows.repartition("band", "key", "a", "b").sortWithinPartitions("band", "key", "a", "b")
+
+
+def links(fps: DataFrame, scheme: Scheme) -> DataFrame:
+    """Distinct fingerprints (fp) to edges (u, v) whose components are those of all pairs within the scheme's distance."""
+    rows = fps.select("fp").mapInArrow(partial(_blocks, scheme=scheme), "band short, key long, fp binary")
+    met = _meet(rows, "fp")
     return met.mapInArrow(partial(_verify, words=scheme.words, distance=scheme.distance), "u binary, v binary")
 
 
@@ -258,6 +352,61 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
     return out.select("doc_id", F.concat(*[F.substring(digits, a, 2) for a in range(15, 0, -2)]).alias("fingerprint"), "component_id")
 
 
+def _classes(batches: Batches, shingle: int, words: int, most: int) -> Batches:
+    """text to node (digest of its shingle set), fp, n (shingles) and, of brief texts, the shingles."""
+    from xxhash import xxh128_digest
+
+    for batch in batches:
+        node, fp, n, brief = [], [], [], []
+        for text in utf8(batch["text"]):
+            h = np.unique(shingle_hashes(text, shingle))
+            node.append(xxh128_digest(h.tobytes()))
+            fp.append(majority(h, words).tobytes())
+            n.append(len(h))
+            brief.append(h.tobytes() if len(h) <= most else None)
+        yield batch.drop_columns(["text"]).append_column("node", pa.array(node, pa.binary())).append_column("fp", pa.array(fp, pa.binary())).append_column("n", pa.array(n, pa.int32())).append_column("shingles", pa.array(brief, pa.binary()))
+
+
+def _least_shingles(batches: Batches, similarity: float) -> Batches:
+    """A row for each of the least shingles, so many that a set as similar has one of them among its own."""
+    for batch in batches:
+        at, keys = [], []
+        for i, x in enumerate(batch["shingles"].to_pylist()):
+            h = np.frombuffer(x, np.int64)
+            first = np.sort(h.view(np.uint64))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+            at += [i] * len(first)
+            keys.append(first.view(np.int64))
+        take = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int16)), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)), batch["node"].take(take), batch["shingles"].take(take)], ["band", "key", "node", "shingles"])
+
+
+def _sets(batches: Batches, shingle: int) -> Batches:
+    for batch in batches:
+        sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in utf8(batch["text"])]
+        yield batch.drop_columns(["text"]).append_column("shingles", pa.array(sets, pa.binary()))
+
+
+def _jaccard(batches: Batches, similarity: float) -> Batches:
+    for batch in batches:
+        kept = []
+        for a, b in zip(batch["a"], batch["b"], strict=True):
+            x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            kept.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+        yield batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
+
+
+def _alike(edges: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The edges (u, v) of nodes whose shingle sets are as similar."""
+    e = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u != v").distinct(), "simhash-candidates")
+    named = e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct()
+    first = nodes.join(named, "node", "left_semi").select("node", F.col("best.doc_id").alias("id"), F.col("best.h").alias("bh"))
+    found = texts.join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("bh"))).select("node", "text").dropDuplicates(["node"])
+    sets = cut(found.mapInArrow(partial(_sets, shingle=shingle), "node binary, shingles binary"), "simhash-sets")
+    e = e.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    return cut(e.select("u", "v", "a", "b").mapInArrow(partial(_jaccard, similarity=similarity), "u binary, v binary"), "simhash-verified")
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of every near-duplicate group, that of the smallest doc_id.
 
@@ -265,10 +414,30 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     id keeps one row likewise.
     """
     words = 8
+    lean(docs.sparkSession)
     content = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    marked = cut(fingerprints(docs.select("doc_id", content.alias("h"), "text"), shingle, words, distinct=True), "simhash-rows")
-    groups = cluster(marked, words, bits_apart(similarity, 64 * words))
-    best = marked.join(groups, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best"))
-    best = cut(best.select(F.col("best.doc_id").alias("__id"), F.col("best.h").alias("__kept")), "simhash-kept")
+    texts = docs.select("doc_id", content.alias("h"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    marked = texts.mapInArrow(partial(_classes, shingle=shingle, words=words, most=int(BRIEF / similarity)), f"doc_id {kind}, h long, node binary, fp binary, n int, shingles binary")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best")
+    nodes = cut(marked.groupBy("node").agg(best, F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("shingles").alias("shingles")), "simhash-nodes")
+    keys = nodes.where("shingles is not null and n > 0").select("node", "shingles").mapInArrow(partial(_least_shingles, similarity=similarity), "band short, key long, node binary, shingles binary")
+    edges = cut(_meet(keys, "node").mapInArrow(partial(_alike_sets, similarity=similarity), "u binary, v binary"), "simhash-brief")
+    long = nodes.where(F.col("n") > BRIEF).select("node", "fp")
+    scheme = Scheme(words, bits_apart(similarity, 64 * words, MARGIN))
+    first = cut(long.groupBy("fp").agg(F.min("node").alias("first")), "simhash-classes")
+    ends = links(first, scheme)
+    for c in ("u", "v"):
+        ends = ends.join(first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")), c)
+    stars = ends.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).union(long.join(first, "fp").select("node", "first"))
+    edges = edges.union(_alike(stars, nodes, texts, shingle, similarity))
+    roots = components(edges)
+    labelled = long.join(roots, "node", "left").select("node", "fp", F.xxhash64(F.coalesce("root", "node")).alias("comp"))
+    rows = labelled.mapInArrow(partial(_blocks, scheme=scheme), "band short, key long, fp binary, node binary, comp long")
+    rest = _meet(rows, "node").mapInArrow(partial(_pairs, words=words, distance=scheme.distance), "u binary, v binary")
+    more = _alike(rest, nodes, texts, shingle, similarity)
+    roots = components(edges.union(more))
+    rooted = nodes.select("node", "best").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    best = cut(rooted.select(F.col("best.doc_id").alias("__id"), F.col("best.h").alias("__kept")), "simhash-kept")
     found = docs.withColumn("__h", content).join(best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__kept")), "left_semi")
     return found.dropDuplicates(["doc_id", "__h"]).drop("__h")

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from agendula.llm import toxicity
+from agendula.llm import simhash, toxicity
 
 
 def _labelled(spark, texts):
@@ -33,3 +33,21 @@ def test_rare_expressions_of_a_class_carry_evidence(spark):
         texts[i] = (texts[i][0] + " abcdxyzzyx", 1)
     model = toxicity.train(*_labelled(spark, texts))[0].value
     assert model.words(["abcdxyzzyx"])[0] > 2
+
+
+def test_near_copies_match_brute_force(spark):
+    r = random.Random(11)
+    texts = []
+    for n in [5, 6, 7, 8, 9, 10, 12, 15, 20] * 12 + [90, 100, 120] * 25:
+        w = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        v = w[1:] if r.random() < 0.4 else [*w, "x"] if r.random() < 0.5 else [*w, *(f"y{k}" for k in range(r.randrange(1, 3 + n // 5)))]
+        for p in r.sample(range(len(v)), r.randrange(0, 4) if n >= 90 else 0):
+            v[p] += "z"
+        texts += [" ".join(w), " ".join(v)]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(0, len(texts), 2):
+        if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) - 1e-9:
+            root[i + 1] = i
+    got = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id").collect()
+    assert sorted(x.doc_id for x in got) == sorted(set(root))
