@@ -69,6 +69,8 @@ class Model:
         self.langs = langs
         n = counts + 0.5
         self.log = np.log(n / n.sum(axis=0)).astype(np.float32) if langs else counts
+        # What a trigram of a text in the language has on average, by all its labelled texts.
+        self.mean = (n / n.sum(axis=0) * self.log).sum(axis=0) if langs else np.empty(0)
 
     def _mix(self, p: np.ndarray, n: np.ndarray, of: list[int], shift: float) -> tuple[np.ndarray, float]:
         """Proportions of the languages ``of`` and the log-likelihood."""
@@ -85,9 +87,17 @@ class Model:
 
     def infer(self, text: str | None) -> dict[str, float]:
         """Proportion of each language of the chosen set."""
+        return self.explain(text)[0]
+
+    def explain(self, text: str | None) -> tuple[dict[str, float], float]:
+        """Proportion of each language of the chosen set, and how well the mixture explains the text.
+
+        That is the mean log-likelihood of a trigram on a scale where 0 is the background, under which every bucket is as likely,
+        and 1 is what labelled texts of these languages have on average.
+        """
         g = grams(text)
         if not len(g) or not self.langs:
-            return {}
+            return {}, 0.0
         u, n = np.unique(g, return_counts=True)
         log = self.log[u].astype(np.float64)
         n = n.astype(np.float64)
@@ -104,7 +114,9 @@ class Model:
             if value - best <= cost:
                 break
             chosen, share, best = [*chosen, i], more, value
-        return {self.langs[i]: float(s) for i, s in zip(chosen, share, strict=True)}
+        background = -BITS * np.log(2)
+        usual = max(float(share @ self.mean[chosen]) - background, 1e-9)
+        return {self.langs[i]: float(s) for i, s in zip(chosen, share, strict=True)}, (best / float(n.sum()) - background) / usual
 
 
 def train(docs: DataFrame, held_out: bool = True):
@@ -141,13 +153,15 @@ def predict(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(partial(_predict, model=model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def _keep(batches: Batches, model, least: float) -> Batches:
+def _keep(batches: Batches, model, least: float, fit: float) -> Batches:
     model = model.value
     for batch in batches:
-        kept = [max(model.infer(t).values(), default=0.0) >= least for t in batch["text"].to_pylist()]
-        yield batch.filter(pa.array(kept, pa.bool_()))
+        found = [model.explain(t) for t in batch["text"].to_pylist()]
+        yield batch.filter(pa.array([max(share.values(), default=0.0) >= least and fits >= fit for share, fits in found], pa.bool_()))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.2) -> DataFrame:
-    """``docs`` without rows in no language: null texts, texts without a letter, or none with ``least`` of the document."""
-    return docs.mapInArrow(partial(_keep, model=train(docs), least=least), docs.schema)
+def keep_identified(docs: DataFrame, least: float = 0.2, fit: float = 0.5) -> DataFrame:
+    """``docs`` without rows in no learned language: null texts, texts without a letter, texts that the chosen languages explain
+    less than ``fit`` as well as their labelled texts (a language that was not learned, or noise), or none with ``least``
+    of the document."""
+    return docs.mapInArrow(partial(_keep, model=train(docs), least=least, fit=fit), docs.schema)

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from agendula.llm import simhash, toxicity
+from agendula.llm import langid, simhash, toxicity
 
 
 def _labelled(spark, texts):
@@ -35,6 +35,19 @@ def test_rare_expressions_of_a_class_carry_evidence(spark):
     assert model.words(["abcdxyzzyx"])[0] > 2
 
 
+def test_texts_in_no_learned_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang != 'de'").select("doc_id", "text", "lang")
+    other = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'de'").selectExpr("doc_id", "text", "cast(null as string) lang")
+    r = random.Random(3)
+    noise = [(10**9 + i, " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40)), None) for i in range(20)]
+    n_docs, n_other = docs.count(), other.count()
+    both = docs.unionByName(other).unionByName(spark.createDataFrame(noise, docs.schema))
+    kept = langid.keep_identified(both).selectExpr("lang is null as other", "doc_id").collect()
+    assert sum(not x.other for x in kept) == n_docs
+    assert not [x for x in kept if x.doc_id >= 10**9]
+    assert sum(x.other for x in kept) < 0.05 * n_other
+
+
 def test_near_copies_match_brute_force(spark):
     r = random.Random(11)
     texts = []
