@@ -145,7 +145,17 @@ def test_archive_round_trip(spark, tmp_path):
     assert spark.read.parquet(f"{folder}/payloads").count() == len({(h or "") for _, _, h in rows})
     back = warc.records(warc.read(spark, folder)).where("record_type = 'response'").collect()
     assert {bytes(r.payload) for r in back} == {(h or "").encode() for _, _, h in rows}
-    assert all(bytes(r.record).startswith(b"WARC/1.1\r\n") and bytes(r.record).endswith(b"\r\n\r\n") for r in warc.read(spark, folder).collect())
+    whole = [bytes(r.record) for r in warc.read(spark, folder).collect()]
+    assert all(x.startswith(b"WARC/1.1\r\n") and x.endswith(b"\r\n\r\n") and b"\r\nWARC-Date: " in x for x in whole)
+    ids = [re.search(rb"WARC-Record-ID: (<\S+>)", x)[1] for x in whole]
+    assert len(set(ids)) == len(rows) and {x for r in whole for x in re.findall(rb"WARC-Refers-To: (<\S+>)", r)} <= set(ids)
+
+
+def test_archive_of_a_very_long_page_among_clashing_columns(spark):
+    big = "é" * 2_000_000
+    rows = [(1, "u", big, "a", 0), (2, "u", big, "b", 1)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string, address string, place int")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == [(1, 4_000_000, "revisit", 2), (2, 4_000_000, "response", None)]
 
 
 def test_archive_empty(spark):
