@@ -6,7 +6,9 @@ document's share of bad text, which a logistic regression turns into the score.
 
 Labels speak of documents, so the field is fitted in rounds: first each line takes its document's label, then lines of bad
 documents take the label that the field gives them, at least the worst staying bad. Fitting uses a bounded sample: at most
-``SAMPLE`` labelled training rows a class, least hash first, and of these the first ``LINES`` lines. Scoring reads whole texts.
+``SAMPLE`` labelled training rows a class, least hash first, with all their lines: a long text is fitted as chains of ``LINES`` lines
+one after the other, which weigh as one document together. Every fourth row of the sample is kept aside for the calibration.
+Scoring reads whole texts.
 
 Defined results: null and empty texts are one empty line; a document with several labels is good if all say so; null labels teach
 nothing; without labels of both classes every score is the smoothed share of good labels; repeated rows count as often as they
@@ -118,12 +120,13 @@ class Field:
     def __init__(self):
         self.w, self.moves, self.weights = np.zeros(OWN + 2 * AROUND), np.zeros((2, 2)), np.zeros(3)
 
-    def bad_share(self, text: str | None) -> tuple[float, float]:
-        """Length-weighted mean of the lines' P(bad), and its value for the worst line."""
-        x, n = features(text)
-        p = _chain((x @ self.w).tolist(), np.exp(self.moves).ravel().tolist())
-        n = np.maximum(n, 1)
-        return float(p @ n / n.sum()), float(p.max())
+    def _share(self, x: np.ndarray, n: np.ndarray) -> float:
+        p, n = _chain((x @ self.w).tolist(), np.exp(self.moves).ravel().tolist()), np.maximum(n, 1)
+        return float(p @ n / n.sum())
+
+    def bad_share(self, text: str | None) -> float:
+        """Length-weighted mean of the lines' P(bad)."""
+        return self._share(*features(text))
 
 
 def _chain(score: list[float], m: list[float]) -> np.ndarray:
@@ -156,15 +159,18 @@ def _chain(score: list[float], m: list[float]) -> np.ndarray:
 def fit(xs: list[np.ndarray], bad: np.ndarray, rounds: int = ROUNDS, steps: int = STEPS, ridge: float = 1e-3) -> Field:
     """The field from line measures by document and the documents' labels."""
     field = Field()
+    parts = [-(-len(x) // LINES) for x in xs]
+    xs = [x[a : a + LINES] for x in xs for a in range(0, len(x), LINES)]
+    bad, of = np.repeat(np.asarray(bad, np.float64), parts), 1 / np.repeat(parts, parts)
     order = np.argsort([-len(x) for x in xs], kind="stable")
-    xs, bad = [xs[i] for i in order], np.asarray(bad)[order]
+    xs, bad, of = [xs[i] for i in order], bad[order], of[order]
     lengths = np.array([len(x) for x in xs])
     longest, chains = int(lengths.max()), len(xs)
     live = np.arange(longest)[:, None] < lengths[None, :]
     chain, step_of = np.nonzero(live.T)  # documents one after the other
     x = np.concatenate(xs)
     # Either class weighs half, and every document of a class alike.
-    share = np.where(bad > 0, 0.5 / max(bad.sum(), 1), 0.5 / max((1 - bad).sum(), 1))
+    share = of * np.where(bad > 0, 0.5 / max(bad @ of, 1), 0.5 / max((1 - bad) @ of, 1))
     weight = (share / lengths)[chain]
     moved = (share / np.maximum(lengths - 1, 1))[:, None, None]
 
@@ -193,44 +199,47 @@ def fit(xs: list[np.ndarray], bad: np.ndarray, rounds: int = ROUNDS, steps: int
 
 def _evidence(shares: np.ndarray) -> np.ndarray:
     m = np.clip(shares, 1e-4, 1 - 1e-4)
-    return np.column_stack([4 * shares[:, 0], np.log(m[:, 0] / (1 - m[:, 0])) / 4])
+    return np.column_stack([4 * shares, np.log(m / (1 - m)) / 4])
 
 
 def _measure(batches: Batches) -> Batches:
     for batch in batches:
-        found = [features(t)[0][:LINES] for t in batch["text"].to_pylist()]
-        blobs = pa.array([x.astype(np.float32).tobytes() for x in found], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch["good"], blobs], ["good", "x"])
+        found = [features(t) for t in batch["text"].to_pylist()]
+        columns = [pa.array([v.astype(kind).tobytes() for v in c], pa.binary()) for c, kind in zip(zip(*found, strict=True), (np.float32, np.int64), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch["aside"], batch["good"], *columns], ["aside", "good", "x", "n"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
     """A fitted field with calibration weights. Rows that the contract holds out are left out here."""
     lean(docs.sparkSession)
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("good"))
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("__good"))
     known = known.where(crc_mod("doc_id", 3) != 1)
-    pick = lambda g: known.where(F.col("good") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    pick = lambda g: known.where(F.col("__good") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     chosen = pick(0).unionByName(pick(1))  # at most 2 * SAMPLE rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = rows.select("good", "text").mapInArrow(_measure, "good int, x binary").orderBy("x").toArrow()
-    good = np.asarray(got["good"], np.float64)
+    aside = F.pmod(F.xxhash64(F.lit("aside"), "doc_id"), F.lit(4)) == 0
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
+    got = rows.select(aside.alias("aside"), F.col("__good").alias("good"), "text").mapInArrow(_measure, "aside boolean, good int, x binary, n binary").orderBy("x").toArrow()
+    good, aside = np.asarray(got["good"], np.float64), np.asarray(got["aside"], bool)
     xs = [np.frombuffer(b, np.float32).reshape(-1, OWN + 2 * AROUND).astype(np.float64) for b in got["x"].to_pylist()]
     if not len(good) or good.min() == good.max():
         field = Field()
         field.weights[0] = np.log((good.sum() + 0.5) / (len(good) - good.sum() + 0.5))
         return field
-    field = fit(xs, 1 - good)
-    shares = []
-    for x in xs:
-        p, n = _chain((x @ field.w).tolist(), np.exp(field.moves).ravel().tolist()), np.maximum(np.expm1(8 * x[:, 1]), 1)
-        shares.append((p @ n / n.sum(), p.max()))
-    field.weights = fit_logistic(_evidence(np.array(shares)), good, ridge=1e-2)
+    if any(len(set(good[x])) < 2 for x in (aside, ~aside)):  # too few rows to keep any aside
+        fitted = judged = np.arange(len(good))
+    else:
+        fitted, judged = np.flatnonzero(~aside), np.flatnonzero(aside)
+    field = fit([xs[i] for i in fitted], 1 - good[fitted])
+    sizes = [np.frombuffer(b, np.int64) for b in got["n"].to_pylist()]
+    shares = np.array([field._share(xs[i], sizes[i]) for i in judged])
+    field.weights = fit_logistic(_evidence(shares), good[judged], ridge=1e-2)
     return field
 
 
 def _score(batches: Batches, field) -> Batches:
     field = field.value
     for batch in batches:
-        shares = np.array([field.bad_share(t) for t in batch["text"].to_pylist()]).reshape(-1, 2)
+        shares = np.array([field.bad_share(t) for t in batch["text"].to_pylist()], np.float64)
         yield batch.drop_columns(["text"]).append_column("score", pa.array(logistic(_evidence(shares), field.weights)))
 
 
@@ -245,7 +254,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _keep(batches: Batches, field, least: float) -> Batches:
     field = field.value
     for batch in batches:
-        shares = np.array([field.bad_share(t) for t in batch["text"].to_pylist()]).reshape(-1, 2)
+        shares = np.array([field.bad_share(t) for t in batch["text"].to_pylist()], np.float64)
         yield batch.filter(pa.array(logistic(_evidence(shares), field.weights) >= least))
 
 

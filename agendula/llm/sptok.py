@@ -5,8 +5,9 @@ marker, a Unigram model with the pieces' scores or, for the BPE type, the merges
 
 Where no piece goes over the beginning of a word (no marker follows another character inside a piece, which the rebuilt model
 checks), a text's ids are those of its words one after the other. Words are then encoded once: those a worker has not met are
-encoded in one multithreaded batch, and a table of bounded size keeps their ids. Every task also holds the first texts
-it sees against SentencePiece itself and stops on a difference.
+encoded in one multithreaded batch, and a table bounded in bytes keeps their ids; chunks of more than ``LONG`` characters (text
+without spaces) are encoded each time. Every task also holds the first texts it sees, whole, against SentencePiece itself and
+stops on a difference.
 
 Defined results: a null text has null ids, and counts as empty in digests; the empty text has no ids and decodes to itself; a text
 that holds the marker character decodes to spaces there (round_trip false), as with SentencePiece; repeated rows encode alike; an
@@ -30,6 +31,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from .common import Batches, lean
 
 MARK = "▁"
+LONG = 200
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -90,7 +92,7 @@ def _merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
 class SentencePiece:
     """A SentencePiece model rebuilt on the Tokenizers library."""
 
-    def __init__(self, data: bytes, threads: int = 2, room: int = 400_000):
+    def __init__(self, data: bytes, threads: int = 2, room: int = 100_000_000):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         from tokenizers import AddedToken, Regex, Tokenizer, models, normalizers
@@ -120,10 +122,11 @@ class SentencePiece:
         surface = {CONTROL: b"", UNKNOWN: " ⁇ ".encode()}
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else surface.get(kind, p.replace(MARK, " ").encode()) for p, _, kind in pieces]
         self.is_byte = np.array([kind == BYTE for _, _, kind in pieces])
-        # Two generations of words: what is met again moves from the older to the newer before the older goes.
+        # Two generations of words: what is met again moves from the older to the newer before the older goes. ``held`` is about
+        # the newer one's bytes.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.room = room
+        self.held, self.room = 0, room
 
     def normalise(self, text: str) -> str:
         if self.normaliser is not None:
@@ -140,18 +143,25 @@ class SentencePiece:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (int32) of each text."""
         split = [self.chunks(t) for t in texts]
-        if len(self.known) > self.room:
-            self.known, self.older = {}, self.known
+        if self.held > self.room:
+            self.known, self.older, self.held = {}, self.known, 0
         new = set().union(*split).difference(self.known)
         again = new.intersection(self.older)
-        self.known.update((c, self.older[c]) for c in again)
+        met = {c: self.older[c] for c in again}
         new = list(new - again)
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for chunk, e in zip(part, self.backend.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(e.ids, np.int32).tobytes()
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, c)), np.int32) for c in split]
+        brief = [c for c in new if len(c) <= LONG]
+        for a in range(0, len(brief), 20_000):
+            met.update(self._encode(brief[a : a + 20_000]))
+        self.known.update(met)
+        self.held += sum(200 + len(c) + len(i) for c, i in met.items())
+        get = self.known
+        if len(brief) < len(new):
+            get = {**self._encode([c for c in new if len(c) > LONG])}
+            get.update((c, self.known[c]) for c in set().union(*split) if c in self.known)
+        return [np.frombuffer(b"".join(map(get.__getitem__, c)), np.int32) for c in split]
+
+    def _encode(self, chunks: list[str]) -> dict[str, bytes]:
+        return {c: np.array(e.ids, np.int32).tobytes() for c, e in zip(chunks, self.backend.encode_batch_fast(chunks, add_special_tokens=False), strict=True)}
 
     def decode(self, ids) -> bytes:
         out = b"".join(map(self.bytes.__getitem__, np.asarray(ids).tolist()))
@@ -201,8 +211,7 @@ def _encoded(batches: Batches, data, check: int = 16, step: int = 128):
             texts = [t or "" for t in part["text"].to_pylist()]
             ids = model.encode(texts)
             if first and check:
-                probe = [t[:2000] for t in texts[:check]]
-                if [i.tolist() for i in model.encode(probe)] != reference(data).encode(probe):
+                if [i.tolist() for i in ids[:check]] != reference(data).encode(texts[:check]):
                     raise ValueError("ids differ from SentencePiece's")
                 first = False
             yield part, texts, ids, model

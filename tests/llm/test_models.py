@@ -155,6 +155,34 @@ def test_forward_backward_matches_enumeration():
         assert np.allclose(quality._chain(score[:n, c].tolist(), np.exp(moves).ravel().tolist()), bad / total)
 
 
+def test_lines_far_down_a_text_teach_the_field(spark):
+    r = random.Random(4)
+    plain = lambda: " ".join(r.choice(["the", "river", "house", "morning", "walked", "slowly", "under"]) for _ in range(12)).capitalize() + "."
+    junk = lambda: "$$$ %% ### 0x7F >>> " * 3
+    texts = [("\n".join([plain() for _ in range(300)] + [(plain if i % 2 else junk)() for _ in range(60)]), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "x", 0.5) for i, (t, _) in enumerate(texts)], "doc_id long, text string, good string, score double")
+    labels = spark.createDataFrame([(i, y, 1) for i, (_, y) in enumerate(texts)], "doc_id long, quality int, good int")
+    field = quality.train(docs, labels)
+    score = lambda line: quality.features(f"{line}\n{line}\n{line}")[0][1] @ field.w
+    assert score(junk()) > score(plain()) + 1
+    assert [x.predicted for x in quality.score(docs, labels).orderBy("doc_id").collect()] == [y for _, y in texts]
+
+
+def test_whole_quality_scores_match_brute_force(spark, docs, labels):
+    from itertools import product
+
+    field = quality.train(docs, labels)
+    texts = {"a": "A plain line of text.\n$$$ ### %%% 0x00\n\nWords again, quite ordinary ones.", "b": "", "c": "CLICK HERE NOW!!!\nclick here now"}
+    for text in texts.values():
+        x, n = quality.features(text)
+        total, bad = 0.0, np.zeros(len(x))
+        for y in product((0, 1), repeat=len(x)):
+            w = np.exp(sum(np.clip(x[t] @ field.w, -30, 30) * s for t, s in enumerate(y)) + sum(field.moves[a, b] for a, b in zip(y, y[1:], strict=False)))
+            total, bad = total + w, bad + w * np.array(y)
+        n = np.maximum(n, 1)
+        assert abs(field.bad_share(text) - (bad / total) @ n / n.sum()) < 1e-9
+
+
 def test_models_without_labels(spark, docs, labels):
     for f in (toxicity.score, quality.score):
         got = f(docs.limit(4), labels.limit(0)).collect()
@@ -197,6 +225,16 @@ def test_unigram_parity(squeeze, prefix, fallback):
     assert sptok.differing(m.SerializeToString(), texts) == []
 
 
+def test_texts_without_spaces_are_not_kept():
+    data = sptok.read_model()
+    model = sptok.SentencePiece(data, room=20_000)
+    own, r = sptok.reference(data), random.Random(1)
+    for _ in range(6):
+        texts = ["".join(r.choice("abcdefé日") for _ in range(3000)), "short words and " + "x" * 500, " ".join(f"w{r.randrange(10**6)}" for _ in range(100))]
+        assert [i.tolist() for i in model.encode(texts)] == own.encode(texts)
+        assert max(map(len, model.known)) <= sptok.LONG and sum(map(len, model.known)) < 60_000
+
+
 def test_parser_reads_what_protobuf_writes():
     data = sptok.read_model()
     m = proto.ModelProto()
