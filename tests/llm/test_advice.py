@@ -16,12 +16,13 @@ def _labelled(spark, texts):
 def test_every_gram_has_counts_of_its_own(spark):
     r = random.Random(2)
     texts = [(" ".join("".join(r.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(20)), i % 2) for i in range(400)]
-    model = toxicity.train(*_labelled(spark, texts))[0].value
+    docs, labels = _labelled(spark, texts)
+    table = toxicity.counts(docs, toxicity.known_labels(labels))
     counted = [t for i, (t, _) in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 and zlib.crc32(str(i).encode()) % 25 // 5]
     spelled = [toxicity._START + w + toxicity._END for t in counted for w in t.split()]
     grams = {s[i : i + toxicity.ORDER] for s in spelled for i in range(len(s) - toxicity.ORDER + 1)}
     assert len(grams) > 20_000
-    assert np.count_nonzero(model.top[0] + model.top[3]) == len(grams)
+    assert table.where("clean + toxic > 0").count() == len(grams)
 
 
 def test_rare_expressions_of_a_class_carry_evidence(spark):
@@ -31,8 +32,9 @@ def test_rare_expressions_of_a_class_carry_evidence(spark):
     counted = [i for i in range(1, 400, 2) if zlib.crc32(str(i).encode()) % 5 and zlib.crc32(str(i).encode()) % 25 // 5]
     for i in counted[:2]:
         texts[i] = (texts[i][0] + " abcdxyzzyx", 1)
-    model = toxicity.train(*_labelled(spark, texts))[0].value
-    assert model.words(["abcdxyzzyx"])[0] > 2
+    docs, labels = _labelled(spark, texts)
+    words = spark.createDataFrame([("abcdxyzzyx",)], "word string")
+    assert toxicity.word_evidence(words, toxicity.counts(docs, toxicity.known_labels(labels))).first().v > 2
 
 
 def test_texts_in_no_learned_language_go(spark):

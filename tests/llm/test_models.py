@@ -10,6 +10,7 @@ from sentencepiece import sentencepiece_model_pb2 as proto
 
 import corpus_pipeline
 from agendula.llm import langid, quality, sptok, toxicity
+from agendula.llm.calibrate import fit_logistic, logistic
 
 SF = "/root/testdata/sf0.01"
 
@@ -78,38 +79,24 @@ def test_toxicity_held_out(spark):
     assert {r.predicted for r in got if r.doc_id in (None, 10**9)} == {0}
 
 
-def test_word_model_matches_brute_force():
-    """Kneser-Ney by dictionaries of whole grams against the bucket tables."""
-    from collections import Counter, defaultdict
+def _kneser_ney(grams):
+    """log P(word | toxic) - log P(word | ordinary) by dictionaries, from {gram: (clean, toxic)}."""
+    from collections import Counter
 
-    order, words = toxicity.ORDER, ["moron", "morons", "more", "mo", "a", "ab"]
-    texts = [(w, i % 2) for i, w in enumerate(words * 4 + ["moron"] * 6)]
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in texts]), pa.array([y for _, y in texts], pa.int32())], ["text", "label"])
-    grams = pa.Table.from_batches(toxicity._count(iter([batch]))).to_pylist()
-
-    def tables(rows, k, columns, discount):
-        b = pa.RecordBatch.from_arrays([pa.array([r["gram"] for r in rows]), *[pa.array([r[c] for r in rows], pa.int64()) for c in columns]], ["gram", *columns])
-        out = np.zeros((3 * len(columns), 1 << toxicity.BITS), np.float32)
-        for part in toxicity._fold(iter([b]), k, columns, discount):
-            np.add.at(out, (np.asarray(part["kind"]), np.asarray(part["bucket"])), np.asarray(part["n"]))
-        return out
-
-    level, lower, cont = grams, [], {}
+    order, level, cont = toxicity.ORDER, set(grams), {}
     for k in range(order - 1, 0, -1):
-        n = Counter(r["gram"][1:] for r in level)
-        level = [{"gram": g, "n": c} for g, c in n.items()]
-        cont[k] = n
-        lower.insert(0, tables(level, k, ["n"], toxicity.DISCOUNT))
-    model = toxicity.Model(tables(grams, order, ["clean", "toxic"], toxicity.TOP_DISCOUNT), lower)
+        cont[k] = Counter(g[1:] for g in level)
+        level = set(cont[k])
+    tops = [{g: n[c] for g, n in grams.items()} for c in (0, 1)]
+    seen = [[sum(v == k for v in t.values()) for k in (1, 2)] for t in tops]
+    taken = [one / (one + 2 * two) if one and two else toxicity.TOP_DISCOUNT for one, two in seen]
 
     def smooth(counts, discount, g, below):
         total = sum(v for h, v in counts.items() if h[:-1] == g[:-1])
         if not total:
             return below
-        taken = sum(min(v, discount) for h, v in counts.items() if h[:-1] == g[:-1])
-        return (max(counts.get(g, 0) - discount, 0) + taken * below) / total
+        rest = sum(min(v, discount) for h, v in counts.items() if h[:-1] == g[:-1])
+        return (max(counts.get(g, 0) - discount, 0) + rest * below) / total
 
     def log_odds(word):
         s, out = toxicity._START + word + toxicity._END, 0.0
@@ -117,13 +104,49 @@ def test_word_model_matches_brute_force():
             p = 1e-4
             for k in range(1, order):
                 p = smooth(cont[k], toxicity.DISCOUNT, s[i - k + 1 : i + 1], p)
-            g = s[i - order + 1 : i + 1]
-            each = [smooth({r["gram"]: r[c] for r in grams}, toxicity.TOP_DISCOUNT, g, p) for c in ("clean", "toxic")]
-            out += np.log(each[1]) - np.log(each[0])
+            q = [smooth(t, d, s[i - order + 1 : i + 1], p) for t, d in zip(tops, taken, strict=True)]
+            out += np.log(q[1]) - np.log(q[0])
         return out
 
-    probe = ["moron", "more", "mob", "zzz", "é"]
-    assert np.allclose(model.words(probe), [log_odds(w) for w in probe], atol=1e-4)
+    return log_odds
+
+
+def test_whole_toxicity_scores_match_brute_force(spark, monkeypatch):
+    """Kneser-Ney by dictionaries, evidence by text and the logistic weights, against the tables, in chunks of a few texts."""
+    from collections import defaultdict
+
+    monkeypatch.setattr(toxicity, "CHUNK", 300)
+    r = random.Random(4)
+    base = ["moron", "morons", "more", "mo", "a", "ab", "été", "𝒳y", "river", "rivers"]
+    texts = [" ".join(r.choice(base[:4] if i % 2 and r.random() < 0.6 else base[2:]) for _ in range(r.randrange(1, 9))) for i in range(120)] + ["", "!!", "zzz unseen", "MORON moron"]
+    docs = spark.createDataFrame([(i, t, 0.1, 1) for i, t in enumerate(texts)] + [(None, None, 0.2, 0), (None, "moron", 0.2, 0)], "doc_id long, text string, score double, label int").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(110)], "doc_id long, toxic int")
+    crc = lambda i: zlib.crc32(str(i).encode())
+    grams = defaultdict(lambda: [0, 0])
+    for i in range(110):
+        if crc(i) % 5 and crc(i) % 25 // 5:
+            for w in set(toxicity.words_of(texts[i])):
+                for g in toxicity.spell(w):
+                    grams[g][i % 2] += 1
+    odds = _kneser_ney(grams)
+
+    def brute(text):
+        words = toxicity.words_of(text)
+        if not words:
+            return 0.0, 0.0
+        once = [odds(w) for w in set(words)]
+        return np.mean([odds(w) for w in words]), sum(v for v in once if v > toxicity.STRONG) / len(once) ** 0.5
+
+    want = [brute(t) for t in texts]
+    aside = [i for i in range(110) if crc(i) % 5 and crc(i) % 25 // 5 == 0]
+    scale = lambda x: np.column_stack([10 * np.array(x)[:, 0], np.log1p(np.array(x)[:, 1])])
+    w = fit_logistic(scale([want[i] for i in aside]), np.array([i % 2 for i in aside], float))
+    score = logistic(scale(want), w)
+    got = toxicity.score(docs, labels).collect()
+    assert len(got) == len(texts) + 2
+    by = {x.doc_id: x.score for x in got if x.doc_id is not None}
+    assert np.allclose([by[i] for i in range(len(texts))], score, atol=1e-6)
+    assert np.allclose(sorted(x.score for x in got if x.doc_id is None), sorted(logistic(scale([(0.0, 0.0), brute("moron")]), w)), atol=1e-6)
 
 
 def test_quality_held_out(spark, docs, labels):
