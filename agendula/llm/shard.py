@@ -1,10 +1,9 @@
 """Sharding by longest-processing-time scheduling of groups that must stay together.
 
-Groups are the rows with equal texts. Every group above ``cut`` of the whole is scheduled by itself; the lighter ones are first
-packed by their key's hash into ``bundles`` units, so what the driver schedules is bounded by
-``shards * heavy_per_shard + bundles`` items at any input size. The items, largest first, go to the least-loaded shard
-through a heap. With 8,192 bundles a shard's load is made of some 500 units, and the smallest of them decides the
-imbalance: well below a thousandth of the whole, unless one group outweighs a shard.
+Groups are the rows with equal texts. Groups by falling size go to the least-loaded shard through a heap. Groups of one size are
+alike to the schedule, so the driver sees only how many there are of each size: with total size S no more than sqrt(2 S) rows, a few
+million at 100 TB. A long run of equal sizes is poured over the shards at once, to the loads that the heap would reach one by one.
+Which group of a size goes where follows from its rank among them, numbered without a global window.
 
 Defined results: a null text weighs 1 and groups with the empty text; repeated rows and ties share their group's shard; an
 empty table gives an empty table; extra columns are ignored.
@@ -13,40 +12,47 @@ empty table gives an empty table; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 
 
-def lpt(sizes: list[tuple[int, str]], shards: int) -> dict[str, int]:
-    """Shard by item: items by falling size, ties by name, each to the least-loaded shard (ties: the lowest number)."""
-    heap = [(0, k) for k in range(shards)]
-    placed = {}
-    for size, item in sorted(sizes, key=lambda x: (-x[0], x[1])):
-        load, k = heapq.heappop(heap)
-        placed[item] = k
-        heapq.heappush(heap, (load + size, k))
-    return placed
+def lpt(sizes: list[tuple[int, int]], shards: int) -> dict[int, list[int]]:
+    """(size, number of groups) to how many of each size every shard takes: largest first, each to the least-loaded shard (ties: the lowest)."""
+    heap, out = [(0, k) for k in range(shards)], {}
+    for size, count in sorted(sizes, reverse=True):
+        took = [0] * shards
+        if count > 4 * shards:
+            loads = [load for load, _ in sorted(heap, key=lambda x: x[1])]
+            # Below the level t the heap hands a shard a group as long as its load is lower.
+            given = lambda t: [max(0, -(-(t - load) // size)) for load in loads]  # noqa: E731, B023
+            low, high = min(loads), max(loads) + size * count
+            while low < high:
+                t = (low + high + 1) // 2
+                low, high = (t, high) if sum(given(t)) <= count else (low, t - 1)
+            took = given(low)
+            heap = [(load + n * size, k) for k, (load, n) in enumerate(zip(loads, took, strict=True))]
+            heapq.heapify(heap)
+        for _ in range(count - sum(took)):
+            load, k = heap[0]
+            took[k] += 1
+            heapq.heapreplace(heap, (load + size, k))
+        out[size] = took
+    return out
 
 
-def assign(rows: DataFrame, key: str, size: str, shards: int = 16, bundles: int = 8192, heavy_per_shard: int = 64) -> DataFrame:
-    """``rows`` plus ``shard`` (int). ``key``: a non-null column that names the group. ``size``: a long column."""
-    groups = rows.groupBy(key).agg(F.sum(size).alias("__size"))
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    heavy = F.col("__size") * (shards * heavy_per_shard) >= total
-    bundle = F.concat(F.lit("b"), F.pmod(F.xxhash64(F.col(key)), F.lit(bundles)).cast("string"))
-    unit = F.when(heavy, F.concat(F.lit("g"), F.col(key))).otherwise(bundle)
-    units = groups.groupBy(unit.alias("unit")).agg(F.sum("__size").alias("size")).collect()
-    placed = lpt([(r["size"], r["unit"]) for r in units], shards)
-    spark = rows.sparkSession
-    # Both tables have a proven bound: the bundles' number, and the keys that can outweigh the cut.
-    packed = spark.createDataFrame([(int(u[1:]), k) for u, k in placed.items() if u[0] == "b"], "__bundle long, __packed int")
-    own = spark.createDataFrame([(u[1:], k) for u, k in placed.items() if u[0] == "g"], "__key string, __own int")
-    at = rows.withColumn("__bundle", F.pmod(F.xxhash64(F.col(key)), F.lit(bundles)))
-    at = at.join(F.broadcast(packed), "__bundle", "left").join(F.broadcast(own), F.col(key) == F.col("__key"), "left")
-    return at.withColumn("shard", F.coalesce("__own", "__packed")).drop("__bundle", "__packed", "__key", "__own")
+def assign(rows: DataFrame, key: str, size: str, shards: int = 16) -> DataFrame:
+    """``rows`` plus ``shard`` (int). ``key``: a non-null column that names the group. ``size``: a long column of 1 or more."""
+    groups = cut(rows.groupBy(key).agg(F.sum(size).alias("__size")), "shard-groups")
+    counts = [(r["__size"], r["n"]) for r in groups.groupBy("__size").agg(F.count(F.lit(1)).alias("n")).collect()]
+    ends = [(s, list(accumulate(took))) for s, took in lpt(counts, shards).items()]
+    ends = rows.sparkSession.createDataFrame(ends, "__size long, __ends array<bigint>")
+    placed = slots(groups.withColumn("__row", F.lit(0)), "__size", F.col(key)).join(small(ends, len(counts)), "__size")
+    placed = cut(placed.select(key, F.size(F.filter("__ends", lambda e: e <= F.col("slot"))).alias("shard")), "shard-placed")
+    return rows.join(placed, key)
 
 
 def slots(rows: DataFrame, shard: str, order: Column, per_cell: int = 20_000) -> DataFrame:
@@ -65,9 +71,9 @@ def slots(rows: DataFrame, shard: str, order: Column, per_cell: int = 20_000) ->
     return cell.join(starts, [shard, "__cell"]).withColumn("slot", (F.col("__from") + inside - 1).cast("long")).drop("__from", "__cell")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, bundles: int = 8192) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row: equal texts together, shards' bytes near equal."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.sha2(raw, 256).alias("key"))
+    rows = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.sha2(raw, 256)).alias("key"))
     rows = cut(rows.withColumn("__row", F.monotonically_increasing_id()), "shard-rows")
-    return slots(assign(rows, "key", "size", shards, bundles), "shard", F.col("doc_id")).drop("key", "__row")
+    return slots(cut(assign(rows, "key", "size", shards).drop("key"), "shard-assigned"), "shard", F.col("doc_id")).drop("__row")

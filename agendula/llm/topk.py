@@ -5,13 +5,14 @@ list from its top, with a negative weight from its bottom. All lists are read to
 a candidate after a round is exact: a component that its list has passed counts in full; any other lies between the list's end
 and the place read last. Summed over lists these give the candidate's lower and upper bound; for all queries and candidates of a
 block at once the sums are matrix products, since the place read depends on the list alone. A candidate whose upper bound is
-below the query's k-th best lower bound can no longer qualify. When few are left the lists' remaining components resolve their
-final scores. The k-th best carries over from block to block, so later blocks stop early.
+below the query's k-th best lower bound can no longer qualify. After the last round only those that still can get their final
+scores. The first block starts from its own lower bounds; the k-th best carries over from block to block, so later ones stop early.
 
 Queries and candidates are dealt into groups of bounded size; every query group meets every candidate group in one task, which
 returns k rows a query, and a second step merges these. Nothing is broadcast and no pair of rows is formed.
 
 Components become floor(scale * x); sums stay exact, in float32 where all fit 24 bits, float64 within 53, else Python integers.
+Every query still meets every block, so the work grows as queries times candidates; the bounds lower its constant.
 
 Defined results: vectors null, or holding null or non-finite components, take no part, nor do rows without an id; wholly
 repeated rows count once; a score beyond 64 bits is held at their end; vectors of unequal lengths meet as if the shorter ended in zeros; ties go to the smaller id; an empty
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Batches, cut
 
-DEPTHS = (0.75, 0.9)
+DEPTHS = (0.25, 0.5, 0.75, 0.9)
 BLOCK = 2048
 
 
@@ -77,15 +78,26 @@ class Lists:
         self.x = x
         self.sorted = np.sort(x, axis=0)
 
-    def after(self, depth: float) -> tuple[np.ndarray, ...]:
-        """Components known from the tops and from the bottoms: (upper, lower) for positive, (upper, lower) for negative weights."""
-        n = len(self.x)
+    def after(self, depth: float, columns: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of some candidates the components known from the tops and from the bottoms: (upper, lower) for positive, (upper, lower) for negative weights."""
+        n, x = len(self.x), self.x[columns]
         read = min(n, max(1, int(np.ceil(n * depth))))
         top, low = self.sorted[n - read], self.sorted[read - 1]
-        x, seen_top, seen_low = self.x, self.x >= top, self.x <= low
+        seen_top, seen_low = x >= top, x <= low
         return np.where(seen_top, x, top), np.where(seen_top, x, self.sorted[0]), np.where(seen_low, x, low), np.where(seen_low, x, self.sorted[-1])
 
 
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row."""
+    return np.sort(scores, axis=1)[:, -k] if scores.dtype == object else -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+
+
+def _resolve(q: np.ndarray, x: np.ndarray, rows: np.ndarray, columns: np.ndarray, step: int = 65536) -> np.ndarray:
+    """Final scores of pairs."""
+    parts = [(q[rows[a : a + step]] * x[columns[a : a + step]]).sum(axis=1) for a in range(0, len(rows), step)]
+    return np.concatenate([*parts, np.empty(0, q.dtype)])
+
+
 def search(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, block: int = BLOCK) -> list[tuple[int, int, int]]:
     """(query row, id, score): the k best candidates of every query, the query's own id left out."""
     width = max(queries.shape[1], x.shape[1])
@@ -93,56 +105,42 @@ def search(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.nd
     queries, x = pad(queries), pad(x)
     kind = _exact_type(queries, x)
     q, x = queries.astype(kind), x.astype(kind)
-    if kind is object or not width:
-        return _plain(q, query_ids, x, ids, k)
     up, down = np.maximum(q, 0), np.minimum(q, 0)
     n_q, none = len(q), -np.inf
-    best = np.full((n_q, k), none, np.float64)
+    best = np.full((n_q, k), none, object if kind is object else np.float64)
     best_id = np.full((n_q, k), np.iinfo(np.int64).max)
     for a in range(0, len(x), block):
         part, part_ids = x[a : a + block], ids[a : a + block]
         lists = Lists(part)
-        alive = np.ones((n_q, len(part)), bool)
-        alive[query_ids[:, None] == part_ids[None, :]] = False
-        for depth in DEPTHS if np.isfinite(best[:, -1]).all() else ():
-            upper_t, lower_t, upper_b, lower_b = lists.after(depth)
-            least = best[:, -1]
-            if len(part) >= k:
-                lower = np.where(alive, up @ lower_t.T + down @ lower_b.T, none)
-                least = np.maximum(least, -np.partition(-lower, k - 1, axis=1)[:, k - 1])
-            alive &= up @ upper_t.T + down @ upper_b.T >= least[:, None]
-            if alive.sum() <= 0.02 * alive.size:
+        alive = query_ids[:, None] != part_ids[None, :]
+        for depth in DEPTHS:
+            columns = np.flatnonzero(alive.any(axis=0))
+            if not len(columns):
                 break
+            upper_t, lower_t, upper_b, lower_b = lists.after(depth, columns)
+            least = best[:, -1]
+            if len(columns) >= k:
+                least = np.maximum(least, _best(np.where(alive[:, columns], up @ lower_t.T + down @ lower_b.T, none), k))
+            alive[:, columns] &= (up @ upper_t.T + down @ upper_b.T >= least[:, None]).astype(bool)
         rows, columns = np.nonzero(alive)
-        if alive.mean() > 0.2:
-            scores = (q @ part.T)[rows, columns]
-        else:
-            scores = np.concatenate([np.einsum("ij,ij->i", q[rows[c : c + 65536]], part[columns[c : c + 65536]]) for c in range(0, len(rows), 65536)] or [np.empty(0)])
-        enough = scores >= best[rows, -1]
-        best, best_id = _merge(best, best_id, rows[enough], scores[enough].astype(np.float64), part_ids[columns[enough]], k)
-    got = np.nonzero(np.isfinite(best))
-    return list(zip(got[0].tolist(), best_id[got].tolist(), best[got].astype(np.int64).tolist(), strict=True))
+        scores = _resolve(q, part, rows, columns)
+        enough = np.flatnonzero(scores >= best[rows, -1])
+        best, best_id = _merge(best, best_id, rows[enough], scores[enough].astype(best.dtype), part_ids[columns[enough]], k)
+    got = np.nonzero(best > none)
+    return list(zip(got[0].tolist(), best_id[got].tolist(), map(int, best[got].tolist()), strict=True))
 
 
 def _merge(best: np.ndarray, best_id: np.ndarray, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(best)
     rows = np.concatenate([np.repeat(np.arange(n), k), rows])
     scores, ids = np.concatenate([best.ravel(), scores]), np.concatenate([best_id.ravel(), ids])
-    order = np.lexsort((ids, -scores, rows))
+    falling = -np.unique(scores, return_inverse=True)[1] if scores.dtype == object else -scores
+    order = np.lexsort((ids, falling, rows))
     rank = np.arange(len(rows)) - np.searchsorted(rows[order], np.arange(n))[rows[order]]
     order = order[rank < k]
     return scores[order].reshape(n, k), ids[order].reshape(n, k)
 
 
-def _plain(q: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """For integers too wide for floating point: the same scores with Python integers."""
-    out = []
-    for i, own in enumerate(query_ids.tolist()):
-        scored = sorted((-int(sum(int(a) * int(b) for a, b in zip(q[i], row, strict=True))), c) for row, c in zip(x, ids.tolist(), strict=True) if c != own)
-        out += [(i, c, -s) for s, c in scored[:k]]
-    return out
-
-
 def _meet(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
     if not len(queries) or not len(candidates):
         return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="object")})

@@ -191,5 +191,27 @@ def test_top_k_bounds_over_many_blocks(monkeypatch):
         assert sorted((-v, c) for j, c, v in got if j == i) == want
 
 
+def test_bounds_work_from_the_first_block_on(monkeypatch):
+    """Few of the pairs of one small block get a final score."""
+    resolved = []
+    plain = topk._resolve
+    monkeypatch.setattr(topk, "_resolve", lambda q, x, rows, columns: resolved.append(len(rows)) or plain(q, x, rows, columns))
+    r = np.random.default_rng(4)
+    x = np.floor(64 * r.normal(size=(500, 64)) / 8).astype(np.int64)
+    got = topk.search(x[:25], np.arange(25), x, np.arange(500), 20)
+    assert resolved[0] < 0.25 * 25 * 499
+    s = x[:25] @ x.T
+    for i in range(25):
+        want = sorted((-int(v), c) for c, v in enumerate(s[i]) if c != i)[:20]
+        assert sorted((-v, c) for j, c, v in got if j == i) == want
+
+
+def test_top_k_among_clashing_columns(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, r.normal(size=4).tolist(), i, 1.0, 2, 3) for i in range(60)]
+    got = topk.top_k(spark.createDataFrame(rows, "id long, vector array<double>, g long, score double, rank int, v int"))
+    assert sorted(map(tuple, got.collect())) == _top([x[:2] for x in rows], 20)
+
+
 def test_top_k_empty(spark):
     assert topk.top_k(spark.createDataFrame([], "id long, vector array<float>")).collect() == []
