@@ -12,8 +12,9 @@ twice under it, so a rare expression is smoothed and keeps a share of its count.
 
 Counting covers all labelled training rows but every fifth, which calibrate (at most ``CALIBRATE`` rows, least hash first). The
 counts of all grams and contexts stay tables that grow with the corpus, and no worker holds them: texts are read once into chunks of
-bounded size, each with a dictionary of its words; the distinct words of all chunks are spelled into grams, whose probabilities
-follow order by order from joins with the counts; every chunk then gets the evidence of its own words back by a join.
+bounded size, each with a dictionary of its words, and every chunk gets the evidence of its own words back by a join. The distinct
+words of all chunks are spelled in the same way: chunks of words with a dictionary of their grams, whose probabilities follow order
+by order from joins with the counts.
 
 Defined results: null, empty and wordless texts have no evidence and get the score of none; repeated rows count as often as they
 stand; a document with several labels is toxic if one says so; null labels teach nothing; without labels of both classes the score
@@ -23,8 +24,9 @@ is the smoothed share of toxic labels; an empty table gives an empty table; extr
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
-from itertools import chain
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .calibrate import fit_logistic
-from .common import Batches, crc_mod, cut, lean, small
+from .common import Batches, crc_mod, cut, discard, lean, small
 
 ORDER, STRONG, CALIBRATE = 6, 4.0, 20_000
 DISCOUNT, TOP_DISCOUNT, WORDS = 0.75, 0.75, re.compile(r"\w+")
 #: Characters of text in a chunk (a longer text is a chunk of its own).
-CHUNK = 4_000_000
+CHUNK, WORD_CHUNK = 32_000_000, 3_000_000
 _START, _END, _NONE = "\x01" * (ORDER - 1), "\x02", 1e-4
 
 
@@ -116,11 +118,12 @@ def _contexts(grams: DataFrame, order: int, columns: dict[str, float]) -> DataFr
 
 
 def apart(needed: DataFrame, grams: DataFrame, taken: list[float]) -> DataFrame:
-    """Grams of the highest order (gram) to gram, apart: log P(last character | toxic) - log P(... | ordinary)."""
+    """Distinct grams of the highest order (word) to word, v: log P(last character | toxic) - log P(... | ordinary)."""
+    needed, done = cut(needed.select(F.col("word").alias("gram")), "toxicity-needed"), []
     levels = {ORDER: grams}
     for k in range(ORDER - 1, 0, -1):
         levels[k] = cut(levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "toxicity-grams")
-    p = None
+    p = None  # of the order below
     for k in range(1, ORDER + 1):
         columns = {"n": DISCOUNT} if k < ORDER else dict(zip(("clean", "toxic"), taken, strict=True))
         rows = needed.select(F.substring("gram", ORDER - k + 1, k).alias("gram")).distinct() if k < ORDER else needed
@@ -133,85 +136,105 @@ def apart(needed: DataFrame, grams: DataFrame, taken: list[float]) -> DataFrame:
         each = {c: _smooth(c, f"total_{c}", f"taken_{c}", d, below) for c, d in columns.items()}
         if k < ORDER:
             p = cut(rows.select("gram", each["n"].alias("p")), "toxicity-order")
+            done += [levels[k], p]
         else:
             least = lambda c: F.log(F.greatest(each[c], F.lit(1e-30)))
-            return rows.select("gram", (least("toxic") - least("clean")).alias("apart"))
-
-
-def _spelled(batches: Batches, step: int = 2000) -> Batches:
-    for batch in batches:
-        for a in range(0, len(batch), step):
-            part = batch.slice(a, step)
-            grams = [spell(w) for w in part["word"].to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams]))
-            yield pa.RecordBatch.from_arrays([part["number"].take(at), pa.array(chain.from_iterable(grams), pa.string())], ["number", "gram"])
-
-
-def word_evidence(words: DataFrame, grams: DataFrame) -> DataFrame:
-    """Distinct words (word) to word, v: log P(word | toxic) - log P(word | ordinary)."""
-    words = cut(words.withColumn("number", F.monotonically_increasing_id()), "toxicity-words")  # numbered once
-    spelled = cut(words.mapInArrow(_spelled, "number long, gram string"), "toxicity-spelled")
-    needed = cut(spelled.select("gram").distinct(), "toxicity-needed")
-    each = cut(apart(needed, grams, discounts(grams, ["clean", "toxic"])), "toxicity-order")
-    sums = spelled.join(each, "gram").groupBy("number").agg(F.sum("apart").alias("v"))
-    return cut(words.join(sums, "number").select("word", "v"), "toxicity-weights")
+            out = cut(rows.select(F.col("gram").alias("word"), (least("toxic") - least("clean")).alias("v")), "toxicity-order")
+    for table in [needed, *done]:
+        discard(table)
+    return out
 
 
 _CHUNKS = "words array<string>, ids array<bigint>, sizes binary, which binary, times binary"
 
 
-def _chunks(batches: Batches) -> Batches:
-    """(doc_id, text) to a row a chunk: its distinct words, and for each text how many it has, which, and how often."""
+def _chunks(batches: Batches, split, room: int) -> Batches:
+    """(id, text) to a row a chunk: its distinct words, and for each text how many it has, which (as differences), and how often."""
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    pack = lambda x: squeeze(np.array(x, np.int32).tobytes())
+    pack = lambda x: pa.array([squeeze(x.astype(np.int32).tobytes())], pa.binary())
 
     def chunk() -> pa.RecordBatch:
-        columns = [pa.array([list(index)], pa.list_(pa.string())), pa.array([ids], pa.list_(pa.int64())), *(pa.array([pack(x)], pa.binary()) for x in (sizes, which, times))]
-        return pa.RecordBatch.from_arrays(columns, ["words", "ids", "sizes", "which", "times"])
-
-    index, ids, sizes, which, times, held = {}, [], [], [], [], 0
+        n, w, t = (np.frombuffer(x, np.int32) for x in (sizes, which, times))
+        of = np.repeat(np.arange(len(n)), n)
+        by = np.lexsort((w, of))
+        w, t = np.diff(w[by], prepend=0), t[by]
+        starts = np.cumsum(n) - n
+        w[starts[n > 0]] = np.cumsum(w)[starts[n > 0]]  # each text's first is no difference
+        return pa.RecordBatch.from_arrays([pa.array([list(index)], pa.list_(pa.string())), pa.array([ids], pa.list_(pa.int64())), pack(n), pack(w), pack(t)], ["words", "ids", "sizes", "which", "times"])
+
+    fresh = lambda: ({}, [], array("i"), array("i"), array("i"), 0)
+    index, ids, sizes, which, times, held = fresh()
     for batch in batches:
-        for i, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            words = Counter(words_of(text))
+        for i, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            words = Counter(split(text))
             ids.append(i)
             sizes.append(len(words))
             which.extend([index.setdefault(w, len(index)) for w in words])
             times.extend(words.values())
-            held += len(text or "")
-            if held > CHUNK or len(ids) >= 100_000:
+            held += len(text or "") + 8
+            if held > room:
                 yield chunk()
-                index, ids, sizes, which, times, held = {}, [], [], [], [], 0
+                index, ids, sizes, which, times, held = fresh()
     if ids:
         yield chunk()
 
 
 def _weighed(batches: Batches) -> Batches:
-    """Chunks with the evidence of their words in place of the words to (doc_id, a, b)."""
+    """Chunks with the weights of their words in place of the words to (id, v, n, strong, distinct)."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        for ids, values, *blobs in zip(*[batch[c] for c in ("ids", "v", "sizes", "which", "times")], strict=True):
+        for ids, at, values, *blobs in zip(*[batch[c] for c in ("ids", "i", "v", "sizes", "which", "times")], strict=True):
             sizes, which, times = (np.frombuffer(unpack(b.as_py()), np.int32) for b in blobs)
-            v = np.asarray(values.values if values.is_valid else [], np.float64)[which]
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            total = lambda x: np.bincount(of, x, minlength=len(sizes))  # noqa: E731, B023
-            mean = total(v * times) / np.maximum(total(times), 1)
-            strong = total(np.where(v > STRONG, v, 0.0)) / np.sqrt(np.maximum(sizes, 1))
-            yield pa.RecordBatch.from_arrays([ids.values, pa.array(mean), pa.array(strong)], ["doc_id", "a", "b"])
+            of, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+            run = np.concatenate(([0], np.cumsum(which, dtype=np.int64)))
+            known = np.zeros(len(at.values) if at.is_valid else 0)
+            if at.is_valid:
+                known[np.asarray(at.values)] = np.asarray(values.values)
+            weights = known[run[1:] - run[starts][of]]
+            total = lambda x: pa.array(np.bincount(of, x, minlength=len(sizes)).astype(np.float64))  # noqa: E731, B023
+            columns = [ids.values, total(weights * times), total(times), total(np.where(weights > STRONG, weights, 0.0)), pa.array(sizes.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "v", "n", "strong", "distinct"])
+
+
+def weigh(rows: DataFrame, split, room: int, weights) -> DataFrame:
+    """(id, text) to id and of its words by ``split``: v (sum of weights), n (words), strong (sum of the distinct strong ones), distinct.
+
+    ``weights`` makes of all distinct words (word) their weights (word, v).
+    """
+    chunks = rows.select("id", "text").mapInArrow(partial(_chunks, split=split, room=room), _CHUNKS)
+    chunks = cut(chunks.withColumn("chunk", F.monotonically_increasing_id()), "toxicity-chunks")  # numbered once
+    met = chunks.select("chunk", F.posexplode("words").alias("i", "word"))
+    known = weights(met.select("word").distinct())
+    # Every word of a chunk has a weight; both lists are gathered row by row, so they have one order.
+    back = met.join(known, "word").groupBy("chunk").agg(F.collect_list("i").alias("i"), F.collect_list(F.col("v").cast("float")).alias("v"))
+    whole = chunks.drop("words").join(back, "chunk", "left")
+    out = cut(whole.drop("chunk").mapInArrow(_weighed, "id long, v double, n double, strong double, distinct long"), "toxicity-weighed")
+    for done in (chunks, known):
+        discard(done)
+    return out
+
+
+def word_evidence(words: DataFrame, grams: DataFrame) -> DataFrame:
+    """Distinct words (word) to word, v: log P(word | toxic) - log P(word | ordinary)."""
+    words = cut(words.withColumn("id", F.monotonically_increasing_id()), "toxicity-words")  # numbered once
+    taken = discounts(grams, ["clean", "toxic"])
+    found = weigh(words.select("id", F.col("word").alias("text")), spell, WORD_CHUNK, lambda needed: apart(needed, grams, taken))
+    out = cut(words.join(found, "id").select("word", "v"), "toxicity-weights")
+    for done in (words, found):
+        discard(done)
+    return out
 
 
 def evidence(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """doc_id, a (mean difference a word), b (differences of the distinct strong words over the root of their number) of every text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunks, _CHUNKS)
-    chunks = cut(rows.withColumn("chunk", F.monotonically_increasing_id()), "toxicity-chunks")  # numbered once
-    met = chunks.select("chunk", F.posexplode("words").alias("i", "word"))
-    known = word_evidence(met.select("word").distinct(), grams)
-    back = met.join(known, "word").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("v"))
-    whole = chunks.drop("words").join(back.select("chunk", F.col("v.v").alias("v")), "chunk", "left")
-    return cut(whole.drop("chunk").mapInArrow(_weighed, "doc_id long, a double, b double"), "toxicity-evidence")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    found = weigh(rows, words_of, CHUNK, lambda words: word_evidence(words, grams))
+    least = lambda c: F.greatest(c, F.lit(1))
+    return found.select(F.col("id").alias("doc_id"), (F.col("v") / least("n")).alias("a"), (F.col("strong") / F.sqrt(least("distinct"))).alias("b"))
 
 
 def calibrate(found: DataFrame, known: DataFrame) -> np.ndarray:
