@@ -127,3 +127,7 @@ FLYER_PATTERNS = [
     (r"yoga|course|trail|rando|match|tournoi|petanque|marathon", "sport"), (r"apero|rencontre|expat|quiz|jeux|blind.?test", "social"),
 ]
 FLYER_MONTHS = {"janv": 1, "fev": 2, "fevr": 2, "avr": 4, "jui": 6, "juil": 7, "aou": 8, "sept": 9}
+
+#: A venue and a title that say that an event is online.
+ONLINE_VENUE = r"(?i)^\s*online\b|online\s+event"
+ONLINE_TITLE = r"(?i)[\[(]\s*(?:online|en\s+ligne|virtual|virtuel|zoom|webinar)\s*[\])]|^\s*online\s*!+"

@@ -2,35 +2,58 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as X
 
-_ENTITIES = {"&quot;": '"', "&#39;": "'", "&apos;": "'", "&#x27;": "'", "&rsquo;": "’", "&lsquo;": "‘", "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&laquo;": "«", "&raquo;": "»", "&eacute;": "é", "&egrave;": "è", "&agrave;": "à", "&ccedil;": "ç", "&euro;": "€", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
-#: Ranges whose compatibility decompositions occur in listings: Latin, punctuation, super- and subscripts, full width, mathematical letters.
-_RANGES = ((0xA0, 0x250), (0x1E00, 0x1F00), (0x2000, 0x2100), (0x2100, 0x2150), (0xFF01, 0xFF5F), (0x1D400, 0x1D800))
-_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "…": "...", "½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4"}
+#: Code points whose decompositions are not looked up: Hangul syllables and the ideographs kept for compatibility.
+_PLAIN = (range(0xAC00, 0xD7A4), range(0xF900, 0xFB00), range(0x2F800, 0x2FA20))
+#: Code points that can decompose into several characters: punctuation and letter-like signs, enclosed ones, squared units, ligatures.
+_LONG = ((0xA8, 0xBE), (0x132, 0x133), (0x2010, 0x218F), (0x2460, 0x24FF), (0x3200, 0x33FF), (0xFB00, 0xFB06))
+
+
+def _normal(c: str, form: str, keep_marks: bool) -> str:
+    t = unicodedata.normalize(form, c)
+    return t if keep_marks else "".join(x for x in t if not unicodedata.combining(x))
 
 
 @lru_cache(4)
 def _letters(form: str, keep_marks: bool) -> tuple[str, str]:
-    """Characters of the ranges and what normalisation makes of them, where that is one character."""
+    """Characters and what normalisation makes of them, where that is one character."""
     source, target = [], []
-    for a, z in _RANGES:
-        for c in map(chr, range(a, z)):
-            t = unicodedata.normalize(form, c)
-            if not keep_marks:
-                t = "".join(x for x in t if not unicodedata.combining(x))
-            if t != c and len(t) == 1:
-                source.append(c)
-                target.append(t)
+    for c in map(chr, range(0x80, 0x20000)):
+        t = _normal(c, form, keep_marks) if not any(ord(c) in r for r in _PLAIN) else c
+        if t != c and len(t) == 1:
+            source.append(c)
+            target.append(t)
     return "".join(source), "".join(target)
 
 
+@lru_cache(4)
+def _several(form: str, keep_marks: bool) -> str:
+    """What normalisation makes of the characters that become several, as JSON."""
+    found = {c: _normal(c, form, keep_marks) for a, z in _LONG for c in map(chr, range(a, z + 1))}
+    return json.dumps({c: t for c, t in found.items() if len(t) > 1}, ensure_ascii=False)
+
+
+@lru_cache(1)
+def _entities() -> str:
+    """Named character references and the numbers that stand for another character, as JSON."""
+    named = {k.removesuffix(";"): v for k, v in html5.items() if k.endswith(";") and len(v) == 1}
+    wrong = {f"#{n}": t for n in range(128, 160) if (t := bytes([n]).decode("cp1252", "ignore"))}
+    return json.dumps(named | wrong, ensure_ascii=False)
+
+
+def _lookup(table: str, key: Column) -> Column:
+    return F.try_element_at(F.from_json(F.lit(table), "map<string,string>"), key)
+
+
 def _or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -47,14 +70,20 @@ def _replace_all(c: Column, table: dict[str, str]) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    """Compatibility decomposition without its marks, over the ranges above."""
-    source, target = _letters("NFKD", False)
-    return F.regexp_replace(_replace_all(F.translate(c, source, target), _LIGATURES), r"\p{Mn}", "")
+    """Compatibility decomposition without its marks."""
+    return F.regexp_replace(_normalised(c, "NFKD", False), r"\p{Mn}", "")
 
 
 def nfkc(c: Column) -> Column:
-    source, target = _letters("NFKC", True)
-    return _replace_all(F.translate(c, source, target), _LIGATURES)
+    return _normalised(c, "NFKC", True)
+
+
+def _normalised(c: Column, form: str, keep_marks: bool) -> Column:
+    source, target = _letters(form, keep_marks)
+    some = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{z:X}}}" for a, z in _LONG) + "]"
+    one = lambda ch: F.coalesce(_lookup(_several(form, keep_marks), ch), ch)
+    longer = lambda t: F.when(t.rlike(some), F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)(.)"), F.lit(1)), one), "")).otherwise(t)
+    return let(F.translate(c, source, target), longer)
 
 
 def fold(c: Column, flatten: bool = False) -> Column:
@@ -143,8 +172,27 @@ def venue_core(venue: Column) -> Column:
     return slugify(F.split_part(_or_empty(venue), F.lit(","), F.lit(1)))
 
 
+_REFERENCE = "&(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};)"
+
+
 def unescape(c: Column) -> Column:
-    return _replace_all(c, _ENTITIES)
+    """Character references, named and numeric, as what they stand for; unknown ones stay. Each is read once."""
+
+    def one(found: Column) -> Column:
+        name = F.regexp_replace(found, ";$", "")
+        digits = F.when(name.rlike("^#[xX]"), F.lower(F.substring(name, 3, 6))).when(name.startswith("#"), F.lower(F.hex(F.substring(name, 2, 7).cast("long"))))
+        code = F.conv(digits, 16, 10).cast("long")
+        sound = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        decimal = F.when(digits.isNotNull(), F.concat(F.lit("#"), code.cast("string"))).otherwise(name)
+        point = F.when(sound, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"))
+        return F.coalesce(_lookup(_entities(), decimal), point, F.when(digits.isNotNull(), F.lit("\ufffd")), F.concat(F.lit("&"), found))
+
+    def whole(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(_REFERENCE), F.lit(1)), one)
+        parts = F.zip_with(F.split(t, _REFERENCE), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        return F.when(t.contains("&"), F.array_join(parts, "")).otherwise(t)
+
+    return let(c, whole)
 
 
 def _squeeze(c: Column) -> Column:
@@ -310,9 +358,8 @@ def script_escape(c: Column) -> Column:
 
 def is_online(title: Column, venue: Column, event_type: Column, flagged: Column) -> Column:
     """A structured flag, the type, a virtual venue, or a bracketed marker in the title."""
-    venue_says = F.coalesce(venue, F.lit("")).rlike(r"(?i)^\s*(online( event)?|en ligne|virtual|zoom|webinar|teams|google meet)\b")
-    title_says = F.coalesce(title, F.lit("")).rlike(r"(?i)[\[(]\s*(online|en ligne|virtual|zoom|webinar)\b|\b(online|webinar|zoom)\s*[\])]|^\s*(online|webinar)\s*[:|-]")
-    return F.coalesce(flagged, F.lit(False)) | (F.upper(_or_empty(event_type)) == "ONLINE") | venue_says | title_says
+    venue_says, title_says = _or_empty(venue).rlike(X.ONLINE_VENUE), _or_empty(title).rlike(X.ONLINE_TITLE)
+    return F.coalesce(flagged, F.lit(False)) | F.upper(_or_empty(event_type)).isin("ONLINE", "VIRTUAL") | venue_says | title_says
 
 
 # --- descriptions of calendar entries

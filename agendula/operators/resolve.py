@@ -44,7 +44,7 @@ def merge_snapshot(stored: DataFrame, batch: DataFrame, now: Column) -> DataFram
     and its free flag and replace its url; others only add. ``added`` and ``merged`` tell what became of the row.
     """
     cols = [c for c in stored.columns if c not in ("fingerprint", "sources", "first_seen", "last_seen")]
-    old = stored.select("fingerprint", *cols, "sources", "first_seen", F.col("last_seen"), F.lit(-1).cast("long").alias("seq"))
+    old = stored.select("fingerprint", *cols, "sources", "first_seen", F.col("last_seen"), F.lit(-1).cast(batch.schema["seq"].dataType).alias("seq"))
     new = batch.select("fingerprint", *cols, F.array("source").alias("sources"), now.alias("first_seen"), now.alias("last_seen"), F.col("seq").cast("long").alias("seq"))
     rows = old.unionByName(new)
     owner = rows.groupBy("fingerprint").agg(F.min_by("source", "seq").alias("__owner"))
@@ -62,7 +62,7 @@ def merge_snapshot(stored: DataFrame, batch: DataFrame, now: Column) -> DataFram
     before = F.lag("title").over(Window.partitionBy("fingerprint").orderBy("seq"))
     titled = rows.withColumn("__title", F.when(before.isNull() | (before != F.col("title")), F.struct("seq", "title", T.says_cancelled(F.col("title")).alias("off"), T.title_penalty(F.col("title")).alias("bad"))))
     pick = lambda a, b: F.when(a["title"].isNull() | (b["off"] & ~a["off"]) | (b["bad"] < a["bad"]), b).otherwise(a)
-    start = F.lit(None).cast("struct<seq:bigint,title:string,off:boolean,bad:int>")
+    start = F.lit(None).cast(f"struct<seq:{batch.schema['seq'].dataType.simpleString()},title:string,off:boolean,bad:int>")
     out = titled.groupBy("fingerprint").agg(
         F.aggregate(F.array_sort(F.collect_list("__title")), start, pick)["title"].alias("title"),
         F.max_by("end", F.when(says, F.col("seq"))).alias("end"), last("time"), last("price"), last("image"), longest("venue"), longest("note"), F.coalesce(own_url, other_url).alias("url"),

@@ -99,14 +99,15 @@ def consecutive_blocks(events: DataFrame, by: list[str], name: str = "block") ->
 
 def fold_recurring(events: DataFrame, as_of: Column, near: int = X.NEAR_DAYS) -> DataFrame:
     """Recurring events (title, venue, town): consecutive nights are one row; rows starting beyond ``near`` days fold into one
-    that says on which other dates it is.
+    that says on which other dates it is. An event that is alone in its group stays as it is, however far.
     """
     e = events.withColumns({"__k": T.title_key(F.col("title")), "__v": T.slugify(F.col("venue")), "__t": F.col("town")})
     loose = e.where(F.col("__v") == "").drop("__k", "__v", "__t").withColumn("recurring", F.lit(False))
     keyed = consecutive_blocks(e.where(F.col("__v") != ""), ["__k", "__v", "__t"], "__block")
     order = F.struct(F.col("start"), F.coalesce("end", "start"), F.col("fingerprint"))
-    rows = merge_rows(keyed, ["__k", "__v", "__t", "__block"], order).drop("members")
-    is_near = F.col("start") <= F.date_add(as_of, near)
+    rows = merge_rows(keyed, ["__k", "__v", "__t", "__block"], order)
+    rows = rows.withColumn("__all", F.sum("members").over(Window.partitionBy("__k", "__v", "__t"))).drop("members")
+    is_near = (F.col("start") <= F.date_add(as_of, near)) | (F.col("__all") == 1)
     far = rows.where(~is_near)
     dates = F.transform(F.array_sort(F.collect_set("start")), D.short_day)
     more = far.groupBy("__k", "__v", "__t").agg(dates.alias("__dates"))

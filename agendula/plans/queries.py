@@ -124,7 +124,7 @@ _WORDS = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9\\s-]', ' ', 'g
 
 @query(
     """with d as (select distinct user_id, event_type, ts::date as day from events),
-g as (select user_id, event_type, day, day <= date '2024-01-10' as near from d),
+g as (select user_id, event_type, day, day <= date '2024-01-10' or count(*) over (partition by user_id, event_type) = 1 as near from d),
 far as (select user_id, event_type, min(day) as day, list(day order by day) as ds from g where not near group by all)
 select user_id, event_type, day, false as recurring, null::varchar as note from g where near
 union all
@@ -147,11 +147,11 @@ def slug_numbers(spark, folder):
     return sequences.assign_slugs(p).select("p_partkey", "slug")
 
 
-@query("""select o_orderkey, substr(sha1(replace(p_name, ' ', '-') || '|' || o_orderdate::date::varchar || '|' || 'nation-' || c_nationkey), 1, 16) as fingerprint
-from orders join customer on o_custkey = c_custkey join part on p_partkey = o_orderkey % 2000 where p_name not like 'new %'""")
+@query("""select o_orderkey, substr(sha1(replace(regexp_replace(p_name, '^new ', ''), ' ', '-') || '|' || o_orderdate::date::varchar || '|' || 'nation-' || c_nationkey), 1, 16) as fingerprint
+from orders join customer on o_custkey = c_custkey join part on p_partkey = o_orderkey % (select count(*) from part)""")
 def fingerprints(spark, folder):
     o, c, p = (_read(spark, folder, t) for t in ("orders", "customer", "part"))
-    j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(p, F.col("p_partkey") == F.col("o_orderkey") % 2000).where("p_name not like 'new %'")
+    j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(p, F.col("p_partkey") == F.col("o_orderkey") % p.count())
     # A badge and capitals do not change a title's identity.
     title = F.concat(F.upper("p_name"), F.lit(" (Free)"))
     return j.select("o_orderkey", T.fingerprint(title, F.to_date("o_orderdate"), F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string"))).alias("fingerprint"))
@@ -317,7 +317,7 @@ def shorten_notes(spark, folder):
 
 @query()
 def clean_titles(spark, folder):
-    return _read(spark, folder, "documents").select("doc_id", T.clean_title(F.split("text", "\n")[0]).alias("title"))
+    return _read(spark, folder, "documents").select("doc_id", T.clean_title(F.col("text")).alias("title"))
 
 
 @query("""select o_orderkey, o_orderdate::date as day from orders""")

@@ -59,7 +59,8 @@ class Registry:
         for rank, (name, s) in enumerate(self.sources.items()):
             if only is None or name in only:
                 rows = s.adapter(raw.where((F.col("source") == name) & F.col("body").isNotNull()), as_of)
-                seq = F.lit(rank << 52) + F.col("doc").cast("long") * F.lit(1 << 24) + F.col("pos").cast("long")
+                # A total order of digits, each part with room of its own: source, document, place in the document.
+                seq = F.concat(F.lit(str(rank)), F.lpad(F.col("doc").cast("string"), 19, "0"), F.lpad(F.col("pos").cast("string"), 16, "0")).cast("decimal(38,0)")
                 parts.append(shaped(rows).withColumn("source", F.lit(name)).withColumn("seq", seq).drop("doc", "pos"))
         out = reduce(DataFrame.unionByName, parts)
         return out.where((F.col("end") >= F.lit(as_of)) | (F.coalesce("end", "start") >= F.lit(as_of)))
@@ -117,16 +118,16 @@ def season_calendar(raw: DataFrame, as_of: dt.date, season_start: int, town: str
     spans = F.regexp_extract_all(F.lower("text"), F.lit(rf"((?:\d{{1,2}}(?:er)?\s*(?:,|et|au|&|-)?\s*)+(?:{names}))"), F.lit(1))
     c = c.select("*", F.posexplode(spans).alias("k", "span"))
     month = F.try_element_at(F.create_map(*[F.lit(x) for kv in X.MONTHS.items() for x in kv]), F.regexp_extract("span", rf"({names})$", 1))
-    c = c.withColumn("month", month).select("*", F.explode(day_list(F.regexp_replace("span", "er|et|,|&", " "))).alias("day"))
+    c = c.withColumn("month", month).select("*", F.posexplode(day_list(F.regexp_replace("span", "er|et|,|&", " "))).alias("n", "day"))
     start = F.try_to_date(F.format_string("%04d-%02d-%02d", D.season_year(F.col("month"), F.lit(season_start)), "month", "day"))
-    out = c.select("doc", (F.col("card") * 64 + F.col("k") * 8).alias("pos"), "title", start.alias("start"), D.parse_time(F.regexp_extract("text", r"(\d{1,2}\s*h\s*\d{0,2})", 1)).alias("time"), F.col("href").alias("url"), F.lit(town).alias("town"), F.lit(category).alias("category"))
+    out = c.select("doc", ((F.col("card").cast("long") * 10_000 + F.col("k")) * 10_000 + F.col("n")).alias("pos"), "title", start.alias("start"), D.parse_time(F.regexp_extract("text", r"(\d{1,2}\s*h\s*\d{0,2})", 1)).alias("time"), F.col("href").alias("url"), F.lit(town).alias("town"), F.lit(category).alias("category"))
     return _once(out.where("start is not null"), ["title", "start"])
 
 
 def structured_pages(raw: DataFrame, as_of: dt.date, town: str | None = None, category: str | None = None) -> DataFrame:
     """Pages with JSON-LD; a page without any falls back to its machine-readable cards."""
     texts = raw.select("doc", F.posexplode(H.json_ld(F.col("body"))).alias("k", "json"))
-    found = jsonld.events(texts).withColumn("pos", F.col("k") * 1000 + F.row_number().over(Window.partitionBy("doc", "k").orderBy("path")))
+    found = jsonld.events(texts).withColumn("pos", F.col("k").cast("long") * 10_000_000 + F.row_number().over(Window.partitionBy("doc", "k").orderBy("path")))
     found = found.withColumns({"town": F.coalesce(F.nullif("town", F.lit("Unknown")), F.lit(town)), "category": F.coalesce(F.lit(category), "category")})
     rest = raw.join(found.select("doc").distinct(), "doc", "left_anti")
     return shaped(_once(found, ["title", "start"])).unionByName(shaped(timed_cards(rest, as_of, town, category)))
@@ -185,7 +186,7 @@ def wordpress(raw: DataFrame, as_of: dt.date, places: DataFrame | None = None, t
     title = T.unescape(F.col("title"))
     start, end = D.parse_date(F.col("d.start_date"), F.lit(as_of)), D.parse_date(F.col("d.end_date"), F.lit(as_of))
     out = e.select(
-        "doc", (F.col("n") * 256 + F.col("k")).alias("pos"), title.alias("title"), start.alias("start"), F.when(end > start, end).alias("end"), D.parse_time(F.col("d.start_time")).alias("time"), F.lit(town).alias("town"), venue.alias("venue"),
+        "doc", (F.col("n").cast("long") * 1_000_000 + F.col("k")).alias("pos"), title.alias("title"), start.alias("start"), F.when(end > start, end).alias("end"), D.parse_time(F.col("d.start_time")).alias("time"), F.lit(town).alias("town"), venue.alias("venue"),
         F.coalesce(T.category_from_type(label), T.classify(title, label)).alias("category"), best_url(F.col("d.ticketing"), F.col("url"), F.col("link"), listed, parent, known).alias("url"), T.visible_note(F.col("excerpt")).alias("note"), "free")
     return out.where(F.col("start").isNotNull() & ~F.col("title").rlike("(?iu)pause fra[îi]cheur"))
 
@@ -208,19 +209,23 @@ def open_data(raw: DataFrame, as_of: dt.date, department: str = "06") -> DataFra
 
 
 def state_objects(raw: DataFrame, as_of: dt.date, town: str | None = None) -> DataFrame:
-    """Pages that carry their state as JSON: every object with a title and a time is an event, at any depth."""
+    """Pages that carry their state as JSON: every object with a title or name and a time is an event, at any depth. An online event has no
+    town; a page without any falls back to its dated cards."""
     texts = raw.select("doc", H.next_data(F.col("body")).alias("json")).where("json is not null")
     o = jsonld.objects(texts)
-    moment = F.coalesce(jsonld.get("$.dateTime"), jsonld.get("$.startTime"), jsonld.get("$.date"))
+    title = F.trim(F.coalesce(F.nullif(jsonld.get("$.title"), F.lit("")), jsonld.get("$.name")))
+    moment = F.coalesce(jsonld.get("$.dateTime"), jsonld.get("$.startTime"), F.when(jsonld.get("$.eventUrl").isNotNull(), jsonld.get("$.time")), F.when(jsonld.get("$.title").isNotNull(), jsonld.get("$.date")))
     day, clock = D.iso_parts(moment)
     venue, city = jsonld.get("$.venue.name"), F.coalesce(jsonld.get("$.venue.city"), jsonld.get("$.venue.area.name"))
     artists = F.transform(F.slice(F.coalesce(jsonld.get("$.artists", "array<variant>"), F.array().cast("array<variant>")), 1, 6), lambda a: F.try_variant_get(a, "$.name", "string"))
-    online = T.is_online(jsonld.get("$.title"), venue, jsonld.get("$.eventType"), jsonld.get("$.isOnline", "boolean"))
+    online = T.is_online(title, venue, jsonld.get("$.eventType"), jsonld.get("$.isOnline", "boolean"))
     out = o.select(
-        "doc", F.row_number().over(Window.partitionBy("doc").orderBy("path")).alias("pos"), jsonld.get("$.title").alias("title"), day.alias("start"), clock.alias("time"), T.canon_town(F.coalesce(city, F.lit(town))).alias("town"), venue.alias("venue"),
-        T.classify(jsonld.get("$.title"), venue).alias("category"), F.coalesce(jsonld.get("$.eventUrl"), jsonld.get("$.contentUrl")).alias("url"), F.coalesce(T.visible_note(jsonld.get("$.description")), F.nullif(F.array_join(artists, ", "), F.lit(""))).alias("note"),
+        "doc", F.row_number().over(Window.partitionBy("doc").orderBy("path")).alias("pos"), title.alias("title"), day.alias("start"), clock.alias("time"), F.when(online, F.lit("Online")).otherwise(T.canon_town(F.coalesce(city, F.lit(town)))).alias("town"), F.coalesce(venue, F.when(online, F.lit("Online event"))).alias("venue"),
+        T.classify(title, venue).alias("category"), F.coalesce(jsonld.get("$.eventUrl"), jsonld.get("$.url"), jsonld.get("$.contentUrl")).alias("url"), F.coalesce(T.visible_note(jsonld.get("$.description")), F.nullif(F.array_join(artists, ", "), F.lit(""))).alias("note"),
         F.coalesce(jsonld.get("$.isFree", "boolean"), F.lit(False)).alias("free"), online.alias("online"))
-    return _once(out.where("title is not null and start is not null"), ["title", "start"])
+    found = _once(out.where("title is not null and start is not null"), ["title", "start"])
+    rest = raw.join(found.select("doc").distinct(), "doc", "left_anti")
+    return shaped(found).unionByName(shaped(text_dated(rest, as_of, town)))
 
 
 _SUBMISSIONS = "array<struct<id:string,title:string,start_date:date,end_date:date,time:string,town:string,venue:string,category:string,url:string,note:string,approved:boolean>>"
@@ -239,7 +244,7 @@ def calendar(raw: DataFrame, as_of: dt.date, town: str | None = None, category:
     """Calendar feeds; each document is a feed, in their order."""
     feeds = raw.select(F.col("doc").alias("feed"), F.col("doc").alias("feed_rank"), "source", "body", "url").withColumns({"town": F.lit(town).cast("string"), "category": F.lit(category).cast("string")})
     e = ics.events(feeds, as_of, expand, coarse)
-    return e.withColumns({"doc": F.col("feed"), "pos": F.col("seq") * 256 + F.least(F.greatest(F.datediff("start", F.lit(as_of)), F.lit(0)), F.lit(255))})
+    return e.withColumns({"doc": F.col("feed"), "pos": F.col("seq").cast("long") * 1_000_000 + F.least(F.greatest(F.datediff("start", F.lit(as_of)) + 300_000, F.lit(0)), F.lit(999_999))})
 
 
 def table(raw: DataFrame, as_of: dt.date) -> DataFrame:

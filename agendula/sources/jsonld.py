@@ -9,10 +9,11 @@ from ..functions import dates as D
 from ..functions import text as T
 
 
-def objects(texts: DataFrame, column: str = "json", depth: int = 12) -> DataFrame:
-    """Rows with one JSON text each to rows (…, seq path, node): every object in it, to ``depth`` levels.
+def objects(texts: DataFrame, column: str = "json", most: int = 1000) -> DataFrame:
+    """Rows with one JSON text each to rows (…, seq path, node): every object in it, at any depth.
 
-    The walk is a recursive table expression over the parts of a VARIANT; texts that are no JSON give nothing.
+    The walk is a recursive table expression over the parts of a VARIANT that ends with the deepest container, and fails beyond
+    ``most`` levels; texts that are no JSON give nothing.
     """
     spark = texts.sparkSession
     keep = [c for c in texts.columns if c != column]
@@ -21,11 +22,11 @@ def objects(texts: DataFrame, column: str = "json", depth: int = 12) -> DataFram
     cols = "".join(f"`{c}`, " for c in keep)
     w_cols = "".join(f"w.`{c}`, " for c in keep)
     return spark.sql(
-        f"""with recursive w max recursion level {depth + 1} as (
+        f"""with recursive w max recursion level {most} as (
               select {cols} node, '' as path, 0 as level from {name}
               union all
               select {w_cols} v.value, concat(w.path, '/', lpad(cast(v.pos as string), 5, '0')), w.level + 1
-              from w, lateral variant_explode(w.node) v where w.level < {depth} and (schema_of_variant(v.value) like 'OBJECT%' or schema_of_variant(v.value) like 'ARRAY%'))
+              from w, lateral variant_explode(w.node) v where (schema_of_variant(v.value) like 'OBJECT%' or schema_of_variant(v.value) like 'ARRAY%'))
             select {cols} path, node from w where schema_of_variant(node) like 'OBJECT%'"""
     )
 
