@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import fixed as X
 from ..functions import text as T
+from ..lineage import cut
 
 _PRIOR = (Window.unboundedPreceding, -1)
 
@@ -67,7 +68,7 @@ def collapse_overlaps(events: DataFrame) -> DataFrame:
     e = islands(e.withColumnRenamed("root", "__root"), ["__root", "town"], F.col("start"), last, ["fingerprint"], name="__n")
     e = e.withColumn("__town", F.col("town"))
     merged = merge_rows(e, ["__root", "__town", "__n"], F.struct(F.col("start"), last, F.col("fingerprint")))
-    return merged.select(*events.columns).orderBy("start", "title", "fingerprint")
+    return merged.select(*events.columns)
 
 
 def consecutive_blocks(events: DataFrame, by: list[str], name: str = "block") -> DataFrame:
@@ -106,7 +107,7 @@ def fold_recurring(events: DataFrame, as_of: Column, near: int = X.NEAR_DAYS) ->
     keyed = consecutive_blocks(e.where(F.col("__v") != ""), ["__k", "__v", "__t"], "__block")
     order = F.struct(F.col("start"), F.coalesce("end", "start"), F.col("fingerprint"))
     rows = merge_rows(keyed, ["__k", "__v", "__t", "__block"], order)
-    rows = rows.withColumn("__all", F.sum("members").over(Window.partitionBy("__k", "__v", "__t"))).drop("members")
+    rows = cut(rows.withColumn("__all", F.sum("members").over(Window.partitionBy("__k", "__v", "__t"))).drop("members"), "runs")
     is_near = (F.col("start") <= F.date_add(as_of, near)) | (F.col("__all") == 1)
     far = rows.where(~is_near)
     dates = F.transform(F.array_sort(F.collect_set("start")), D.short_day)
@@ -118,7 +119,7 @@ def fold_recurring(events: DataFrame, as_of: Column, near: int = X.NEAR_DAYS) ->
     folded = folded.withColumns({"note": F.when(others > 0, F.concat_ws(" · ", F.nullif(F.col("note"), F.lit("")), also)).otherwise(F.col("note")), "recurring": F.lit(True)})
     names = [*events.columns, "recurring"]
     out = rows.where(is_near).withColumn("recurring", F.lit(False)).select(*names)
-    return loose.select(*names).unionByName(out).unionByName(folded.select(*names)).orderBy("start", "title", "fingerprint")
+    return loose.select(*names).unionByName(out).unionByName(folded.select(*names))
 
 
 def assign_slugs(events: DataFrame) -> DataFrame:

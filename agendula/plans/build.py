@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
+from ..lineage import cut
 from ..operators import resolve as R
 from ..operators import rules, sequences
 from .listing import upcoming
@@ -31,13 +32,13 @@ def build(snapshot: DataFrame, as_of: dt.date, suppressed: DataFrame | None = No
     e = tidy_rows(upcoming(snapshot, as_of), overrides)
     if suppressed is not None:
         e = rules.suppress(e, suppressed)
-    e = rules.mark_cancelled(e, cancelled)
+    e = cut(rules.mark_cancelled(e, cancelled), "tidy")
     off, on = e.where("cancelled"), e.where("not cancelled")
-    on = sequences.fold_recurring(sequences.collapse_overlaps(on), F.lit(as_of))
+    on = sequences.fold_recurring(cut(sequences.collapse_overlaps(on), "collapsed"), F.lit(as_of))
     e = on.unionByName(off.withColumn("recurring", F.lit(False)))
     title, time = T.time_from_title(F.col("title"), F.col("time"))
     e = e.withColumns({"title": title, "time": time}).withColumn("title", T.clean_title(F.col("title")))
-    return sequences.assign_slugs(e)
+    return sequences.assign_slugs(e).orderBy("start", "title", "fingerprint")
 
 
 def ingest(snapshot: DataFrame, raw: DataFrame, now: Column, as_of: dt.date, active: list[str], reconcile: list[str] = (), full: bool = True) -> DataFrame:

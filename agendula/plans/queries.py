@@ -38,6 +38,12 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def _texts(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A table whose rows take long each: with fewer splits than cores it is dealt over all cores first."""
+    df, cores = _read(spark, folder, table), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _LISTINGS = """
 with runs as (select l_orderkey, (sum(l_quantity)::bigint % 30)::int as days from lineitem group by l_orderkey),
 ev as (
@@ -172,12 +178,12 @@ def _re2(pattern: str) -> str:
 
 @query("select doc_id, case " + " ".join(f"when regexp_matches(t, '{_re2(p)}') then '{k}'" for p, k in X.CATEGORY_PATTERNS) + " else 'autre' end as category from (select doc_id, strip_accents(lower(text)) as t from documents)")
 def classify_docs(spark, folder):
-    return _read(spark, folder, "documents").select("doc_id", T.classify(F.col("text")).alias("category"))
+    return _texts(spark, folder, "documents").select("doc_id", T.classify(F.col("text")).alias("category"))
 
 
 @query("select doc_id, md5(trim(strip_accents(lower(coalesce(text, ''))))) as folded from documents")
 def fold_titles(spark, folder):
-    return _read(spark, folder, "documents").select("doc_id", F.md5(T.fold(F.col("text")).cast("binary")).alias("folded"))
+    return _texts(spark, folder, "documents").select("doc_id", F.md5(T.fold(F.col("text")).cast("binary")).alias("folded"))
 
 
 @query("""select l_partkey, list_sort(list(distinct l_suppkey)) as sources, arg_max(l_returnflag, (l_shipdate, l_orderkey, l_linenumber, l_suppkey)) as last_flag,
@@ -312,12 +318,12 @@ def similar_titles(spark, folder):
 
 @query()
 def shorten_notes(spark, folder):
-    return _read(spark, folder, "documents").select("doc_id", T.shorten(T.note_full(F.col("text"))).alias("note"))
+    return _texts(spark, folder, "documents").select("doc_id", T.shorten(T.note_full(F.col("text"))).alias("note"))
 
 
 @query()
 def clean_titles(spark, folder):
-    return _read(spark, folder, "documents").select("doc_id", T.clean_title(F.col("text")).alias("title"))
+    return _texts(spark, folder, "documents").select("doc_id", T.clean_title(F.col("text")).alias("title"))
 
 
 @query("""select o_orderkey, o_orderdate::date as day from orders""")
@@ -364,22 +370,22 @@ def rrule_monthly(spark, folder):
 
 @query("select page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title from pages")
 def html_titles(spark, folder):
-    return _read(spark, folder, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
+    return _texts(spark, folder, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
 
 
 @query("select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages")
 def html_links(spark, folder):
-    return _read(spark, folder, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    return _texts(spark, folder, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
 
 
 @query()
 def html_text(spark, folder):
-    return _read(spark, folder, "pages").select("page_id", H.visible_text(F.col("html")).alias("text"))
+    return _texts(spark, folder, "pages").select("page_id", H.visible_text(F.col("html")).alias("text"))
 
 
 @query()
 def html_elements(spark, folder):
-    return H.elements(_read(spark, folder, "pages").select(F.col("page_id").alias("doc"), "html"))
+    return H.elements(_texts(spark, folder, "pages").select(F.col("page_id").alias("doc"), "html"))
 
 
 @query("select event_id, (props->>'$.k')::int as k, (props->>'$.k')::int % 2 = 0 as even from events")
