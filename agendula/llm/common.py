@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import shared_dir
+
 #: Rows of an Arrow batch of texts; with whole texts Spark's default of 10,000 holds too much at once.
 BATCH_ROWS = 2000
 
@@ -18,18 +19,6 @@ BATCH_ROWS = 2000
 BROADCAST_ROWS = 2_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) a temporary folder takes its place.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="agendula-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def lean(spark: SparkSession) -> None:
     """Smaller Arrow batches from here on, unless the session chose a size of its own."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

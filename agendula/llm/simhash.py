@@ -147,17 +147,16 @@ def _array(column: pa.Array, words: int) -> np.ndarray:
 
 
 def _blocks(batches: Batches, scheme: Scheme) -> Batches:
+    """A row a key, into which the block's number is mixed: a chance meeting of two blocks costs a comparison and no more."""
+    band = np.arange(scheme.n, dtype=np.uint64) * _GOLDEN
     for batch in batches:
         step = max(1, 32_768 // scheme.n)
         for a in range(0, len(batch), step):
             part = batch.slice(a, step)
-            keys = scheme.keys(_array(part["fp"], scheme.words))
-            n = len(part)
-            band = np.repeat(np.arange(scheme.n, dtype=np.int16), n)
-            fp = part["fp"].take(pa.array(np.tile(np.arange(n), scheme.n)))
-            rest = [c for c in batch.schema.names if c != "fp"]
-            more = [part[c].take(pa.array(np.tile(np.arange(n), scheme.n))) for c in rest]
-            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(keys.T.ravel().view(np.int64)), fp, *more], ["band", "key", "fp", *rest])
+            with np.errstate(over="ignore"):
+                keys = (scheme.keys(_array(part["fp"], scheme.words)) ^ band) * np.uint64(0xBF58476D1CE4E5B9)
+            fp = part["fp"].take(pa.array(np.tile(np.arange(len(part)), scheme.n)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.T.ravel().view(np.int64)), fp], ["key", "fp"])
 
 
 def _star(fps: np.ndarray, distance: int, step: int = 512) -> np.ndarray:
@@ -333,34 +332,27 @@ def alike(rows: DataFrame, similarity: float) -> DataFrame:
     return cut(edges.union(run(met)), "simhash-alike")
 
 
-def _verify(batches: Batches, words: int, distance: int) -> Batches:
-    for t, starts in _whole_groups(batches, ("band", "key", "a", "b")):
+def _verify(batches: Batches, words: int, distance: int, by: tuple[str, ...]) -> Batches:
+    for t, starts in _whole_groups(batches, by):
         fps = t["fp"].combine_chunks()
         i, j = _links(_array(fps, words), np.repeat(np.arange(len(starts) - 1), np.diff(starts)), distance)
         yield pa.RecordBatch.from_arrays([fps.take(pa.array(i)), fps.take(pa.array(j))], ["u", "v"])
 
 
-def _meet(rows: DataFrame, by: str) -> DataFrame:
-    """Rows (band, key, ...) by bucket; a hot one in chunks by the hash of column ``by``, every two of which meet."""
-    rest = [c for c in rows.columns if c not in ("band", "key")]
-    hot = cut(rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT), "simhash-hot")
+def links(fps: DataFrame, scheme: Scheme) -> DataFrame:
+    """Distinct fingerprints (fp) to edges (u, v) whose components are those of all pairs within the scheme's distance.
+
+    Rows meet by key; a hot key's rows in chunks by their hash, every two of which meet.
+    """
+    rows, by = fps.select("fp").mapInArrow(partial(_blocks, scheme=scheme), "key long, fp binary"), ("key",)
+    hot = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT), "simhash-hot")
     n_hot = hot.count()
     if n_hot:
-        chunks = F.coalesce(F.ceil(F.col("n") / HOT), F.lit(1)).cast("int")
-        rows = rows.join(small(hot, n_hot), ["band", "key"], "left").withColumn("chunks", chunks)
-        rows = rows.withColumn("own", F.pmod(F.xxhash64(by), "chunks").cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        rows = rows.select("band", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), *rest)
-    else:
-        rows = rows.select("band", "key", F.lit(0).alias("a"), F.lit(0).alias("b"), *rest)
-    return rows.repartition("band", "key", "a", "b").sortWithinPartitions("band", "key", "a", "b", by)
-
-
-def links(fps: DataFrame, scheme: Scheme) -> DataFrame:
-    """Distinct fingerprints (fp) to edges (u, v) whose components are those of all pairs within the scheme's distance."""
-    rows = fps.select("fp").mapInArrow(partial(_blocks, scheme=scheme), "band short, key long, fp binary")
-    met = _meet(rows, "fp")
-    return met.mapInArrow(partial(_verify, words=scheme.words, distance=scheme.distance), "u binary, v binary")
+        rows = rows.join(small(hot, n_hot), "key", "left").withColumn("chunks", F.coalesce(F.ceil(F.col("n") / HOT), F.lit(1)).cast("int"))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        rows, by = rows.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp"), ("key", "a", "b")
+    met = rows.repartition(*by).sortWithinPartitions(*by, "fp")
+    return met.mapInArrow(partial(_verify, words=scheme.words, distance=scheme.distance, by=by), "u binary, v binary")
 
 
 def _stars(batches: Batches) -> Batches:
@@ -516,5 +508,6 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     nodes, edges = alike_classes(docs.select("doc_id", content.alias("h"), "text"), shingle, similarity)
     rooted = nodes.select("node", "best").join(components(edges), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     best = cut(rooted.select(F.col("best.doc_id").alias("__id"), F.col("best.h").alias("__kept")), "simhash-kept")
-    found = docs.withColumn("__h", content).join(best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__kept")), "left_semi")
-    return found.dropDuplicates(["doc_id", "__h"]).drop("__h")
+    rows = docs.select(F.col("doc_id").alias("__d"), content.alias("__h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    found = rows.join(best, F.col("__d").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__kept")), "left_semi")
+    return found.dropDuplicates(["__d", "__h"]).select("__row.*")

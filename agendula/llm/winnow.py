@@ -8,8 +8,8 @@ inside it choose too, so the guarantee holds between texts of any lengths. A tex
 the whole; the empty text has the empty fingerprint.
 
 The fingerprint is written as ``hash@step`` parts joined by ',': the hash in 8 hex digits, then the distance from the position
-before. Likeness of two fingerprints is the share of distinct hashes they have in common (Jaccard); two empty ones are alike
-(1.0).
+before. Likeness of two fingerprints is the share of distinct hashes they have in common (Jaccard), both taken with the smaller of
+their two windows, so that texts of unlike length are sampled alike; two empty ones are alike (1.0).
 
 The next document (ascending doc_id) is found without a global window. Quantiles of the ids alone cut the order into ranges;
 texts are compressed, dealt by range and read in order there, and only a range's last text meets the first text of the next
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import Batches, cut, lean, utf8
 
 K, W, LEAST = 16, 64, 16
+#: Bytes of text in a range of ids.
+RANGE = 32_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -64,6 +66,11 @@ def _grams(points: np.ndarray, k: int) -> np.ndarray:
     return (have ^ (have >> np.uint64(32))).astype(np.uint32)
 
 
+def width(n: int, k: int = K, w: int = W) -> int:
+    """The window of a text of ``n`` points."""
+    return max(1, min(w, (n - min(k, n) + 1) // LEAST))
+
+
 def winnow(text: str, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, positions) chosen, by rising position."""
     points = _points(text)
@@ -73,7 +80,7 @@ def winnow(text: str, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
         h = _grams(points, min(k, len(points)))
     # A smaller key is a smaller hash, or among equals one further right.
     key = (h.astype(np.uint64) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - np.arange(len(h), dtype=np.uint64))
-    w = max(1, min(w, len(h) // LEAST))
+    w = width(len(points), k, w)
     size, low = 1, key
     while size * 2 <= w:
         low = np.minimum(low[:-size], low[size:])
@@ -96,6 +103,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
+def alike(a: str, own_a: tuple, b: str, own_b: tuple, k: int = K, w: int = W) -> float:
+    """Likeness of two texts with what was chosen of each, at the smaller of their windows."""
+    low = min(width(len(a), k, w), width(len(b), k, w))
+    at = lambda t, own: own if width(len(t), k, w) == low else winnow(t, k, low)
+    return likeness(at(a, own_a)[0], at(b, own_b)[0])
+
+
 def edited(text: str, after: str) -> str:
     half = len(text) // 2
     return text[: len(text) - half] + after[:half]
@@ -108,7 +122,7 @@ _NULLS = 64  # ranges for rows without an id, by the top bits of the text's hash
 def _row(doc_id, text: str, own: tuple, after: str, after_own: tuple, k: int, w: int) -> tuple:
     changed = edited(text, after)
     new = winnow(changed, k, w)
-    return doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), write(own), write(new), likeness(own[0], new[0]), likeness(own[0], after_own[0])
+    return doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), write(own), write(new), alike(text, own, changed, new, k, w), alike(text, own, after, after_own, k, w)
 
 
 def _table(rows: list[tuple], names: list[str], schema: pa.Schema) -> pa.RecordBatch:
@@ -171,8 +185,9 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     lean(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    n = max(2, min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // 64))
-    bounds = np.unique(np.array(rows.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n), dtype=np.float64)).astype(np.int64)
+    count, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(2, min(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE), count // 64))
+    bounds = np.unique(np.array(rows.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], max(0.2 / n, 1e-6)), dtype=np.float64)).astype(np.int64)
     packed = rows.select("doc_id", "tie", "text").mapInArrow(partial(_pack, bounds=bounds), "part int, doc_id long, tie long, blob binary")
     inside = packed.repartition(n // 2, "part").sortWithinPartitions("part", "doc_id", "tie").mapInArrow(partial(_walk, k=k, w=w), _OUT)
 
