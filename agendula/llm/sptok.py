@@ -92,7 +92,7 @@ def _merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
 class SentencePiece:
     """A SentencePiece model rebuilt on the Tokenizers library."""
 
-    def __init__(self, data: bytes, threads: int = 2, room: int = 100_000_000):
+    def __init__(self, data: bytes, threads: int = 2, room: int = 160_000_000):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         from tokenizers import AddedToken, Regex, Tokenizer, models, normalizers
