@@ -154,11 +154,13 @@ class SentencePiece:
             met.update(self._encode(brief[a : a + 20_000]))
         self.known.update(met)
         self.held += sum(200 + len(c) + len(i) for c, i in met.items())
-        get = self.known
-        if len(brief) < len(new):
-            get = {**self._encode([c for c in new if len(c) > LONG])}
-            get.update((c, self.known[c]) for c in set().union(*split) if c in self.known)
-        return [np.frombuffer(b"".join(map(get.__getitem__, c)), np.int32) for c in split]
+        long = self._encode([c for c in new if len(c) > LONG])
+        self.known.update(long)
+        get = self.known.__getitem__
+        out = [np.frombuffer(b"".join(map(get, c)), np.int32) for c in split]
+        for c in long:
+            del self.known[c]
+        return out
 
     def _encode(self, chunks: list[str]) -> dict[str, bytes]:
         return {c: np.array(e.ids, np.int32).tobytes() for c, e in zip(chunks, self.backend.encode_batch_fast(chunks, add_special_tokens=False), strict=True)}
