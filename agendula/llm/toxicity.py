@@ -39,7 +39,7 @@ from .common import Batches, crc_mod, cut, discard, lean, small
 ORDER, STRONG, CALIBRATE = 6, 4.0, 20_000
 DISCOUNT, TOP_DISCOUNT, WORDS = 0.75, 0.75, re.compile(r"\w+")
 #: Characters of text in a chunk (a longer text is a chunk of its own).
-CHUNK, WORD_CHUNK = 32_000_000, 3_000_000
+CHUNK, WORD_CHUNK = 48_000_000, 4_000_000
 _START, _END, _NONE = "\x01" * (ORDER - 1), "\x02", 1e-4
 
 
