@@ -107,7 +107,7 @@ RESERVED_SLUGS = [*CATEGORY_SLUGS.values(), "in", "privacy", "sitemap", "robots"
 
 # --- limits and horizons (days, rows, characters)
 NEAR_DAYS, LD_DAYS, LD_ROWS = 42, 60, 150
-PAGE_DAYS, PAGE_MIN, PAGE_ROWS, PAGE_LD_ROWS = 90, 5, 250, 100
+PAGE_DAYS, PAGE_MIN, PAGE_ROWS, PAGE_LD_ROWS, NAV_TOWNS = 90, 5, 250, 100, 12
 DIGEST_DAYS, DIGEST_ROWS, DIGEST_LIMIT = 60, 24, 200
 RRULE_DAYS, NOTE_CHARS, TIME_ZONE = 120, 150, "Europe/Paris"
 

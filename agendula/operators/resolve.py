@@ -45,7 +45,7 @@ def merge_snapshot(stored: DataFrame, batch: DataFrame, now: Column) -> DataFram
     """
     cols = [c for c in stored.columns if c not in ("fingerprint", "sources", "first_seen", "last_seen")]
     old = stored.select("fingerprint", *cols, "sources", "first_seen", F.col("last_seen"), F.lit(-1).cast(batch.schema["seq"].dataType).alias("seq"))
-    new = batch.select("fingerprint", *cols, F.array("source").alias("sources"), now.alias("first_seen"), now.alias("last_seen"), F.col("seq").cast("long").alias("seq"))
+    new = batch.select("fingerprint", *cols, F.array("source").alias("sources"), now.alias("first_seen"), now.alias("last_seen"), "seq")
     rows = old.unionByName(new)
     owner = rows.groupBy("fingerprint").agg(F.min_by("source", "seq").alias("__owner"))
     rows = rows.join(owner, "fingerprint").withColumn("__owns", F.col("source") == F.col("__owner"))

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import dates as D
 from ..functions import fixed as X
 from ..functions import text as T
 from ..operators.sequences import occurrences
@@ -140,6 +141,27 @@ def page_index(events: DataFrame, as_of: dt.date) -> DataFrame:
     return pages(events, as_of).where("position = 1").select("kind", "key", "page_rows", path.alias("path")).orderBy(F.desc("kind"), F.desc("page_rows"), "key")
 
 
+def split_ongoing(events: DataFrame, as_of: dt.date) -> tuple[DataFrame, DataFrame]:
+    """What has begun already, the soonest to close first, with ``until``; and what begins today or later."""
+    begun = events.where(F.col("start") < F.lit(as_of)).withColumn("until", D.until(F.col("end")))
+    return begun.orderBy(F.coalesce("end", "start"), "title", "fingerprint"), events.where(F.col("start") >= F.lit(as_of))
+
+
+def nav_links(index: DataFrame, towns: int = X.NAV_TOWNS) -> DataFrame:
+    """Links between pages, from their index: the busiest towns, and every category (kind, key, page_rows, path, position)."""
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("page_rows"), "key"))
+    return index.withColumn("position", place).where((F.col("kind") == "category") | (F.col("position") <= towns))
+
+
+def source_count(events: DataFrame) -> DataFrame:
+    """How many sources, by the name before the colon, brought the rows; counted before rows are merged."""
+    return events.agg(F.count_distinct(_base_name(F.coalesce("source", F.lit("")))).alias("source_count"))
+
+
+def _base_name(source: Column) -> Column:
+    return F.split_part(source, F.lit(":"), F.lit(1))
+
+
 def digest(events: DataFrame, since, as_of: dt.date) -> tuple[DataFrame, DataFrame]:
     """What is new: the first rows to show (no submitter among the columns), and (total, more)."""
     new = new_since(events, since, as_of).where(F.col("start").between(F.lit(as_of), F.lit(as_of + dt.timedelta(X.DIGEST_DAYS))))
@@ -163,7 +185,7 @@ def source_report(events: DataFrame, runs: DataFrame, registry: list[str]) -> Da
     """Every registered, published or run source with its health; one that produced nothing shows as such."""
     spark = events.sparkSession
     known = spark.createDataFrame([(n,) for n in registry], "name string").withColumn("registered", F.lit(True))
-    published = events.groupBy(F.split_part(F.coalesce("source", F.lit("unknown")), F.lit(":"), F.lit(1)).alias("name")).agg(F.count(F.lit(1)).alias("published"))
+    published = events.groupBy(_base_name(F.coalesce("source", F.lit("unknown"))).alias("name")).agg(F.count(F.lit(1)).alias("published"))
     out = known.join(published, "name", "full_outer").join(last_runs(runs).withColumnRenamed("scraper", "name"), "name", "full_outer")
     n = F.coalesce("published", F.lit(0))
     status = F.when(F.col("started_at").isNotNull() & ~F.col("ok"), "failed").when(n > 0, "ok").when(F.col("found") > 0, "stale").otherwise("empty")

@@ -439,3 +439,6 @@ def published_feed(spark, folder):
         F.lit("s").alias("source"), F.lit(None).cast("string").alias("submitted_by"), F.lit(True).alias("approved"), F.sha1(F.col("id").cast("string").cast("binary")).alias("fingerprint"), F.array(F.lit("s")).alias("sources"),
         F.lit(dt.datetime(1998, 1, 1)).cast("timestamp_ntz").alias("first_seen"), F.lit(dt.datetime(1998, 1, 1)).cast("timestamp_ntz").alias("last_seen"))
     return build(s, AS_OF).drop("members")
+
+
+from . import core_queries  # noqa: E402, F401  registers its own

@@ -67,6 +67,34 @@ def sitemap_lines(paths: DataFrame, base: str, day: Column) -> DataFrame:
     return paths.select(F.concat(F.lit(f"  <url><loc>{base}/"), T.html_escape(F.col("path")), F.lit("</loc><lastmod>"), day.cast("string"), F.lit("</lastmod></url>")).alias("line"))
 
 
+def sitemap_document(lines: DataFrame) -> DataFrame:
+    """One row (xml): the lines of all addresses in a frame. For a site, whose pages are bounded by its towns and categories."""
+    body = lines.agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("b"))
+    head = F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n')
+    return body.select(F.concat(head, "b", F.lit("\n</urlset>\n")).alias("xml"))
+
+
+def sources_document(report: DataFrame) -> DataFrame:
+    """One row (json): the report of sources as an array, by name. It has a row a registered source."""
+    item = F.struct("name", *[c for c in report.columns if c != "name"])
+    return report.agg(F.to_json(F.array_sort(F.collect_list(item)), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def digest_message(shown: DataFrame, total: DataFrame, site: str, unsubscribe: str) -> DataFrame:
+    """One row (subject, text, html): the mail of what is new, for one recipient's address to unsubscribe at. The digest holds a bounded number of rows."""
+    esc = lambda c: T.html_escape(F.col(c))
+    free = F.when(F.col("free"), "free")
+    row = F.concat(F.lit("<li><b>"), esc("title"), F.lit("</b> "), F.concat_ws(" · ", esc("venue"), esc("town"), esc("time"), free), F.lit("</li>"))
+    days = shown.groupBy("start").agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("rows"))
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("start", F.concat(F.lit("<h2>"), D.long_day(F.col("start")), F.lit("</h2><ul>"), "rows", F.lit("</ul>")).alias("b")))), lambda x: x["b"])
+    out = days.agg(F.array_join(blocks, "").alias("body")).crossJoin(digest_text(shown)).crossJoin(total)
+    more = F.when(F.col("more") > 0, F.format_string("%d more on the site", "more"))
+    subject = F.when(F.col("total") == 1, "One new event").otherwise(F.format_string("%d new events", "total"))
+    text = F.concat_ws("\n\n", "text", more, F.lit(site), F.lit(f"Unsubscribe: {unsubscribe}"))
+    page = F.concat(F.lit("<div>"), "body", F.coalesce(F.concat(F.lit("<p>"), more, F.lit("</p>")), F.lit("")), F.lit(f'<p><a href="{site}">All events</a> · <a href="{unsubscribe}">Unsubscribe</a></p></div>'))
+    return out.select(subject.alias("subject"), text.alias("text"), page.alias("html"))
+
+
 def ics_event(uid: Column, title: Column, start: Column, end: Column, time: Column, place: Column) -> Column:
     """A calendar entry: timed ones last two hours, others to the day after their last."""
     escape = lambda c: F.regexp_replace(F.regexp_replace(c, r"([\\,;])", r"\\$1"), r"\r?\n", r"\\n")

@@ -195,3 +195,15 @@ def test_ingest_whole(spark):
     raw = spark.createDataFrame([tuple((BASE | r).get(n) for n in NAMES) + (i,) for i, r in enumerate([{}, {"title": "Inscriptions 2026"}, {"title": "Bal", "start": day(9)}])], EVENT + ", seq long")
     out = build.ingest(spark.createDataFrame([], SNAPSHOT), raw, F.lit(NOW).cast("timestamp_ntz"), AS_OF, ["a"], ["a"])
     assert {r.title for r in out.collect()} == {BASE["title"], "Bal"}
+
+
+def test_the_order_that_adapters_give_fits_the_merge(spark):
+    """Sequences of the registry have more digits than a long holds."""
+    from agendula.sources import adapters as A
+
+    raw = spark.createDataFrame([("curated", 7, "u", '{"start":"2026-07-20","title":"Fete","town":"Nice"}\n{"start":"2026-07-20","title":"Fete","town":"Nice","venue":"Port"}')], "source string, doc long, url string, body string")
+    rows = resolve.normalize_events(A.default_registry().extract(raw, AS_OF, ["curated"]))
+    out = build.ingest(spark.createDataFrame([], SNAPSHOT), A.default_registry().extract(raw, AS_OF, ["curated"]), F.lit(NOW).cast("timestamp_ntz"), AS_OF, ["curated"])
+    assert rows.count() == 2 and [(r.title, r.venue, r.sources) for r in out.collect()] == [("Fete", "Port", ["curated"])]
+    log = build.run_log(rows, resolve.merge_snapshot(spark.createDataFrame([], SNAPSHOT), rows, F.lit(NOW).cast("timestamp_ntz")), F.lit(NOW))
+    assert [(r.scraper, r.found, r.added) for r in log.collect()] == [("curated", 2, 1)]
