@@ -131,3 +131,9 @@ FLYER_MONTHS = {"janv": 1, "fev": 2, "fevr": 2, "avr": 4, "jui": 6, "juil": 7, "
 #: A venue and a title that say that an event is online.
 ONLINE_VENUE = r"(?i)^\s*online\b|online\s+event"
 ONLINE_TITLE = r"(?i)[\[(]\s*(?:online|en\s+ligne|virtual|virtuel|zoom|webinar)\s*[\])]|^\s*online\s*!+"
+
+#: Classes of the parts of cards, by kind of page, and labels that say nothing about an event.
+PLACE_CARD = {"block": "event-item__wrap", "title": "event-item__title-link", "place": "is-place", "chip": "event-item__category"}
+GENRE_CARD = {"info": "info-container", "date": "date", "venue": "lieu", "genre": "genre"}
+SEASON_CARD = {"year": "enveloppe__number", "block": "card", "title": "card__spectacle_title", "dates": "card__dates", "note": "card__description", "link": "card__link"}
+EMPTY_CHIPS = ["accessible pmr", "gratuit"]

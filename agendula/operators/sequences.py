@@ -153,6 +153,17 @@ def position(items: Column) -> Column:
     return F.transform(items, lambda x, i: F.struct((i + 1).alias("position"), x.alias("item")))
 
 
+def rolled_years(months: Column) -> Column:
+    """For the months of one line in order, how many years after the first each lies: a month before the last one is in the next year."""
+    zero = F.struct(F.lit(0).alias("year"), F.lit(0).alias("month"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, m: Column) -> Column:
+        year = acc["year"] + F.when(m < acc["month"], 1).otherwise(0)
+        return F.struct(year.alias("year"), m.alias("month"), F.concat(acc["out"], F.array(year)).alias("out"))
+
+    return F.aggregate(months, zero, step)["out"]
+
+
 def day_list(text: Column) -> Column:
     """Days of a line such as '3, 5 et 10 au 12': numbers and inclusive ranges."""
     spans = F.regexp_extract_all(text, F.lit(r"(\d{1,2}\s*(?:au|-)\s*\d{1,2}|\d{1,2})"), F.lit(1))

@@ -14,9 +14,11 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import cards as C
 from ..functions import dates as D
 from ..functions import fixed as X
 from ..functions import text as T
+from ..operators import sequences
 from ..operators.sequences import carry_forward, day_list, first_of
 from . import html as H
 from . import ics, jsonld
@@ -111,17 +113,125 @@ def text_dated(raw: DataFrame, as_of: dt.date, town: str | None = None, category
     return _once(out.where("start is not null and title is not null"), ["url", "title", "start"])
 
 
+def _dates_of_line(text: Column, year: Column, season_start: Column) -> Column:
+    """Every day of a line such as '30 et 31 décembre. 2 janvier', in order: days belong to the month after them, and a month that goes
+    back is in the next year. The first month lies in ``year``, or where that is null in its part of the season."""
+    line = T.fold(text)
+    spans = F.regexp_extract_all(line, F.lit(rf"(?s)(.*?(?:{'|'.join(X.MONTHS)}))"), F.lit(1))
+    table = F.create_map(*[F.lit(x) for kv in X.MONTHS.items() for x in kv])
+    month = lambda s: F.try_element_at(table, F.regexp_extract(s, rf"({'|'.join(X.MONTHS)})$", 1))
+    days = lambda s: day_list(F.regexp_replace(F.regexp_replace(s, r"\b1\s*er\b", "1"), r"\d{1,2}\s*h\s*\d{0,2}", " "))
+
+    def dates(ms: Column, spans: Column) -> Column:
+        years = sequences.rolled_years(ms)
+        one = lambda s, i: F.transform(days(s), lambda d: D._date(F.coalesce(year, D.season_year(ms[0], season_start)) + years[i], ms[i], d))
+        return F.filter(F.flatten(F.transform(spans, one)), lambda d: d.isNotNull())
+
+    return T.let(spans, lambda sp: T.let(F.transform(sp, month), lambda ms: dates(ms, sp)))
+
+
 def season_calendar(raw: DataFrame, as_of: dt.date, season_start: int, town: str | None = None, category: str | None = None) -> DataFrame:
     """Cards that name days of a month ('3, 5 et 10 au 12 octobre'): one row a day; from September on the season's first year."""
     c = H.cards(_pages(raw)).where("title is not null")
-    names = "|".join(X.MONTHS)
-    spans = F.regexp_extract_all(F.lower("text"), F.lit(rf"((?:\d{{1,2}}(?:er)?\s*(?:,|et|au|&|-)?\s*)+(?:{names}))"), F.lit(1))
-    c = c.select("*", F.posexplode(spans).alias("k", "span"))
-    month = F.try_element_at(F.create_map(*[F.lit(x) for kv in X.MONTHS.items() for x in kv]), F.regexp_extract("span", rf"({names})$", 1))
-    c = c.withColumn("month", month).select("*", F.posexplode(day_list(F.regexp_replace("span", "er|et|,|&", " "))).alias("n", "day"))
-    start = F.try_to_date(F.format_string("%04d-%02d-%02d", D.season_year(F.col("month"), F.lit(season_start)), "month", "day"))
-    out = c.select("doc", ((F.col("card").cast("long") * 10_000 + F.col("k")) * 10_000 + F.col("n")).alias("pos"), "title", start.alias("start"), D.parse_time(F.regexp_extract("text", r"(\d{1,2}\s*h\s*\d{0,2})", 1)).alias("time"), F.col("href").alias("url"), F.lit(town).alias("town"), F.lit(category).alias("category"))
-    return _once(out.where("start is not null"), ["title", "start"])
+    spans = F.regexp_extract_all(F.lower("text"), F.lit(rf"((?:\d{{1,2}}(?:er)?\s*(?:,|et|au|&|-)?\s*)+(?:{'|'.join(X.MONTHS)}))"), F.lit(1))
+    c = c.select("*", F.posexplode(_dates_of_line(F.array_join(spans, ". "), F.lit(None).cast("int"), F.lit(season_start))).alias("n", "start"))
+    out = c.select("doc", (F.col("card").cast("long") * 1_000_000 + F.col("n")).alias("pos"), "title", "start", D.parse_time(F.regexp_extract("text", r"(\d{1,2}\s*h\s*\d{0,2})", 1)).alias("time"), F.col("href").alias("url"), F.lit(town).alias("town"), F.lit(category).alias("category"))
+    return _once(out, ["title", "start"])
+
+
+def season_programme(raw: DataFrame, as_of: dt.date, base: str = "", town: str | None = None, venue: str | None = None) -> DataFrame:
+    """A season under headings of years: one row a day of each card's line of dates, the section in its address its type."""
+    k, has = X.SEASON_CARD, H.has_class
+    e = _pages(raw).withColumn("year", F.when(has(k["year"]) & F.col("text").rlike(r"^\d{4}$"), F.col("text").cast("int")))
+    e = carry_forward(e, ["doc"], ["pos"], "year").withColumn("season", F.min("year").over(Window.partitionBy("doc")))
+    e = H.within(e, has(k["block"])).where("block is not null")
+    text = F.nullif(F.col("text"), F.lit(""))
+    c = e.groupBy("doc", "block").agg(
+        H.first_in(F.col("year"), F.lit(True)).alias("year"), F.first("season").alias("season"), H.first_in(text, has(k["title"])).alias("title"), H.first_in(text, has(k["dates"])).alias("dates"),
+        H.first_in(text, has(k["note"])).alias("note"), H.first_in(F.col("href"), has(k["link"])).alias("href"))
+    now = F.lit(as_of.year if as_of.month >= 9 else as_of.year - 1)
+    c = c.where("title is not null and dates is not null").select("*", F.posexplode(_dates_of_line(F.col("dates"), F.col("year"), F.coalesce("season", now))).alias("n", "start"))
+    url = _absolute(F.col("href"), base)
+    section = F.replace(F.element_at(F.concat(F.array(F.lit("")), F.split(F.regexp_replace(url, "/+$", ""), "/")), -2), F.lit("-"), F.lit(" "))
+    out = c.select("doc", (F.col("block").cast("long") * 1_000_000 + F.col("n")).alias("pos"), "title", "start", url.alias("url"), "note", F.lit(town).alias("town"), F.lit(venue).alias("venue"), F.coalesce(T.category_from_type(section), F.lit("scene")).alias("category"))
+    return _once(out, ["title", "start"])
+
+
+def _absolute(href: Column, base: str) -> Column:
+    return F.when(href.startswith("http") | (href == ""), href).otherwise(F.concat(F.lit(base), href))
+
+
+def sale_listing(raw: DataFrame, as_of: dt.date, base: str = "", department: str = "06") -> DataFrame:
+    """Flea markets under date headings: town and identity stand in the link, venue and size in the card's line.
+
+    A box that holds a heading of its own is a day's section and no card.
+    """
+    heading = D.parse_date(F.when(F.col("tag").isin("h2", "h3") & F.col("text").rlike(r"(?U)\d{1,2}(er)?\s+\p{L}+\s+\d{4}"), F.col("text")), F.lit(as_of))
+    e = carry_forward(_pages(raw).withColumn("own_day", heading).withColumn("day", F.col("own_day")), ["doc"], ["pos"], "day")
+    address = rf"/{department}/([a-z0-9-]+)/\d+-"
+    first = lambda c, where: F.min_by(c, F.when(where, F.col("pos")))
+    link = F.col("href").rlike(address) & (F.col("text") != "")
+    cards = e.where("card is not null").groupBy("doc", "card").agg(first("href", link).alias("href"), first("text", link).alias("name"), first("day", link).alias("day"), first("text", F.col("pos") == F.col("card")).alias("block"), F.max("own_day").alias("own_day"))
+    cards = cards.where("href is not null and day is not null and own_day is null")
+    town = T.title_case(F.replace(F.regexp_extract("href", address, 1), F.lit("-"), F.lit(" ")))
+    line = C.sale_card(F.col("block"))
+    out = cards.select("doc", F.col("card").alias("pos"), C.without_town(F.col("name"), town).alias("title"), F.col("day").alias("start"), town.alias("town"), line["venue"].alias("venue"), F.lit("brocante").alias("category"), _absolute(F.col("href"), base).alias("url"), line["note"].alias("note"))
+    return _once(out, ["url", "start"])
+
+
+def place_cards(raw: DataFrame, as_of: dt.date, base: str = "", town: str = "Nice") -> DataFrame:
+    """Cards with machine-readable days and hours, a line for the place and chips for festival and genre."""
+    k, has, text = X.PLACE_CARD, H.has_class, F.nullif(F.col("text"), F.lit(""))
+    e = H.within(_pages(raw), has(k["block"])).where("block is not null")
+    day = F.when(F.col("datetime").rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring("datetime", 1, 10)))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("pos", c.alias("v"))))), lambda x: x["v"])
+    chip = F.when(has(k["chip"]), F.nullif(F.regexp_replace("text", r"[,\s]+$", ""), F.lit("")))
+    c = e.groupBy("doc", "block").agg(
+        H.first_in(text, has(k["title"])).alias("title"), H.first_in(F.col("href"), has(k["title"])).alias("href"), H.first_in(day, F.lit(True)).alias("start"), F.max_by(day, F.when(day.isNotNull(), F.col("pos"))).alias("last"),
+        H.first_in(F.col("datetime"), F.col("datetime").rlike(r"^\d{2}:\d{2}$")).alias("time"), H.first_in(text, has(k["place"])).alias("place"), in_order(chip).alias("chips"))
+    place, said = F.nullif(F.trim(F.replace("place", F.lit("Lieu :"), F.lit(""))), F.lit("")), F.lower(F.array_join("chips", " "))
+    told = F.filter("chips", lambda x: ~F.lower(x).isin(X.EMPTY_CHIPS))
+    out = c.where("title is not null and start is not null").select(
+        "doc", F.col("block").alias("pos"), "title", "start", F.when(F.col("last") != F.col("start"), F.col("last")).alias("end"), "time", C.commune_of_place(place, town).alias("town"), place.alias("venue"), T.classify(F.col("title"), F.array_join(told, " ")).alias("category"),
+        _absolute(F.col("href"), base).alias("url"), F.nullif(F.array_join(F.slice(told, 1, 2), " · "), F.lit("")).alias("note"), (said.contains("gratuit") | (said.contains("soir") & said.contains("estival"))).alias("free"))
+    out = out.where(~T.is_nonevent(F.col("title"))).withColumn("__key", F.coalesce("url", F.concat_ws("|", "title", F.col("start").cast("string"))))
+    return _once(out, ["__key"]).drop("__key")
+
+
+def genre_cards(raw: DataFrame, as_of: dt.date, base: str = "", town: str = "Nice", path: str = "/evenement/", restricted: str | None = None, excluded: DataFrame | None = None) -> DataFrame:
+    """Linked cards with dates, venue and genre in parts of their own; a link without them is a picture's. Of the ``restricted`` venue's
+    rows those on the list of excluded links go, or all where that list could not be read (None)."""
+    k, has, text = X.GENRE_CARD, H.has_class, F.nullif(F.col("text"), F.lit(""))
+    e = H.within(_pages(raw), (F.col("tag") == "a") & F.col("href").startswith(path)).where("block is not null")
+    c = e.groupBy("doc", "block").agg(
+        F.min_by("href", "pos").alias("href"), F.bool_or(has(k["info"])).alias("info"), H.first_in(F.col("text"), has(k["date"])).alias("dates"), H.first_in(F.nullif("alt", F.lit("")), F.col("tag") == "img").alias("alt"),
+        H.first_in(text, F.col("tag") == "h2").alias("head"), H.first_in(text, has(k["venue"])).alias("venue"), H.first_in(text, has(k["genre"])).alias("genre"))
+    days = F.transform(F.regexp_extract_all("dates", F.lit(r"(\d{2}/\d{2}/\d{4})"), F.lit(1)), lambda d: F.try_to_date(d, "dd/MM/yyyy"))
+    title = F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("alt", "head"), r"\s+", " "), r"…+\s*$", "")), F.lit(""))
+    href = F.regexp_replace(F.split_part("href", F.lit("?"), F.lit(1)), "/+$", "")
+    out = c.where("info").select("doc", F.col("block").alias("pos"), title.alias("title"), F.try_element_at(days, F.lit(1)).alias("start"), F.try_element_at(days, F.lit(2)).alias("end"), F.lit(town).alias("town"), "venue", C.genre_category(F.col("genre")).alias("category"), href.alias("url"), F.col("genre").alias("note"))
+    out = _once(out, ["url"]).where("title is not null and start is not null")
+    if restricted is not None:
+        there = F.coalesce(F.lower("venue").contains(restricted.lower()), F.lit(False))
+        own = out.where(there)
+        kept = own.where("false") if excluded is None else own.join(excluded.select(F.regexp_replace(F.split_part("href", F.lit("?"), F.lit(1)), "/+$", "").alias("url")).distinct(), "url", "left_anti").select(out.columns)
+        out = out.where(~there).unionByName(kept)
+    return out.withColumn("url", _absolute(F.col("url"), base))
+
+
+def town_cards(raw: DataFrame, as_of: dt.date, path: str = "/event/", details: DataFrame | None = None, longest: int = 6000) -> DataFrame:
+    """Links whose card is the nearest box around them, eight levels up at most, that holds a date and a known town."""
+    e = _pages(raw)
+    link = e.where((F.col("tag") == "a") & F.col("href").contains(path)).select("doc", F.col("pos").alias("at"), "href", F.col("text").alias("name"), F.posexplode("above").alias("level", "up"))
+    box = e.where(F.length("text") <= longest).select("doc", F.col("pos").alias("up"), F.col("text").alias("block"), D.parse_date(F.col("text"), F.lit(as_of)).alias("start"), C.town_in_text(F.col("text")).alias("town"))
+    # Every link is paired with the few boxes above it, by one equi-join.
+    met = link.join(box.where("start is not null and town is not null"), ["doc", "up"])
+    near = met.groupBy("doc", "at", "href", "name").agg(F.min_by(F.struct("up", "block", "start", "town"), "level").alias("c")).select("doc", "at", "href", "name", "c.*")
+    heads = e.where(F.col("tag").isin("h2", "h3", "h4") & (F.col("text") != "") & F.col("card").isNotNull()).groupBy("doc", F.col("card").alias("up")).agg(F.min_by("text", "pos").alias("head"))
+    title = F.coalesce(F.nullif("name", F.lit("")), "head")
+    out = near.join(heads, ["doc", "up"], "left").select("doc", F.col("at").alias("pos"), title.alias("title"), "start", "town", T.classify(title).alias("category"), F.col("href").alias("url"), F.lit(None).cast("string").alias("venue"), D.parse_time(F.regexp_extract("block", r"(\d{1,2}\s*h\s*\d{0,2})", 1)).alias("time"), F.lit(None).cast("string").alias("note"))
+    out = _once(out.where(F.length("title") >= 3), ["title", "start", "town"])
+    return out if details is None else enrich(out, details)
 
 
 def structured_pages(raw: DataFrame, as_of: dt.date, town: str | None = None, category: str | None = None) -> DataFrame:
@@ -262,6 +372,7 @@ def default_registry() -> Registry:
         Source("curated", table, delay=0), Source("heading_dated", heading_dated, delay=2.0), Source("wordpress", wordpress), Source("open_data", open_data, delay=0.5), Source("timed_cards", timed_cards, delay=1.5),
         Source("structured_pages", structured_pages), Source("text_dated", text_dated, needs_browser=True), Source("season_calendar", partial(season_calendar, season_start=2026), reconciles=True),
         Source("calendars", calendar, reconciles=True), Source("plain_calendars", partial(calendar, expand=False, coarse=True)), Source("dance_calendars", partial(calendar, expand=False, coarse=True, category="danse")),
-        Source("state_objects", state_objects, needs_browser=True), Source("submissions", submissions, delay=0),
+        Source("sale_listing", sale_listing, delay=1.5), Source("place_cards", place_cards, delay=0.6), Source("genre_cards", genre_cards, needs_browser=True), Source("town_cards", town_cards, needs_browser=True),
+        Source("season_programme", partial(season_programme, town="Antibes"), reconciles=True), Source("state_objects", state_objects, needs_browser=True), Source("submissions", submissions, delay=0),
     )
     return r

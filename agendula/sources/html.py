@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -18,13 +18,13 @@ from ..functions import text as T
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HIDDEN = {"script", "style", "template", "noscript"}
 CARDS = {"article", "li", "tr", "section", "div"}
-CARD_TEXT = 4000
+CARD_TEXT, ABOVE = 4000, 8
 
-ELEMENTS = "doc long, pos int, depth int, parent int, card int, tag string, id string, class string, href string, datetime string, text string"
+ELEMENTS = "doc long, pos int, last int, depth int, parent int, card int, above array<int>, tag string, id string, class string, href string, datetime string, alt string, text string"
 
 
 class _Tree(HTMLParser):
-    """Elements in document order with their whole text; each with the place of its parent."""
+    """Elements in document order with their whole text; each with the places of its parent, of the nearest elements above and of the last element in it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -33,7 +33,7 @@ class _Tree(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        self.rows.append({"tag": tag, "parent": self.open[-1] if self.open else None, "depth": len(self.open), "text": [], "id": a.get("id"), "class": a.get("class"), "href": a.get("href"), "datetime": a.get("datetime")})
+        self.rows.append({"tag": tag, "parent": self.open[-1] if self.open else None, "depth": len(self.open), "text": [], "id": a.get("id"), "class": a.get("class"), "href": a.get("href"), "datetime": a.get("datetime"), "alt": a.get("alt")})
         if tag not in VOID:
             self.open.append(len(self.rows) - 1)
 
@@ -70,13 +70,18 @@ def parse(html: str | None) -> list[dict]:
     for r in tree.rows:
         r["text"] = " ".join(" ".join(r["text"]).split())
     for i, r in enumerate(tree.rows):
-        r["pos"], r["card"] = i, _card(tree.rows, i)
+        r["pos"], r["last"], r["card"] = i, i, _card(tree.rows, i)
+        r["above"] = [] if r["parent"] is None else [r["parent"], *tree.rows[r["parent"]]["above"][: ABOVE - 1]]
+    for r in reversed(tree.rows):
+        if r["parent"] is not None:
+            up = tree.rows[r["parent"]]
+            up["last"] = max(up["last"], r["last"])
     return tree.rows
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["pos", "depth", "parent", "card", "tag", "id", "class", "href", "datetime", "text"]
-    kinds = [pa.int32()] * 4 + [pa.string()] * 6
+    names = ["pos", "last", "depth", "parent", "card", "above", "tag", "id", "class", "href", "datetime", "alt", "text"]
+    kinds = [pa.int32()] * 5 + [pa.list_(pa.int32())] + [pa.string()] * 7
     for batch in batches:
         for doc, html in zip(batch["doc"].to_pylist(), batch["html"].to_pylist(), strict=True):
             rows = parse(html)
@@ -107,6 +112,21 @@ def cards(found: DataFrame, dates_from: Column | None = None) -> DataFrame:
     return c
 
 
+def has_class(name: str) -> Column:
+    return F.coalesce(F.array_contains(F.split("class", r"\s+"), name), F.lit(False))
+
+
+def within(found: DataFrame, block: Column) -> DataFrame:
+    """Elements with the place of the block around them; of nested blocks, of the last one begun. A window over each page, no join."""
+    begun = F.last(F.when(block, F.struct("pos", "last")), ignorenulls=True).over(Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    return found.withColumn("__b", begun).withColumn("block", F.when(F.col("pos") <= F.col("__b.last"), F.col("__b.pos"))).drop("__b")
+
+
+def first_in(value: Column, where: Column) -> Column:
+    """The first value of a block's elements that holds."""
+    return F.min_by(value, F.when(where & value.isNotNull(), F.col("pos")))
+
+
 def sitemap_slugs(xml: Column, section: str) -> Column:
     """Slugs of a sitemap's locations below a section."""
     return F.regexp_extract_all(xml, F.lit(f"<loc>[^<]*/{section}/([^/<]+)/?</loc>"), F.lit(1))

@@ -114,7 +114,7 @@ def test_registry(spark):
         reg.extract(both, AS_OF, ["nowhere"])
     with pytest.raises(ValueError):
         reg.add(A.Source("curated", A.table))
-    assert {n for n, s in reg.sources.items() if s.reconciles} == {"season_calendar", "calendars"}
+    assert {n for n, s in reg.sources.items() if s.reconciles} == {"season_calendar", "season_programme", "calendars"}
 
 
 def _rows(spark):
