@@ -316,7 +316,14 @@ def similar_titles(spark, folder):
     return out.where("likeness >= 0.5")
 
 
-@query()
+_TIDY = "replace(replace(replace(replace(replace(coalesce(text, ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', ' '), '&amp;', '&')"
+_TIDY = f"regexp_replace(replace(replace({_TIDY}, '**', ''), '__', ''), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g')"
+_TIDY = f"trim(regexp_replace(regexp_replace(regexp_replace({_TIDY}, '#{{1,6}}\\s*', '', 'g'), '\\s*[—–]\\s*', ' - ', 'g'), '\\s+', ' ', 'g'))"
+_ENDS = ", ".join(f"case when position('{m[::-1]}' in reverse(w)) > 0 and length(w) - position('{m[::-1]}' in reverse(w)) - 1 >= 60 then trim(substr(t, 1, length(w) - position('{m[::-1]}' in reverse(w)))) end" for m in (". ", "! ", "? ", "; "))
+
+
+@query(f"""with d as (select doc_id, {_TIDY} as t from documents), e as (select *, substr(t, 1, 151) as w from d), f as (select *, length(w) - position(' ' in reverse(w)) as space from e)
+select doc_id, case when length(t) <= 150 then t else coalesce({_ENDS}, regexp_replace(substr(t, 1, case when position(' ' in reverse(w)) = 0 or space < 40 then 150 else space end), '[ ,;:·\\-–—]+$', '') || '…') end as note from f""")
 def shorten_notes(spark, folder):
     return _texts(spark, folder, "documents").select("doc_id", T.shorten(T.note_full(F.col("text"))).alias("note"))
 
@@ -378,7 +385,15 @@ def html_links(spark, folder):
     return _texts(spark, folder, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
 
 
-@query()
+_SHOWN = "html"
+for _tag in ("script", "style", "template", "noscript"):
+    _SHOWN = f"regexp_replace({_SHOWN}, '(?is)<{_tag}[^>]*>.*?</{_tag}>', ' ', 'g')"
+_SHOWN = f"regexp_replace(regexp_replace({_SHOWN}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+for _name, _char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+    _SHOWN = f"replace({_SHOWN}, '&{_name};', '{_char}')"
+
+
+@query(f"select page_id, trim(regexp_replace({_SHOWN}, '\\s+', ' ', 'g')) as text from pages")
 def html_text(spark, folder):
     return _texts(spark, folder, "pages").select("page_id", H.visible_text(F.col("html")).alias("text"))
 
@@ -420,13 +435,29 @@ def ics_entries(spark, folder):
     return e.select(sinks.ics_event(F.col("id").cast("string"), F.col("venue"), F.col("start"), F.col("end"), F.lit(None).cast("string"), F.col("town")).alias("ics"), "id")
 
 
-@query()
+@query(_LISTINGS + f"""select start, town, id, '{{"id":' || id || ',"start":"' || start || '"' || case when "end" is null then '' else ',"end":"' || "end" || '"' end || ',"town":"' || town || '","category":"' || category || '","venue":"' || venue
+ || '","cust":' || cust || ',"price":' || price || '}}' as json from ev where {_LIVE}""")
 def feed_json(spark, folder):
     e = listings(spark, folder).where(L.live(F.lit(AS_OF)))
     return sinks.feed_lines(e, ["start", "town", "id"])
 
 
-@query()
+@query(
+    _LISTINGS
+    + f""", r as (select id, start, coalesce("end", start) as last, town, lower(venue) || '-night' as base, cust % 40 as n, case when id % 3 = 0 then '20:30' end as time, sha1(id::varchar) as fp from ev where {_LIVE}),
+s as (select *, max(last) over w as reach from r window w as (partition by base, n, town order by start, last, fp rows between unbounded preceding and 1 preceding)),
+b as (select *, sum(case when reach is null or start - reach > 1 then 1 else 0 end) over w as block, sum(case when reach is null or start > reach then 1 else 0 end) over w as overlap
+  from s window w as (partition by base, n, town order by start, last, fp rows unbounded preceding)),
+k as (select base, n, town, min(start) as start, max(last) as last, arg_min(time, (start, last, fp)) filter (where time is not null) as time, arg_min(fp, (start, last, fp)) as fp, count(distinct overlap) as members from b group by base, n, town, block),
+a as (select *, start <= :as_of + 42 or sum(members) over (partition by base, n, town) = 1 as near from k),
+far as (select base, n, town, min(start) as start, arg_min(last, (start, last, fp)) as last, arg_min(time, (start, last, fp)) filter (where time is not null) as time, arg_min(fp, (start, last, fp)) as fp, list_sort(list(distinct start)) as days from a where not near group by base, n, town),
+o as (select base, n, town, start, last, time, fp, null as days, false as recurring from a where near union all select *, true from far),
+t as (select *, upper(base[1]) || substr(base, 2, position('-' in base) - 2) || ' Night ' || n as title from o),
+u as (select *, row_number() over (partition by base order by start, title, fp) as nth from t)
+select title, start, case when last > start then last end as "end", time, town, 'Hall ' || n as venue, case when base like '%chiner%' then 'brocante' else 'autre' end as category, null::varchar as url,
+  'Entrée libre' || case when len(days) > 1 then ' · Also on ' || array_to_string(list_transform(days[2:5], lambda x: strftime(x, '%-d %b')), ', ') || case when len(days) > 5 then ' +' || (len(days) - 5) || ' more' else '' end else '' end as note,
+  null::varchar as price, true as free, null::varchar as image, false as outdoor, false as online, 's' as source, fp as fingerprint, false as cancelled, null::varchar as cancel_note, recurring, base || case when nth = 1 then '' else '-' || nth end as slug from u"""
+)
 def published_feed(spark, folder):
     """The whole build over listings: tidy, overlap and recurrence merges, titles, slugs."""
     from .build import build
