@@ -117,9 +117,12 @@ def rest_towns(events: DataFrame, k: int = 5) -> DataFrame:
 
 def find_duplicates(submitted: DataFrame, events: DataFrame, least: float = 0.6) -> DataFrame:
     """(submission id, fingerprint): events on the day and in the town of a submission whose title is as similar."""
-    s = submitted.select("id", F.col("title").alias("s_title"), F.col("start").alias("s_start"), T.fold(F.col("town"), True).alias("key"))
+    month = lambda d: F.trunc(d, "month")
+    s = submitted.select("id", F.col("title").alias("s_title"), F.col("start").alias("s_start"), T.fold(F.col("town"), True).alias("key"), month("start").alias("month"))
     e = events.select("fingerprint", "title", "start", F.coalesce("end", "start").alias("last"), T.fold(F.col("town"), True).alias("key"))
-    met = s.join(e, (s["key"] == e["key"]) & F.col("s_start").between(F.col("start"), F.col("last")))
+    # Rows meet by town and month, so that a town with most of the events is dealt over its months; a run stands in each of its own.
+    e = e.withColumn("month", F.explode(F.sequence(month("start"), month(F.greatest("start", "last")), F.expr("interval 1 month"))))
+    met = s.join(e, ["key", "month"]).where(F.col("s_start").between(F.col("start"), F.col("last")))
     return met.where(T.title_similarity(F.col("s_title"), F.col("title")) >= least).select("id", "fingerprint")
 
 
