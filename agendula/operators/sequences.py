@@ -75,10 +75,15 @@ def consecutive_blocks(events: DataFrame, by: list[str], name: str = "block") ->
     """``events`` with the number of their block: consecutive nights under one url.
 
     A row goes on with the last block if it starts at most a day after the block's end and has no url or one that is in it. Nights
-    further apart never meet, so runs are cut by dates first (a window), and only such a run is folded in order.
+    further apart never meet, so runs are cut by dates first (a window). A run without urls, or with one on every row, is one block;
+    only a run of mixed urls is folded in order.
     """
     last = F.coalesce("end", "start")
     e = islands(events, by, F.col("start"), last, ["fingerprint"], gap=1, name="__run")
+    run = Window.partitionBy(*by, "__run")
+    urls, rows = F.count("url").over(run), F.count(F.lit(1)).over(run)
+    e = e.withColumn("__plain", (urls == 0) | ((urls == rows) & (F.min("url").over(run) == F.max("url").over(run))))
+    plain, mixed = e.where("__plain"), e.where("not __plain")
     item = F.struct(F.col("start").alias("s"), last.alias("l"), F.col("fingerprint").alias("f"), F.col("url").alias("u"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(None).cast("date").alias("reach"), F.array().cast("array<string>").alias("urls"), F.array().cast("array<struct<f:string,n:int>>").alias("out"))
 
@@ -89,13 +94,13 @@ def consecutive_blocks(events: DataFrame, by: list[str], name: str = "block") ->
         one = F.when(x["u"].isNull(), F.array().cast("array<string>")).otherwise(F.array(x["u"]))
         return F.struct(n.alias("n"), reach.alias("reach"), F.when(on, F.array_union(acc["urls"], one)).otherwise(one).alias("urls"), F.concat(acc["out"], F.array(F.struct(x["f"].alias("f"), n.alias("n")))).alias("out"))
 
-    runs = e.groupBy(*[F.col(c).alias(f"k_{c}") for c in by], F.col("__run").alias("k_run")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    runs = mixed.groupBy(*[F.col(c).alias(f"k_{c}") for c in by], F.col("__run").alias("k_run")).agg(F.array_sort(F.collect_list(item)).alias("items"))
     numbered = runs.select("*", F.explode(F.aggregate("items", zero, step)["out"]).alias("o")).select("k_run", F.col("o.f").alias("__f"), F.col("o.n").alias("__b"), *[f"k_{c}" for c in by])
     cond = (F.col("fingerprint") == F.col("__f")) & (F.col("__run") == F.col("k_run"))
     for c in by:
         cond = cond & F.col(c).eqNullSafe(F.col(f"k_{c}"))
-    out = e.join(numbered, cond)
-    return out.withColumn(name, F.struct(F.col("__run").alias("run"), F.col("__b").alias("n"))).drop("__run", "__b", "__f", "k_run", *[f"k_{c}" for c in by])
+    out = mixed.join(numbered, cond).unionByName(plain.withColumn("__b", F.lit(1)), allowMissingColumns=True)
+    return out.withColumn(name, F.struct(F.col("__run").alias("run"), F.col("__b").alias("n"))).drop("__run", "__plain", "__b", "__f", "k_run", *[f"k_{c}" for c in by])
 
 
 def fold_recurring(events: DataFrame, as_of: Column, near: int = X.NEAR_DAYS) -> DataFrame:
