@@ -7,6 +7,7 @@ adapter carry (doc, pos), their order, from which ``extract`` makes the sequence
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import partial, reduce
@@ -365,11 +366,30 @@ def table(raw: DataFrame, as_of: dt.date) -> DataFrame:
     return t.withColumn("time", D.parse_time(F.regexp_extract("note", r"(\d{1,2}h\d{0,2})", 1)))
 
 
+def _filled_in(template: str | None, fields: Column) -> Column:
+    """A template with each {name} replaced by that field; null if there is no template or one of its fields is missing."""
+    if template is None:
+        return F.lit(None).cast("string")
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.try_element_at(fields, F.lit(p)) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
+def templated_table(raw: DataFrame, as_of: dt.date, title: str = "{title}", note: str | None = None, url: str | None = None, town: str = "{town}", venue: str | None = "{venue}", category: str | None = None, free: bool | None = None) -> DataFrame:
+    """A programme of nights, one JSON object a line with ``start`` and any other fields, which templates put together: a price can go into the note."""
+    t = raw.select("doc", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
+    t = t.select("doc", "pos", F.from_json("line", "map<string,string>").alias("f")).where("f is not null")
+    name, place = _filled_in(title, F.col("f")), _filled_in(venue, F.col("f"))
+    out = t.select(
+        "doc", "pos", name.alias("title"), F.try_to_date(F.try_element_at("f", F.lit("start"))).alias("start"), _filled_in(town, F.col("f")).alias("town"), F.nullif(place, F.lit("")).alias("venue"), F.coalesce(F.lit(category), T.classify(name)).alias("category"),
+        _filled_in(url, F.col("f")).alias("url"), F.nullif(_filled_in(note, F.col("f")), F.lit("")).alias("note"), F.coalesce(F.lit(free), F.try_element_at("f", F.lit("free")) == "true", F.lit(False)).alias("free"))
+    return out.where("title is not null and start is not null")
+
+
 def default_registry() -> Registry:
     """A source for each shape, under its shape's name."""
     r = Registry()
     r.add(
-        Source("curated", table, delay=0), Source("heading_dated", heading_dated, delay=2.0), Source("wordpress", wordpress), Source("open_data", open_data, delay=0.5), Source("timed_cards", timed_cards, delay=1.5),
+        Source("curated", table, delay=0), Source("programmes", partial(templated_table, note="{price}", url="{url}"), delay=0), Source("heading_dated", heading_dated, delay=2.0), Source("wordpress", wordpress), Source("open_data", open_data, delay=0.5), Source("timed_cards", timed_cards, delay=1.5),
         Source("structured_pages", structured_pages), Source("text_dated", text_dated, needs_browser=True), Source("season_calendar", partial(season_calendar, season_start=2026), reconciles=True),
         Source("calendars", calendar, reconciles=True), Source("plain_calendars", partial(calendar, expand=False, coarse=True)), Source("dance_calendars", partial(calendar, expand=False, coarse=True, category="danse")),
         Source("sale_listing", sale_listing, delay=1.5), Source("place_cards", place_cards, delay=0.6), Source("genre_cards", genre_cards, needs_browser=True), Source("town_cards", town_cards, needs_browser=True),

@@ -62,6 +62,15 @@ def test_season_programme_rolls_over_the_year(spark):
     assert spark.range(1).select(sequences.rolled_years(F.array(*map(F.lit, [11, 12, 1, 3, 2])))).first()[0] == [0, 0, 1, 1, 2]
 
 
+def test_templated_table(spark):
+    body = '{"start":"2026-07-18","act":"Trio","slot":"20h","extra":"quiz"}\n{"start":"2026-07-19","act":"Duo","slot":"21h"}\n{"start":"soon","act":"Solo"}\nbroken\n'
+    got = A.templated_table(raw(spark, body), AS_OF, title="Nights — {act}", note="Free · concert {slot}", town="Nice", venue="Hall", url="https://n/{act}/", category="concert", free=True).orderBy("pos").collect()
+    assert [(r.title, r.start, r.note, r.town, r.venue, r.url, r.category, r.free) for r in got] == [("Nights — Trio", day(18), "Free · concert 20h", "Nice", "Hall", "https://n/Trio/", "concert", True), ("Nights — Duo", day(19), "Free · concert 21h", "Nice", "Hall", "https://n/Duo/", "concert", True)]
+    body = '{"start":"2026-07-18","title":"Jazz night","town":"Nice","venue":"","price":"20 €","free":"false"}\n{"start":"2026-07-18","title":"Show","town":"Nice","venue":"V","price":"","free":"true"}'
+    got = A.templated_table(raw(spark, body), AS_OF, note="{price}").orderBy("pos").collect()
+    assert [(r.title, r.venue, r.note, r.free, r.url) for r in got] == [("Jazz night", None, "20 €", False, None), ("Show", "V", None, True, None)]
+
+
 def test_pages_without_cards_give_nothing(spark):
     for f in (A.sale_listing, A.place_cards, A.genre_cards, A.town_cards, A.season_programme):
         assert f(raw(spark, "", "plain", "<p>x</p>"), AS_OF).count() == 0 and f(raw(spark, "x").where("false"), AS_OF).count() == 0
