@@ -113,5 +113,6 @@ select page_id, payload_bytes, payload_digest,
 from d
 """
 
-#: The others cannot be stated in SQL; tests/llm holds them against brute force, round trips or held-out labels.
+#: The others have none: the engine that runs this SQL knows neither XXH64 (op9) nor CRC-32 (op8) nor the rolling hash of op5, and models and tokenizers
+#: are no SQL. tests/llm holds them against brute force, round trips or held-out labels.
 SQL = {"op4_source_mix": _MIX_SQL, "op6_exact_top_k": _TOP_K_SQL, "op7_warc_archive": _WARC_SQL}
