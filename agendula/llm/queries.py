@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mix, quality, shard, simhash, sptok, topk, toxicity, warc, winnow
+from . import fim, langid, license, mix, quality, shard, simhash, sptok, topk, toxicity, vcode, warc, winnow
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -54,7 +56,19 @@ def op10_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(_read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_line_quality, op4_source_mix, op5_winnowing, op6_exact_top_k, op7_warc_archive, op8_lpt_shards, op9_simhash, op10_language_mixture)}
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vcode.codes(_read(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label"))
+
+
+def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license.scan(_read(spark, folder, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fim.digests(_read(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_line_quality, op4_source_mix, op5_winnowing, op6_exact_top_k, op7_warc_archive, op8_lpt_shards, op9_simhash, op10_language_mixture, op11_vector_codes, op12_license_scan, op13_fill_in_middle)}
 
 _MIX_SQL = """
 with recursive docs as (
@@ -113,6 +127,85 @@ select page_id, payload_bytes, payload_digest,
 from d
 """
 
+
+
+def _codes_sql() -> str:
+    """Rounds of assignment and of means, written out one after another."""
+    ctes = [
+        f"""kept as materialized (
+  select row_number() over (order by vec_id nulls last) as r, vec_id, label, list_transform(embedding, lambda x: floor({vcode.SCALE} * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        f"width as (select max(len(v)) // {vcode.PARTS} as w from kept)",
+        f"parts as materialized (select r, p, v[p * w + 1 : p * w + w] as s from kept, width, range({vcode.PARTS}) t(p))",
+        f"book0 as materialized (select p, r - 1 as e, s as c from parts where r <= {vcode.ENTRIES})",
+    ]
+    for n in range(vcode.ROUNDS + 1):
+        squared = "list_dot_product(s, s) - 2 * list_dot_product(s, c) + list_dot_product(c, c)"
+        ctes.append(f"near{n} as materialized (select r, p, any_value(s) as s, min((({squared})::bigint, e)) as best from parts join book{n} using (p) group by r, p)")
+        if n < vcode.ROUNDS:
+            ctes.append(f"one{n} as (select p, best[2] as e, unnest(s) as x, unnest(range(len(s))) as i from near{n})".replace("best[2]", "struct_extract(best, 2)"))
+            ctes.append(f"mean{n} as (select p, e, i, floor(sum(x) / count(*)) as m from one{n} group by p, e, i)")
+            ctes.append(f"new{n} as (select p, e, list(m order by i) as c from mean{n} group by p, e)")
+            ctes.append(f"book{n + 1} as materialized (select b.p, b.e, coalesce(n.c, b.c) as c from book{n} b left join new{n} n using (p, e))")
+    last = vcode.ROUNDS
+    return f"""with {", ".join(ctes)},
+coded as (
+  select r, string_agg(lpad(lower(to_hex(struct_extract(best, 2))), 2, '0'), '' order by p) as code, sum(struct_extract(best, 1))::bigint as error
+  from near{last} group by r),
+digest as (select sha256(string_agg(array_to_string(list_transform(c, lambda x: x::bigint::varchar), ','), ',' order by p, e)) as codebooks_sha256 from book{last})
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from kept join coded using (r), digest
+"""
+
+
+def _license_sql() -> str:
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    short = [(label, license.split(text), 2, "true") for text, label in license.PHRASES]
+    long = [(label, license.split(text), license.K, "false") for label, text in license.NOTICES]
+    rows = ", ".join(f"({t}, '{label}', {quoted(w)}, {k}, {phrase})" for t, (label, w, k, phrase) in enumerate([*short, *long]))
+    return f"""
+with docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{license.WORD}') as w from documents),
+templates(t, label, w, k, phrase) as (values {rows}),
+runs as (select t, label, k, phrase, len(w) as n, i as seat, array_to_string(w[i + 1 : i + k], ' ') as gram from templates, lateral (select unnest(range(len(w) - k + 1)) as i)),
+grams as (select r, i as pos, k, array_to_string(w[i + 1 : i + k], ' ') as gram from docs, lateral (select unnest(range(len(w))) as i), (values (2), ({license.K})) ks(k)),
+diagonals as (
+  select r, t, label, k, phrase, n, pos - seat as diagonal, min(pos) as low, max(pos) + k as high, list(distinct seat) as seats
+  from grams join runs using (k, gram) group by r, t, label, k, phrase, n, pos - seat),
+held as (select *, list_distinct(flatten(list_transform(seats, lambda a: range(a, a + k)))) as held from diagonals),
+marked as (
+  select *, case when phrase or coalesce(diagonal - lag(diagonal) over (partition by r, t order by diagonal) > {license.GAP}, true) then 1 else 0 end as new from held),
+numbered as (select *, sum(new) over (partition by r, t order by diagonal rows unbounded preceding) as run from marked),
+merged as (
+  select r, t, label, phrase, min(low) as start,
+         greatest(max(len(held) / n), len(list_distinct(flatten(list(held)))) / greatest(any_value(n), max(high) - min(low))) as score
+  from numbered group by r, t, label, phrase, run),
+rated as (
+  select r, count(*) filter (phrase and score >= 1) as n_base, min(start) filter (phrase and score >= 1) as first_word, max(start) filter (phrase and score >= 1) as last_word,
+         string_agg(distinct label, ',' order by label) filter (phrase and score >= 1) as base_labels,
+         string_agg(distinct label, ',' order by label) filter (score >= case when phrase then 1 else {license.LEAST} end) as labels,
+         max(score) filter (not phrase or score >= 1) as score
+  from merged group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+       coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score
+from docs left join rated using (r)
+"""
+
+
+_FIM_SQL = """
+with keyed as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n, sha256('1:' || coalesce(doc_id::varchar, '')) as key from documents),
+hashed as (
+  select *, ('0x' || key[1:8])::bigint % (n + 1) as a, ('0x' || key[9:16])::bigint % (n + 1) as b, ('0x' || key[17:24])::bigint % 100 as c, ('0x' || key[25:32])::bigint % 100 as d from keyed),
+cut as (
+  select *, least(a, b) as low, greatest(a, b) as high,
+         case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or c >= 90 then 'plain' when d < 20 then 'spm' else 'psm' end as form
+  from hashed),
+parts as (select *, substring(text, 1, low) as prefix, substring(text, low + 1, high - low) as middle, substring(text, high + 1) as suffix from cut)
+select doc_id, n, form, case when form <> 'plain' then low end as prefix_chars, case when form <> 'plain' then high - low end as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(text) as restored_sha256
+from parts
+"""
+
 #: The others have none: the engine that runs this SQL knows neither XXH64 (op9) nor CRC-32 (op8) nor the rolling hash of op5, and models and tokenizers
 #: are no SQL. tests/llm holds them against brute force, round trips or held-out labels.
-SQL = {"op4_source_mix": _MIX_SQL, "op6_exact_top_k": _TOP_K_SQL, "op7_warc_archive": _WARC_SQL}
+SQL = {"op4_source_mix": _MIX_SQL, "op6_exact_top_k": _TOP_K_SQL, "op7_warc_archive": _WARC_SQL, "op11_vector_codes": _codes_sql(), "op12_license_scan": _license_sql(), "op13_fill_in_middle": _FIM_SQL}
