@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
+from .titles import kept_titles
 
 
 def blank_to_null(c: str) -> Column:
@@ -42,36 +43,40 @@ def merge_snapshot(stored: DataFrame, batch: DataFrame, now: Column) -> DataFram
 
     Within a fingerprint the stored row comes first, then the batch by ``seq``. An event of the row's own source may clear its end
     and its free flag and replace its url; others only add. ``added`` and ``merged`` tell what became of the row.
+
+    Rows are first aggregated by fingerprint and source, before they are shuffled; the owner is the source that came first, so an event's
+    fields then follow from one row a source.
     """
     cols = [c for c in stored.columns if c not in ("fingerprint", "sources", "first_seen", "last_seen")]
     old = stored.select("fingerprint", *cols, "sources", "first_seen", F.col("last_seen"), F.lit(-1).cast(batch.schema["seq"].dataType).alias("seq"))
     new = batch.select("fingerprint", *cols, F.array("source").alias("sources"), now.alias("first_seen"), now.alias("last_seen"), "seq")
     rows = old.unionByName(new)
-    owner = rows.groupBy("fingerprint").agg(F.min_by("source", "seq").alias("__owner"))
-    rows = rows.join(owner, "fingerprint").withColumn("__owns", F.col("source") == F.col("__owner"))
-
-    first = lambda c: F.min_by(c, "seq").alias(c)
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
-    longest = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(-F.length(c), F.col("seq")))).alias(c)
-    own_url = F.max_by("url", F.when(F.col("__owns") & F.col("url").isNotNull(), F.col("seq")))
-    other_url = F.min_by("url", F.when(~F.col("__owns") & F.col("url").isNotNull(), F.col("seq")))
-    says = F.col("end").isNotNull() | F.col("__owns")
-    last_own = F.max(F.when(F.col("__owns"), F.col("seq")))
-    last_free = F.max(F.when(~F.col("__owns") & F.col("free"), F.col("seq")))
-    # Only titles need an ordered fold: what wins depends on the title that is there. Equal neighbours change nothing.
-    before = F.lag("title").over(Window.partitionBy("fingerprint").orderBy("seq"))
-    titled = rows.withColumn("__title", F.when(before.isNull() | (before != F.col("title")), F.struct("seq", "title", T.says_cancelled(F.col("title")).alias("off"), T.title_penalty(F.col("title")).alias("bad"))))
-    pick = lambda a, b: F.when(a["title"].isNull() | (b["off"] & ~a["off"]) | (b["bad"] < a["bad"]), b).otherwise(a)
-    start = F.lit(None).cast(f"struct<seq:{batch.schema['seq'].dataType.simpleString()},title:string,off:boolean,bad:int>")
-    out = titled.groupBy("fingerprint").agg(
-        F.aggregate(F.array_sort(F.collect_list("__title")), start, pick)["title"].alias("title"),
-        F.max_by("end", F.when(says, F.col("seq"))).alias("end"), last("time"), last("price"), last("image"), longest("venue"), longest("note"), F.coalesce(own_url, other_url).alias("url"),
-        (F.max_by("free", F.when(F.col("__owns"), F.col("seq"))) | F.coalesce(last_free > last_own, F.lit(False))).alias("free"), F.bool_or("outdoor").alias("outdoor"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"), F.max("last_seen").alias("last_seen"),
-        first("source"), first("town"), first("category"), first("start"), first("online"), first("submitted_by"), first("approved"), first("first_seen"),
-        (F.min("seq") >= 0).alias("added"), (F.count(F.when(F.col("seq") >= 0, 1)) - F.when(F.min("seq") >= 0, 1).otherwise(0)).alias("merged"),
+
+    at = lambda c: F.when(F.col(c).isNotNull(), F.struct("seq", F.col(c).alias("value")))
+    long = lambda c: F.when(F.col(c).isNotNull(), F.struct((-F.length(c)).alias("size"), "seq", F.col(c).alias("value")))
+    kept = ["source", "town", "category", "start", "online", "submitted_by", "approved", "first_seen"]
+    by_source = rows.groupBy("fingerprint", "source").agg(
+        F.min("seq").alias("from"), F.max("seq").alias("to"), F.min(F.struct("seq", *kept)).alias("first"), F.count(F.lit(1)).alias("n"), F.bool_or("outdoor").alias("outdoor"), F.max("last_seen").alias("last_seen"), F.collect_set("sources").alias("sources"),
+        F.max(F.struct("seq", F.col("end").alias("value"))).alias("any_end"), F.max(at("end")).alias("some_end"), F.max(F.struct("seq", F.col("free").alias("value"))).alias("any_free"), F.max(F.when(F.col("free"), F.col("seq"))).alias("some_free"),
+        F.max(at("url")).alias("last_url"), F.min(at("url")).alias("first_url"), *[F.max(at(c)).alias(c) for c in ("time", "price", "image")], *[F.min(long(c)).alias(c) for c in ("venue", "note")],
     )
-    return out.select(*stored.columns, "added", "merged")
+    # One entry a source, the owner's first.
+    each = by_source.groupBy("fingerprint").agg(F.sort_array(F.collect_list(F.struct("from", *[c for c in by_source.columns if c not in ("fingerprint", "source", "from")]))).alias("by"))
+    each = each.withColumns({"own": F.col("by")[0], "others": F.slice("by", F.lit(2), F.size("by"))})
+    latest = lambda items: F.array_max(items)["value"]
+    fields = {c: latest(F.col("by")[c]) for c in ("time", "price", "image")} | {c: F.array_min(F.col("by")[c])["value"] for c in ("venue", "note")} | {c: F.col("own.first")[c] for c in kept}
+    fields |= {
+        "end": latest(F.concat(F.array("own.any_end"), F.col("others")["some_end"])),
+        "url": F.coalesce(F.col("own.last_url")["value"], F.array_min(F.col("others")["first_url"])["value"]),
+        "free": F.col("own.any_free")["value"] | F.coalesce(F.array_max(F.col("others")["some_free"]) > F.col("own.to"), F.lit(False)),
+        "outdoor": F.exists(F.col("by")["outdoor"], lambda x: x),
+        "sources": F.array_sort(F.array_distinct(F.flatten(F.flatten(F.col("by")["sources"])))),
+        "last_seen": F.array_max(F.col("by")["last_seen"]),
+        "added": F.col("own.from") >= 0,
+        "merged": F.aggregate(F.col("by")["n"], F.lit(0).cast("long"), lambda a, n: a + n) - 1,
+    }
+    out = each.select("fingerprint", *[c.alias(name) for name, c in fields.items()])
+    return out.join(kept_titles(rows), "fingerprint", "left").select(*stored.columns, "added", "merged")
 
 
 def collapse_venue_duplicates(events: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as T
+from ..lineage import cut
 from ..operators import resolve, rules, sequences
 from ..sources import jsonld, sinks
 from . import listing as L
@@ -33,7 +34,7 @@ _MERGE_BASE = """
 with l as (select *, row_number() over (order by l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_partkey) as seq from lineitem),
 r as (select l_partkey as id, seq, 's' || (l_suppkey % 3) as source, 'Venue ' || repeat('x', (l_quantity::bigint % 7)::int) as venue,
   case when l_linenumber % 2 = 0 then l_shipdate::date end as "end", case when l_linenumber % 3 <> 0 then 'u' || l_orderkey end as url,
-  l_discount < 0.02 as free, l_tax > 0.07 as outdoor, case when l_quantity > 25 then 'n' || l_quantity::bigint end as note,
+  l_shipdate::date < date '1995-06-01' as early, l_discount < 0.02 as free, l_tax > 0.07 as outdoor, case when l_quantity > 25 then 'n' || l_quantity::bigint end as note,
   case l_linenumber % 4 when 0 then 'BIG NIGHT' when 1 then 'Big night' when 2 then 'Big night (Free)' else 'Cancelled big night' end as title from l),
 """
 
@@ -48,26 +49,36 @@ m as (select id, max(seq) filter (where owns and "end" is null) as cleared, max(
   arg_max(url, seq) filter (where owns and url is not null) as own_url, arg_min(url, seq) filter (where not owns and url is not null) as other_url,
   arg_max(free, seq) filter (where owns) as own_free, max(seq) filter (where owns) as own_at, max(seq) filter (where not owns and free) as other_free_at,
   arg_min(venue, (-length(venue), seq)) as venue, arg_min(note, (-length(note), seq)) filter (where note is not null) as note,
-  bool_or(outdoor) as outdoor, list_sort(list(distinct source)) as sources, any_value(owner) as source, count(*) as n from p group by id)
+  bool_or(outdoor) as outdoor, list_sort(list(distinct source)) as sources, any_value(owner) as source,
+  not bool_or(early) as added, count(*) filter (not early) - case when bool_or(early) then 0 else 1 end as merged from p group by id)
 select m.id, t.title, source, case when ended is not null and (cleared is null or ended > cleared) then last_end end as "end", coalesce(own_url, other_url) as url, venue, note,
-  own_free or coalesce(other_free_at > own_at, false) as free, outdoor, sources, n - 1 as merged from m join t on m.id = t.id"""
+  own_free or coalesce(other_free_at > own_at, false) as free, outdoor, sources, added, merged from m join t on m.id = t.id"""
 )
 def merge_snapshot(spark, folder):
-    """Lines of a part, merged as a batch into an empty snapshot: all of an event's rules in one aggregation."""
-    e = _read(spark, folder, "lineitem")
+    """Lines of a part: early ones are merged into an empty snapshot and written, later ones are the batch that meets them."""
+    rows = part_events(_read(spark, folder, "lineitem"))
+    now = F.lit(NOW).cast("timestamp_ntz")
+    early = F.col("start") < F.lit(EARLY)
+    none = rows.where("false").drop("seq").withColumns({"sources": F.array("source"), "first_seen": now, "last_seen": now})
+    stored = cut(resolve.merge_snapshot(none, rows.where(early), now).drop("added", "merged"), "stored")
+    out = resolve.merge_snapshot(stored, rows.where(~early), now)
+    return out.select(F.col("fingerprint").cast("long").alias("id"), "title", "source", "end", "url", "venue", "note", "free", "outdoor", "sources", "added", "merged")
+
+
+EARLY = dt.date(1995, 6, 1)
+
+
+def part_events(lines: DataFrame) -> DataFrame:
+    """A line as an adapter row of the event that its part is, in the order of its ship date."""
     order = F.format_string("%s%012d%04d%012d", F.date_format("l_shipdate", "yyyyMMdd"), "l_orderkey", "l_linenumber", "l_suppkey").cast("decimal(38,0)")
     line = F.col("l_linenumber")
     title = F.when(line % 4 == 0, "BIG NIGHT").when(line % 4 == 1, "Big night").when(line % 4 == 2, "Big night (Free)").otherwise("Cancelled big night")
-    rows = _filled(
-        e.select(
+    return _filled(
+        lines.select(
             F.col("l_partkey").cast("string").alias("fingerprint"), order.alias("seq"), F.concat(F.lit("s"), (F.col("l_suppkey") % 3).cast("string")).alias("source"), F.concat(F.lit("Venue "), F.repeat(F.lit("x"), (F.col("l_quantity").cast("long") % 7).cast("int"))).alias("venue"),
             F.when(line % 2 == 0, F.to_date("l_shipdate")).alias("end"), F.when(line % 3 != 0, F.concat(F.lit("u"), F.col("l_orderkey").cast("string"))).alias("url"), (F.col("l_discount") < 0.02).alias("free"), (F.col("l_tax") > 0.07).alias("outdoor"),
-            F.when(F.col("l_quantity") > 25, F.concat(F.lit("n"), F.col("l_quantity").cast("long").cast("string"))).alias("note"), title.alias("title"), F.lit("Nice").alias("town"), F.lit(AS_OF).alias("start"))
+            F.when(F.col("l_quantity") > 25, F.concat(F.lit("n"), F.col("l_quantity").cast("long").cast("string"))).alias("note"), title.alias("title"), F.lit("Nice").alias("town"), F.to_date("l_shipdate").alias("start"))
     )
-    now = F.lit(NOW).cast("timestamp_ntz")
-    stored = rows.where("false").drop("seq").withColumns({"sources": F.array("source"), "first_seen": now, "last_seen": now})
-    out = resolve.merge_snapshot(stored, rows, now)
-    return out.select(F.col("fingerprint").cast("long").alias("id"), "title", "source", "end", "url", "venue", "note", "free", "outdoor", "sources", "merged")
 
 
 # --- the listing
