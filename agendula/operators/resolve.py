@@ -97,30 +97,41 @@ def collapse_venue_duplicates(events: DataFrame) -> DataFrame:
     return alone.unionByName(merged.select(*events.columns))
 
 
-def reconcile_dates(events: DataFrame, listed: DataFrame, source: str, as_of: Column) -> DataFrame:
-    """Without rows that moved: future rows of this source alone whose title and town it lists now, but not on their date.
-
-    ``listed``: this run's rows (title, town, start). An empty listing deletes nothing.
-    """
+def moved(events: DataFrame, listed: DataFrame, source: str, as_of: Column) -> DataFrame:
+    """Future rows of this source alone whose title and town it lists now (title, town, start), but not on their date."""
     keyed = lambda d: d.withColumns({"__k": T.title_key(F.col("title")), "__t": T.slugify(F.col("town"))})
-    now = keyed(listed).select("__k", "__t", F.col("start").alias("__d")).distinct()
+    # Keys are computed once a row, on either side; what a source lists now is small beside the snapshot.
+    now = keyed(listed).select("__k", "__t", F.col("start").alias("__d")).groupBy("__k", "__t").agg(F.collect_set("__d").alias("__days"))
     mine = (F.col("start") >= as_of) & F.col("submitted_by").isNull() & (F.col("source") == source) & (F.array_distinct("sources") == F.array(F.lit(source)))
-    e = keyed(events)
-    moved = e.where(mine).join(now.select("__k", "__t").distinct(), ["__k", "__t"], "left_semi")
-    moved = moved.join(now, (moved["__k"] == now["__k"]) & (moved["__t"] == now["__t"]) & (moved["start"] == now["__d"]), "left_anti")
-    return events.join(moved.select("fingerprint"), "fingerprint", "left_anti")
+    met = keyed(events.where(mine)).join(now, ["__k", "__t"])
+    return met.where(~F.array_contains("__days", F.col("start"))).select(*events.columns)
+
+
+def reconcile_dates(events: DataFrame, listed: DataFrame, source: str, as_of: Column) -> DataFrame:
+    """Without rows that :func:`moved`. An empty listing deletes nothing."""
+    return events.join(moved(events, listed, source, as_of).select("fingerprint"), "fingerprint", "left_anti")
+
+
+def is_retired(active: list[str]) -> Column:
+    """All sources of a row are retired, and nobody submitted it."""
+    gone = (F.size("sources") > 0) & ~F.arrays_overlap("sources", F.array(*map(F.lit, active)))
+    return F.coalesce(gone, F.lit(False)) & F.col("submitted_by").isNull()
 
 
 def prune_retired(events: DataFrame, active: list[str]) -> DataFrame:
     """Without rows whose sources have all been retired; submitted rows stay."""
-    gone = (F.size("sources") > 0) & ~F.arrays_overlap("sources", F.array(*map(F.lit, active)))
-    return events.where(~(F.coalesce(gone, F.lit(False)) & F.col("submitted_by").isNull()))
+    return events.where(~is_retired(active))
+
+
+def stays(as_of: Column, days: int = 2) -> Column:
+    """A row that was submitted, or is not over for more than ``days`` days."""
+    limit = F.date_sub(as_of, days)
+    return F.coalesce(F.col("end") >= limit, F.lit(False)) | (F.col("end").isNull() & (F.col("start") >= limit)) | F.col("submitted_by").isNotNull()
 
 
 def prune_past(events: DataFrame, as_of: Column, days: int = 2) -> DataFrame:
     """Without rows over for more than ``days`` days; submitted rows stay."""
-    limit = F.date_sub(as_of, days)
-    return events.where((F.col("end") >= limit) | (F.col("end").isNull() & (F.col("start") >= limit)) | F.col("submitted_by").isNotNull())
+    return events.where(stays(as_of, days))
 
 
 def approve(events: DataFrame, fingerprint: str) -> DataFrame:

@@ -1,6 +1,6 @@
-"""Landed batches merged into the snapshot as they arrive: each micro-batch writes a whole new version.
+"""Landed batches merged into the bucketed snapshot as they arrive: each micro-batch publishes a version that rewrites what it touches.
 
-A version names the batch it came from, so a batch that is tried again after a failure finds its version or writes it anew.
+A version names the batch it came from, so a batch that is tried again after a failure finds itself published or is merged anew.
 """
 
 from __future__ import annotations
@@ -10,33 +10,22 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.build import ingest
-from ..schema import SNAPSHOT
-
-
-def _folders(spark: SparkSession, folder: str) -> list[str]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    whole = [s.getPath() for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(p.toString() for p in whole)
+from .store import Store, ingest
 
 
 def latest(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
-    """The last whole version (before a batch), or an empty snapshot."""
-    found = [p for p in _folders(spark, folder) if before is None or int(p.rsplit("v", 1)[1]) < before]
-    return spark.read.parquet(found[-1]) if found else spark.createDataFrame([], SNAPSHOT)
+    """The last version (before a batch), or an empty snapshot."""
+    store = Store(spark, folder)
+    found = [v for v in store.versions() if before is None or (store.manifest(v)["batch"] or 0) < before]
+    return (store.read(found[-1]) if found else store.read(only=set())).drop("bucket")
 
 
-def merge_stream(events: DataFrame, folder: str, checkpoint: str, as_of: dt.date, active: list[str]):
+def merge_stream(events: DataFrame, folder: str, checkpoint: str, as_of: dt.date, active: list[str], buckets: int = 64):
     """A started query that merges a stream of adapter rows (with ``seq`` and ``seen``, the time they were fetched)."""
 
     def batch(rows: DataFrame, n: int) -> None:
-        spark = rows.sparkSession
         moment = rows.agg(F.max("seen")).first()[0]
         if moment is not None:
-            out = ingest(latest(spark, folder, n), rows.drop("seen"), F.lit(moment).cast("timestamp_ntz"), as_of, active)
-            out.write.mode("overwrite").parquet(f"{folder}/v{n:08d}")
+            ingest(Store(rows.sparkSession, folder, buckets), rows.drop("seen"), F.lit(moment).cast("timestamp_ntz"), as_of, active, batch=n)
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
