@@ -12,48 +12,78 @@ from pyspark.sql import functions as F
 
 from . import fixed as X
 
-#: Code points whose decompositions are not looked up: Hangul syllables and the ideographs kept for compatibility.
-_PLAIN = (range(0xAC00, 0xD7A4), range(0xF900, 0xFB00), range(0x2F800, 0x2FA20))
-#: Code points that can decompose into several characters: punctuation and letter-like signs, enclosed ones, squared units, ligatures.
-_LONG = ((0xA8, 0xBE), (0x132, 0x133), (0x2010, 0x218F), (0x2460, 0x24FF), (0x3200, 0x33FF), (0xFB00, 0xFB06))
+#: First code point of the Hangul syllables and of the letters they are made of; how many syllables share a first letter, and a first and second.
+_HANGUL, _LEAD, _VOWEL, _TAIL = 0xAC00, 0x1100, 0x1161, 0x11A7
+_PER_LEAD, _PER_VOWEL = 588, 28
 
 
-def _normal(c: str, form: str, keep_marks: bool) -> str:
-    t = unicodedata.normalize(form, c)
-    return t if keep_marks else "".join(x for x in t if not unicodedata.combining(x))
+@lru_cache(4)
+def _forms(form: str, keep_marks: bool) -> dict[str, str]:
+    """What normalisation makes of every code point that it changes. Hangul syllables follow a rule of their own."""
+    out = {}
+    for n in range(0x80, 0x110000):
+        if 0xD800 <= n <= 0xDFFF or _HANGUL <= n < _HANGUL + 19 * _PER_LEAD:
+            continue
+        c = chr(n)
+        t = unicodedata.normalize(form, c)
+        t = t if keep_marks else "".join(x for x in t if not unicodedata.combining(x))
+        if t != c:
+            out[c] = t
+    return out
 
 
 @lru_cache(4)
 def _letters(form: str, keep_marks: bool) -> tuple[str, str]:
-    """Characters and what normalisation makes of them, where that is one character."""
-    source, target = [], []
-    for c in map(chr, range(0x80, 0x20000)):
-        t = _normal(c, form, keep_marks) if not any(ord(c) in r for r in _PLAIN) else c
-        if t != c and len(t) == 1:
-            source.append(c)
-            target.append(t)
-    return "".join(source), "".join(target)
+    """For translate: characters that become one, and which; then those that go."""
+    found = _forms(form, keep_marks)
+    one, none = [c for c, t in found.items() if len(t) == 1], [c for c, t in found.items() if not t]
+    return "".join(one + none), "".join(found[c] for c in one)
 
 
 @lru_cache(4)
-def _several(form: str, keep_marks: bool) -> str:
-    """What normalisation makes of the characters that become several, as JSON."""
-    found = {c: _normal(c, form, keep_marks) for a, z in _LONG for c in map(chr, range(a, z + 1))}
-    return json.dumps({c: t for c, t in found.items() if len(t) > 1}, ensure_ascii=False)
+def _several(form: str, keep_marks: bool) -> tuple[str, list[str]]:
+    """For translate: characters that become several, those of most first; their first, second, ... characters, shorter ones being at their end."""
+    found = {c: t for c, t in _forms(form, keep_marks).items() if len(t) > 1}
+    order = sorted(found, key=lambda c: (-len(found[c]), c))
+    return "".join(order), ["".join(found[c][k] for c in order if len(found[c]) > k) for k in range(max(map(len, found.values())))]
+
+
+@lru_cache(8)
+def _class(chars: str, hangul: bool = False) -> str:
+    """A pattern's class of these characters, as ranges."""
+    points = sorted(set(map(ord, chars)) | (set(range(_HANGUL, _HANGUL + 19 * _PER_LEAD)) if hangul else set()))
+    starts = [p for i, p in enumerate(points) if not i or points[i - 1] != p - 1]
+    ends = [p for i, p in enumerate(points) if i + 1 == len(points) or points[i + 1] != p + 1]
+    return "[" + "".join(f"\\x{{{a:X}}}" if a == z else f"\\x{{{a:X}}}-\\x{{{z:X}}}" for a, z in zip(starts, ends, strict=True)) + "]"
+
+
+@lru_cache(1)
+def _references() -> tuple[str, str, str]:
+    """Names with their semicolon by first two letters, as JSON; a pattern of the names that need none, longest first; those by name, as JSON."""
+    nested: dict = {}
+    for k, v in html5.items():
+        nested.setdefault(k[:2], {})[k] = v
+    bare = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+    return json.dumps(nested, ensure_ascii=False), "^(" + "|".join(bare) + ")", json.dumps({k: html5[k] for k in bare}, ensure_ascii=False)
 
 
 @lru_cache(1)
-def _entities() -> str:
-    """Named character references and the numbers that stand for another character, as JSON."""
-    named = {k.removesuffix(";"): v for k, v in html5.items() if k.endswith(";") and len(v) == 1}
-    wrong = {f"#{n}": t for n in range(128, 160) if (t := bytes([n]).decode("cp1252", "ignore"))}
-    return json.dumps(named | wrong, ensure_ascii=False)
+def _odd_numbers() -> str:
+    """Numbers of references that stand for another character or for none, as JSON."""
+    odd = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)} | {0: "\ufffd", 13: "\r"}
+    none = [*range(1, 9), 11, *range(14, 32), 127, *range(0xFDD0, 0xFDF0), *[p << 16 | low for p in range(17) for low in (0xFFFE, 0xFFFF)]]
+    return json.dumps({str(n): "" for n in none} | {str(n): t for n, t in odd.items()}, ensure_ascii=False)
 
 
 def _lookup(table: str, key: Column) -> Column:
     return F.try_element_at(F.from_json(F.lit(table), "map<string,string>"), key)
 
 
+def _point(n: Column) -> Column:
+    """The character of a code point."""
+    return F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
+
+
 def _or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -70,20 +100,35 @@ def _replace_all(c: Column, table: dict[str, str]) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    """Compatibility decomposition without its marks."""
-    return F.regexp_replace(_normalised(c, "NFKD", False), r"\p{Mn}", "")
+    """Compatibility decomposition without its combining marks."""
+    return _normalised(c, "NFKD", False)
 
 
 def nfkc(c: Column) -> Column:
+    """Compatibility composition, character by character."""
     return _normalised(c, "NFKC", True)
 
 
 def _normalised(c: Column, form: str, keep_marks: bool) -> Column:
     source, target = _letters(form, keep_marks)
-    some = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{z:X}}}" for a, z in _LONG) + "]"
-    one = lambda ch: F.coalesce(_lookup(_several(form, keep_marks), ch), ch)
-    longer = lambda t: F.when(t.rlike(some), F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)(.)"), F.lit(1)), one), "")).otherwise(t)
-    return let(F.translate(c, source, target), longer)
+    long, parts = _several(form, keep_marks)
+    some = _class(long, hangul=not keep_marks)
+
+    def syllable(ch: Column) -> Column:
+        n = F.ascii(ch) - _HANGUL
+        tail = F.when(n % _PER_VOWEL > 0, _point(n % _PER_VOWEL + _TAIL)).otherwise("")
+        return F.concat(_point(F.floor(n / _PER_LEAD) + _LEAD), _point(F.floor(n % _PER_LEAD / _PER_VOWEL) + _VOWEL), tail)
+
+    def expanded(ch: Column) -> Column:
+        out = F.concat(*[F.translate(ch, long, p) for p in parts])
+        return out if keep_marks else F.when(ch.between(chr(_HANGUL), chr(_HANGUL + 19 * _PER_LEAD - 1)), syllable(ch)).otherwise(out)
+
+    # A piece is a character of several and what follows it; the first may lack that character.
+    one = lambda p: F.when(p.rlike(f"^{some}"), F.concat(expanded(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))).otherwise(p)
+    pieces = lambda t: F.array_join(F.transform(F.split(t, f"(?={some})"), one), "")
+    longer = lambda t: F.when(t.rlike(some), pieces(t)).otherwise(t)
+    # Most texts are plain, and cost one look.
+    return let(c, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), let(F.translate(t, source, target), longer)).otherwise(t))
 
 
 def fold(c: Column, flatten: bool = False) -> Column:
@@ -172,20 +217,33 @@ def venue_core(venue: Column) -> Column:
     return slugify(F.split_part(_or_empty(venue), F.lit(","), F.lit(1)))
 
 
-_REFERENCE = "&(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};)"
+#: What can be a reference, as browsers read it.
+_REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
 def unescape(c: Column) -> Column:
-    """Character references, named and numeric, as what they stand for; unknown ones stay. Each is read once."""
+    """Character references, named and numeric, as what they stand for; unknown ones stay. Each is read once.
+
+    A name may lack its semicolon where the standard says so; of such names the longest that fits counts, and the rest of the word stays.
+    """
+    names, bare, by_bare = _references()
+
+    def numeric(found: Column) -> Column:
+        hexed = found.rlike("^#[xX]")
+        digits = F.regexp_replace(F.regexp_replace(found, "^#[xX]?0*|;$", ""), "^$", "0")
+        # Nine digits or more are beyond all characters in either base.
+        code = F.when(F.length(digits) < 9, F.when(hexed, F.conv(digits, 16, 10)).otherwise(digits).cast("long"))
+        sound = code.between(0, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.coalesce(_lookup(_odd_numbers(), code.cast("string")), F.when(sound, _point(code)), F.lit("\ufffd"))
+
+    def named(found: Column) -> Column:
+        whole = F.try_element_at(F.try_element_at(F.from_json(F.lit(names), "map<string,map<string,string>>"), F.substring(found, 1, 2)), found)
+        first = F.regexp_extract(found, bare, 1)
+        longest = F.when(first != "", F.concat(_lookup(by_bare, first), F.substring(found, F.length(first) + 1, F.lit(40))))
+        return F.coalesce(whole, longest, F.concat(F.lit("&"), found))
 
     def one(found: Column) -> Column:
-        name = F.regexp_replace(found, ";$", "")
-        digits = F.when(name.rlike("^#[xX]"), F.lower(F.substring(name, 3, 6))).when(name.startswith("#"), F.lower(F.hex(F.substring(name, 2, 7).cast("long"))))
-        code = F.conv(digits, 16, 10).cast("long")
-        sound = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        decimal = F.when(digits.isNotNull(), F.concat(F.lit("#"), code.cast("string"))).otherwise(name)
-        point = F.when(sound, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"))
-        return F.coalesce(_lookup(_entities(), decimal), point, F.when(digits.isNotNull(), F.lit("\ufffd")), F.concat(F.lit("&"), found))
+        return F.when(found.startswith("#"), numeric(found)).otherwise(named(found))
 
     def whole(t: Column) -> Column:
         found = F.transform(F.regexp_extract_all(t, F.lit(_REFERENCE), F.lit(1)), one)
