@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import fixed as X
 from ..functions import text as T
+from ..operators import similarity as S
 from ..operators.sequences import occurrences
 
 FOREVER = dt.date(2099, 12, 31)
@@ -118,12 +119,14 @@ def rest_towns(events: DataFrame, k: int = 5) -> DataFrame:
 def find_duplicates(submitted: DataFrame, events: DataFrame, least: float = 0.6) -> DataFrame:
     """(submission id, fingerprint): events on the day and in the town of a submission whose title is as similar."""
     month = lambda d: F.trunc(d, "month")
-    s = submitted.select("id", F.col("title").alias("s_title"), F.col("start").alias("s_start"), T.fold(F.col("town"), True).alias("key"), month("start").alias("month"))
-    e = events.select("fingerprint", "title", "start", F.coalesce("end", "start").alias("last"), T.fold(F.col("town"), True).alias("key"))
+    place = T.fold(F.col("town"), True).alias("key")
+    s = submitted.select(F.struct(F.col("id").alias("key"), month("start").alias("month")).alias("id"), S.folded(F.col("title")).alias("text"), place, month("start").alias("month"), "start", F.col("start").alias("last"))
+    e = events.select(F.col("fingerprint").alias("key_id"), S.folded(F.col("title")).alias("text"), place, "start", F.coalesce("end", "start").alias("last"))
     # Rows meet by town and month, so that a town with most of the events is dealt over its months; a run stands in each of its own.
     e = e.withColumn("month", F.explode(F.sequence(month("start"), month(F.greatest("start", "last")), F.expr("interval 1 month"))))
-    met = s.join(e, ["key", "month"]).where(F.col("s_start").between(F.col("start"), F.col("last")))
-    return met.where(T.title_similarity(F.col("s_title"), F.col("title")) >= least).select("id", "fingerprint")
+    e = e.select(F.struct(F.col("key_id").alias("key"), "month").alias("id"), "text", "key", "month", "start", "last")
+    met = S.similar(s, e, ["key", "month"], least, F.col("a.start").between(F.col("b.start"), F.col("b.last")))
+    return met.select(F.col("a.id.key").alias("id"), F.col("b.id.key").alias("fingerprint"))
 
 
 def pages(events: DataFrame, as_of: dt.date) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions import dates as D
 from ..functions import fixed as X
 from ..functions import text as T
 from ..operators import recur, resolve, rules, sequences
+from ..operators import similarity as S
 from ..sources import html as H
 from ..sources import sinks
 from . import listing as L
@@ -309,11 +310,9 @@ def dq_rules(spark, folder):
 select a.p_partkey as a, b.p_partkey as b, round(len(list_intersect(a.w, b.w)) * 1.0 / len(list_distinct(list_concat(a.w, b.w))), 6) as likeness
 from p a join p b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey where len(list_intersect(a.w, b.w)) * 1.0 / len(list_distinct(list_concat(a.w, b.w))) >= 0.5""")
 def similar_titles(spark, folder):
-    p = _read(spark, folder, "part").select("p_partkey", "p_brand", "p_size", F.concat_ws(" ", "p_name", "p_type").alias("t"))
-    a, b = p.alias("x"), p.alias("y")
-    met = a.join(b, (F.col("x.p_brand") == F.col("y.p_brand")) & (F.col("x.p_size") == F.col("y.p_size")) & (F.col("x.p_partkey") < F.col("y.p_partkey")))
-    out = met.select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"), F.round(T.title_similarity(F.col("x.t"), F.col("y.t")), 6).alias("likeness"))
-    return out.where("likeness >= 0.5")
+    p = _read(spark, folder, "part").select(F.col("p_partkey").alias("id"), S.folded(F.concat_ws(" ", "p_name", "p_type")).alias("text"), "p_brand", "p_size")
+    met = S.similar(p, p, ["p_brand", "p_size"], 0.5)
+    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round("likeness", 6).alias("likeness"))
 
 
 _TIDY = "replace(replace(replace(replace(replace(coalesce(text, ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', ' '), '&amp;', '&')"
