@@ -12,6 +12,7 @@ from ..functions import dates as D
 from ..functions import fixed as X
 from ..functions import text as T
 from ..lineage import cut
+from .ranking import numbered
 
 _PRIOR = (Window.unboundedPreceding, -1)
 
@@ -74,33 +75,29 @@ def collapse_overlaps(events: DataFrame) -> DataFrame:
 def consecutive_blocks(events: DataFrame, by: list[str], name: str = "block") -> DataFrame:
     """``events`` with the number of their block: consecutive nights under one url.
 
-    A row goes on with the last block if it starts at most a day after the block's end and has no url or one that is in it. Nights
-    further apart never meet, so runs are cut by dates first (a window). A run without urls, or with one on every row, is one block;
-    only a run of mixed urls is folded in order.
+    A row goes on with the last block if it starts at most a day after the block's end and has no url or one that is in it. So all urls
+    of a block are that of its first row, and a block whose first row has none ends at the next that has one.
+
+    Nothing is gathered: a url that differs from the last one always begins a block, and between such rows gaps of dates do, both told by
+    windows. Where a gap leaves a piece that begins without a url and has one later, that is cut and its dates are looked at again, until
+    there is none; as a rule there is none at once.
     """
     last = F.coalesce("end", "start")
-    e = islands(events, by, F.col("start"), last, ["fingerprint"], gap=1, name="__run")
-    run = Window.partitionBy(*by, "__run")
-    urls, rows = F.count("url").over(run), F.count(F.lit(1)).over(run)
-    e = e.withColumn("__plain", (urls == 0) | ((urls == rows) & (F.min("url").over(run) == F.max("url").over(run))))
-    plain, mixed = e.where("__plain"), e.where("not __plain")
-    item = F.struct(F.col("start").alias("s"), last.alias("l"), F.col("fingerprint").alias("f"), F.col("url").alias("u"))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(None).cast("date").alias("reach"), F.array().cast("array<string>").alias("urls"), F.array().cast("array<struct<f:string,n:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        on = (acc["n"] > 0) & (F.datediff(x["s"], acc["reach"]) <= 1) & (x["u"].isNull() | F.coalesce(F.array_contains(acc["urls"], x["u"]), F.lit(False)))
-        n = F.when(on, acc["n"]).otherwise(acc["n"] + 1)
-        reach = F.when(on, F.greatest(acc["reach"], x["l"])).otherwise(x["l"])
-        one = F.when(x["u"].isNull(), F.array().cast("array<string>")).otherwise(F.array(x["u"]))
-        return F.struct(n.alias("n"), reach.alias("reach"), F.when(on, F.array_union(acc["urls"], one)).otherwise(one).alias("urls"), F.concat(acc["out"], F.array(F.struct(x["f"].alias("f"), n.alias("n")))).alias("out"))
-
-    runs = mixed.groupBy(*[F.col(c).alias(f"k_{c}") for c in by], F.col("__run").alias("k_run")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    numbered = runs.select("*", F.explode(F.aggregate("items", zero, step)["out"]).alias("o")).select("k_run", F.col("o.f").alias("__f"), F.col("o.n").alias("__b"), *[f"k_{c}" for c in by])
-    cond = (F.col("fingerprint") == F.col("__f")) & (F.col("__run") == F.col("k_run"))
-    for c in by:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"k_{c}"))
-    out = mixed.join(numbered, cond).unionByName(plain.withColumn("__b", F.lit(1)), allowMissingColumns=True)
-    return out.withColumn(name, F.struct(F.col("__run").alias("run"), F.col("__b").alias("n"))).drop("__run", "__plain", "__b", "__f", "k_run", *[f"k_{c}" for c in by])
+    e = islands(events, by, F.col("start"), last, ["fingerprint"], gap=1, name="__cell").withColumn("__cell", F.array(F.col("__cell").cast("int")))
+    while True:
+        order = Window.partitionBy(*by, "__cell").orderBy("start", last, "fingerprint")
+        url = F.last("url", ignorenulls=True).over(order.rowsBetween(*_PRIOR))
+        new = F.col("url").isNotNull() & (F.row_number().over(order) > 1) & (url.isNull() | (url != F.col("url")))
+        e = e.withColumn("__new", new.cast("int"))
+        e = e.withColumn("__part", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+        e = islands(e, [*by, "__cell", "__part"], F.col("start"), last, ["fingerprint"], gap=1, name="__piece")
+        e = e.withColumn("__cell", F.concat("__cell", F.array("__part", F.col("__piece").cast("int")))).drop("__new", "__part", "__piece")
+        began = F.first("url").over(Window.partitionBy(*by, "__cell").orderBy("start", last, "fingerprint"))
+        e = cut(e.withColumn("__again", F.col("url").isNotNull() & began.isNull()), "blocks")
+        if e.where("__again").select("__again").isEmpty():
+            break
+        e = e.drop("__again")
+    return e.withColumn(name, F.col("__cell")).drop("__cell", "__again")
 
 
 def fold_recurring(events: DataFrame, as_of: Column, near: int = X.NEAR_DAYS) -> DataFrame:
@@ -130,8 +127,8 @@ def fold_recurring(events: DataFrame, as_of: Column, near: int = X.NEAR_DAYS) ->
 def assign_slugs(events: DataFrame) -> DataFrame:
     """``events`` with a unique slug: the n-th of one base gets -n; reserved pages count as the first."""
     base = F.coalesce(F.nullif(T.card_slug(F.col("title")), F.lit("")), F.substring(F.coalesce(F.nullif(F.col("fingerprint"), F.lit("")), F.lit("event")), 1, 8))
-    n = F.row_number().over(Window.partitionBy("__base").orderBy("start", "title", "fingerprint")) + F.when(F.col("__base").isin(X.RESERVED_SLUGS), 1).otherwise(0)
-    e = events.withColumn("__base", base).withColumn("__n", n)
+    e = numbered(events.withColumn("__base", base), ["__base"], ["start", "title", "fingerprint"], "__n")
+    e = e.withColumn("__n", F.col("__n") + F.when(F.col("__base").isin(X.RESERVED_SLUGS), 1).otherwise(0))
     return e.withColumn("slug", F.when(F.col("__n") == 1, F.col("__base")).otherwise(F.concat_ws("-", "__base", F.col("__n").cast("string")))).drop("__base", "__n")
 
 

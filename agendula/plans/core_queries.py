@@ -11,6 +11,7 @@ from ..functions import dates as D
 from ..functions import text as T
 from ..lineage import cut
 from ..operators import resolve, rules, sequences
+from ..operators.ranking import numbered
 from ..sources import jsonld, sinks
 from . import listing as L
 from . import quality as Q
@@ -135,7 +136,7 @@ def listing_badges(spark, folder):
 def ongoing_rows(spark, folder):
     e = listings(spark, folder).where(L.live(F.lit(AS_OF))).withColumns({"title": F.col("venue"), "fingerprint": F.col("id")})
     ongoing, _ = L.split_ongoing(e, AS_OF)
-    return ongoing.select("id", "until", F.row_number().over(Window.orderBy("end", "title", "fingerprint")).cast("long").alias("position"))
+    return numbered(ongoing, [], ["end", "title", "fingerprint"]).select("id", "until", "position")
 
 
 _PAGES = _LISTINGS + f""", soon as (select * from ev where {_LIVE} and start <= :as_of + 90),
@@ -169,10 +170,10 @@ def snapshot_stats(spark, folder):
     return L.stats(listings(spark, folder).withColumn("approved", F.col("cust") % 3 > 0), AS_OF)
 
 
-@query("""with e as (select 'f' || p_partkey as f, 's' || p_partkey as s from part where p_partkey % 2 = 0), a as (select case when c_custkey % 3 = 0 then 'f' else 's' end || c_custkey as id from customer)
+@query("""with e as (select 'f' || p_partkey as f, 's' || p_partkey as s from part), a as (select case when c_custkey % 3 = 0 then 'f' else 's' end || c_custkey as id from customer)
 select a.id, e.f as fingerprint from a left join e on a.id = e.f or a.id = e.s""")
 def shared_links(spark, folder):
-    e = _read(spark, folder, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("fingerprint"), F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("slug"))
+    e = _read(spark, folder, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("fingerprint"), F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("slug"))
     key = F.col("c_custkey")
     return L.resolve_share(e, _read(spark, folder, "customer").select(F.concat(F.when(key % 3 == 0, "f").otherwise("s"), key.cast("string")).alias("id")))
 
@@ -235,7 +236,7 @@ def review(spark, folder):
 
 @query(_SENT + " select id, row_number() over (order by id::varchar) as position from s where not approved")
 def pending_rows(spark, folder):
-    return resolve.pending(_sent(spark, folder)).select("id", F.row_number().over(Window.orderBy("first_seen", "fingerprint")).cast("long").alias("position"))
+    return numbered(resolve.pending(_sent(spark, folder)), [], ["first_seen", "fingerprint"]).select("id", "position")
 
 
 @query(_SENT + " select id, approved or id < 100 as approved from s")
