@@ -471,4 +471,4 @@ def published_feed(spark, folder):
     return build(s, AS_OF).drop("members")
 
 
-from . import core_queries  # noqa: E402, F401  registers its own
+from . import core_queries, source_queries  # noqa: E402, F401  register their own
