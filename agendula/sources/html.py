@@ -5,6 +5,7 @@ The tree walk has no native form, so it runs over Arrow batches, one page at a t
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -20,42 +21,63 @@ HIDDEN = {"script", "style", "template", "noscript"}
 CARDS = {"article", "li", "tr", "section", "div"}
 CARD_TEXT, ABOVE = 4000, 8
 
-ELEMENTS = "doc long, pos int, last int, depth int, parent int, card int, above array<int>, tag string, id string, class string, href string, datetime string, alt string, text string"
+ELEMENTS = "doc long, pos int, last int, depth int, parent int, card int, around int, digest string, above array<int>, tag string, id string, class string, href string, datetime string, alt string, text string"
 
 
 class _Tree(HTMLParser):
-    """Elements in document order with their whole text; each with the places of its parent, of the nearest elements above and of the last element in it."""
+    """Elements in document order with their whole text; each with the places of its parent, of the nearest elements above and of the last element in it.
+
+    An element's digest is taken when it ends, of its tag and attributes, its own texts and the digests of what stands in it, in their order: equal
+    digests are equal contents.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.open: list[int] = []
 
+    def _end(self, at: int) -> None:
+        """End the open elements from the ``at``-th on, the innermost first."""
+        for i in reversed(self.open[at:]):
+            r = self.rows[i]
+            r["digest"] = hashlib.blake2b("\x1f".join(r.pop("parts")).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+            if r["parent"] is not None:
+                self.rows[r["parent"]]["parts"].append("\x1e" + r["digest"])
+        del self.open[at:]
+
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        self.rows.append({"tag": tag, "parent": self.open[-1] if self.open else None, "depth": len(self.open), "text": [], "id": a.get("id"), "class": a.get("class"), "href": a.get("href"), "datetime": a.get("datetime"), "alt": a.get("alt")})
-        if tag not in VOID:
-            self.open.append(len(self.rows) - 1)
+        parts = [tag, *[f"\x1d{k}\x1d{v}" for k, v in attrs]]
+        self.rows.append({"tag": tag, "parent": self.open[-1] if self.open else None, "depth": len(self.open), "text": [], "parts": parts, "id": a.get("id"), "class": a.get("class"), "href": a.get("href"), "datetime": a.get("datetime"), "alt": a.get("alt")})
+        self.open.append(len(self.rows) - 1)
+        if tag in VOID:
+            self._end(len(self.open) - 1)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self._end(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         for at in range(len(self.open) - 1, -1, -1):
             if self.rows[self.open[at]]["tag"] == tag:
-                del self.open[at:]
+                self._end(at)
                 return
 
     def handle_data(self, data):
-        if self.open and not any(self.rows[i]["tag"] in HIDDEN for i in self.open):
-            for i in self.open:
-                self.rows[i]["text"].append(data)
+        if self.open:
+            self.rows[self.open[-1]]["parts"].append(data)
+            if not any(self.rows[i]["tag"] in HIDDEN for i in self.open):
+                for i in self.open:
+                    self.rows[i]["text"].append(data)
+
+    def close(self):
+        super().close()
+        self._end(0)
 
 
-def _card(rows: list[dict], i: int) -> int | None:
-    """The nearest enclosing element that can be a card, if its text is short enough."""
+def _card(rows: list[dict], i: int | None) -> int | None:
+    """The element itself or the nearest around it that can be a card, if its text is short enough."""
     while i is not None:
         if rows[i]["tag"] in CARDS:
             return i if len(rows[i]["text"]) <= CARD_TEXT else None
@@ -70,8 +92,9 @@ def parse(html: str | None) -> list[dict]:
     for r in tree.rows:
         r["text"] = " ".join(" ".join(r["text"]).split())
     for i, r in enumerate(tree.rows):
-        r["pos"], r["last"], r["card"] = i, i, _card(tree.rows, i)
+        r["pos"], r["last"], r["card"], r["around"] = i, i, _card(tree.rows, i), _card(tree.rows, r["parent"])
         r["above"] = [] if r["parent"] is None else [r["parent"], *tree.rows[r["parent"]]["above"][: ABOVE - 1]]
+        r["digest"] = r["digest"] if r["tag"] in CARDS else None
     for r in reversed(tree.rows):
         if r["parent"] is not None:
             up = tree.rows[r["parent"]]
@@ -80,8 +103,8 @@ def parse(html: str | None) -> list[dict]:
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["pos", "last", "depth", "parent", "card", "above", "tag", "id", "class", "href", "datetime", "alt", "text"]
-    kinds = [pa.int32()] * 5 + [pa.list_(pa.int32())] + [pa.string()] * 7
+    names = ["pos", "last", "depth", "parent", "card", "around", "digest", "above", "tag", "id", "class", "href", "datetime", "alt", "text"]
+    kinds = [pa.int32()] * 6 + [pa.string()] + [pa.list_(pa.int32())] + [pa.string()] * 7
     for batch in batches:
         for doc, html in zip(batch["doc"].to_pylist(), batch["html"].to_pylist(), strict=True):
             rows = parse(html)
@@ -102,14 +125,29 @@ def visible_text(html: Column) -> Column:
 
 
 def cards(found: DataFrame, dates_from: Column | None = None) -> DataFrame:
-    """One row a card (doc, card): its text, first link, first heading, and its machine-readable days."""
+    """One row a card (doc, card): its text, first link, first heading, and its machine-readable days. Of cards with equal content the first stays."""
     c = found.where("card is not null").groupBy("doc", "card").agg(
         F.max_by("text", F.when(F.col("pos") == F.col("card"), 1)).alias("text"),
         F.min_by("href", F.when(F.col("href").isNotNull(), F.col("pos"))).alias("href"),
         F.min_by("text", F.when(F.col("tag").isin("h1", "h2", "h3", "h4") & (F.col("text") != ""), F.col("pos"))).alias("title"),
         F.min_by(F.substring("datetime", 1, 10), F.when(F.col("datetime").rlike(r"^\d{4}-\d{2}-\d{2}"), F.col("pos"))).alias("first_day"),
-        F.max_by(F.substring("datetime", 1, 10), F.when(F.col("datetime").rlike(r"^\d{4}-\d{2}-\d{2}"), F.col("pos"))).alias("last_day"))
-    return c
+        F.max_by(F.substring("datetime", 1, 10), F.when(F.col("datetime").rlike(r"^\d{4}-\d{2}-\d{2}"), F.col("pos"))).alias("last_day"),
+        F.max_by("digest", F.when(F.col("pos") == F.col("card"), 1)).alias("digest"))
+    return _unlike(c).drop("digest")
+
+
+def _unlike(cards: DataFrame) -> DataFrame:
+    first = F.min("card").over(Window.partitionBy("doc", "digest"))
+    return cards.withColumn("__first", first).where(F.col("card") == F.col("__first")).drop("__first")
+
+
+def cards_around(found: DataFrame, match: Column) -> DataFrame:
+    """(doc, card, text) of the nearest element around each match that can be a card, never the match itself; none where that is too
+    long to be one. A card around several matches comes once, and of cards with equal content only the first.
+    """
+    around = found.where(match & F.col("around").isNotNull()).select("doc", F.col("around").alias("card")).distinct()
+    own = found.where("digest is not null").select("doc", F.col("pos").alias("card"), "digest", "text")
+    return _unlike(around.join(own, ["doc", "card"])).drop("digest")
 
 
 def has_class(name: str) -> Column:
