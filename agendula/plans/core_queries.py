@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import text as T
 from ..lineage import cut
-from ..operators import resolve, rules, sequences
+from ..operators import gazetteer, resolve, rules, sequences
 from ..operators.ranking import numbered
 from ..sources import jsonld, sinks
 from . import listing as L
@@ -414,3 +414,15 @@ def nested_objects(spark, folder):
     text = F.concat(F.lit('{"a":[{"b":{"name":"deep","p":'), "props", F.lit("}}]}"))
     found = jsonld.objects(_read(spark, folder, "events").select("event_id", text.alias("json")))
     return found.where(jsonld.get("$.name") == "deep").select("event_id", jsonld.get("$.p.k", "int").alias("k"), jsonld.get("$.name").alias("name"))
+
+
+@query("""with n as (select distinct p_name as name from part union select distinct split_part(p_name, ' ', 2) from part), t as (select p_partkey as id, 'au ' || lower(p_type) || ' ' || case when p_size % 3 = 0 then split_part(p_name, ' ', 1) else p_name end as text from part)
+select id, (select name from n where contains(' ' || text || ' ', ' ' || name || ' ') order by length(name) - length(replace(name, ' ', '')) desc, position(' ' || name || ' ' in ' ' || text || ' ') limit 1) as place from t""")
+def named_places(spark, folder):
+    """Names of parts, and their second words, in texts: the longest that a text names."""
+    p = _read(spark, folder, "part")
+    second = F.split_part("p_name", F.lit(" "), F.lit(2))
+    names = p.select(F.col("p_name").alias("name")).union(p.select(second)).distinct()
+    shown = F.when(F.col("p_size") % 3 == 0, F.split_part("p_name", F.lit(" "), F.lit(1))).otherwise(F.col("p_name"))
+    texts = p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("Au "), F.initcap("p_type"), F.lit(", "), F.upper(shown)).alias("text"))
+    return gazetteer.named_places(texts, names.withColumn("place", F.col("name"))).select("id", "place")
