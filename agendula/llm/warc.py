@@ -106,13 +106,13 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 def records(archive: DataFrame) -> DataFrame:
     """Parse whole records: page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri, payload."""
-    # ISO-8859-1 keeps one character a byte, so positions in the text are positions in the record.
-    head = F.substring_index(F.decode("record", "ISO-8859-1"), _HEAD_END, 1)
-    parsed = archive.select("record", head.alias("head"))
+    # ISO-8859-1 keeps one character a byte, so positions in that text are positions in the record; what the header says is UTF-8.
+    size = F.length(F.substring_index(F.decode("record", "ISO-8859-1"), _HEAD_END, 1))
+    parsed = archive.select("record", size.alias("size")).select("record", "size", F.substring("record", F.lit(1), F.col("size")).cast("string").alias("head"))
     field = lambda name: F.regexp_extract("head", f"(?md)^{name}: (.*?)\\r?$", 1)
     ident = lambda name: F.regexp_extract("head", f"(?m)^{name}: <urn:page:(-?\\d+):\\d+>", 1)
     number = lambda c: F.when(c != "", c.cast("long"))
-    body = F.substring("record", F.length("head") + len(_HEAD_END) + 1, field("Content-Length").cast("int"))
+    body = F.substring("record", F.col("size") + len(_HEAD_END) + 1, field("Content-Length").cast("int"))
     out = parsed.select(
         number(ident("WARC-Record-ID")).alias("page_id"),
         field("X-Payload-Length").cast("long").alias("payload_bytes"),

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, cut, lean, utf8
+from .common import Batches, cut, lean, small, utf8
 
 K, W, LEAST = 16, 64, 16
 #: Bytes of text in a range of ids.
@@ -200,9 +200,9 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
         return inside
     joints = [(*last, *after[1]) for (_, _, last), after in zip(found, found[1:] + found[:1], strict=True)]
     joints = spark.createDataFrame(joints, "a_id long, a_tie long, b_id long, b_tie long")
-    wanted = {x for r in found for x in r[1:]}
-    wanted = spark.createDataFrame(list(wanted), "w_id long, w_tie long")
-    texts = rows.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("tie") == F.col("w_tie")))
+    keys = list({x for r in found for x in r[1:]})
+    wanted = small(spark.createDataFrame(keys, "w_id long, w_tie long"), len(keys))
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("tie") == F.col("w_tie")))
     texts = cut(texts.groupBy("doc_id", "tie").agg(F.first("text").alias("text")), "winnow-joints")
     a = texts.select(F.col("doc_id").alias("a_id"), F.col("tie").alias("a_tie"), "text")
     b = texts.select(F.col("doc_id").alias("b_id"), F.col("tie").alias("b_tie"), F.col("text").alias("after"))

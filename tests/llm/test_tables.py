@@ -165,3 +165,11 @@ def test_archive_of_a_very_long_page_among_clashing_columns(spark):
 
 def test_archive_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_addresses_come_back_as_they_were(spark, tmp_path):
+    rows = [(1, "http://x/é", "a"), (2, "http://x/漢?q=😀", "é" * 1200), (3, "http://x/plain", "é" * 1200), (4, None, None)]
+    folder = f"file://{tmp_path}/archive"
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    got = {r.page_id: (r.target_uri, r.record_type, bytes(r.payload).decode()) for r in warc.records(warc.read(spark, folder)).collect()}
+    assert got == {1: ("http://x/é", "response", "a"), 2: ("http://x/漢?q=😀", "revisit", ""), 3: ("http://x/plain", "response", "é" * 1200), 4: ("", "response", "")}
