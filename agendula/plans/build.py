@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..lineage import cut
 from ..operators import resolve as R
 from ..operators import rules, sequences
-from .listing import upcoming
+from .listing import published
 
 
 def tidy_rows(events: DataFrame, overrides: list[tuple] = ()) -> DataFrame:
@@ -29,7 +29,7 @@ def tidy_rows(events: DataFrame, overrides: list[tuple] = ()) -> DataFrame:
 
 def build(snapshot: DataFrame, as_of: dt.date, suppressed: DataFrame | None = None, cancelled: DataFrame | None = None, overrides: list[tuple] = ()) -> DataFrame:
     """Published events: live and approved rows, cleaned, suppressed, merged by overlap and recurrence, with slugs."""
-    e = tidy_rows(upcoming(snapshot, as_of), overrides)
+    e = tidy_rows(published(snapshot, as_of), overrides)
     if suppressed is not None:
         e = rules.suppress(e, suppressed)
     e = cut(rules.mark_cancelled(e, cancelled), "tidy")

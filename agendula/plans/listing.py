@@ -22,11 +22,15 @@ def live(as_of: Column) -> Column:
     return (F.col("end") >= as_of) | (F.col("end").isNull() & (F.col("start") >= as_of))
 
 
-def upcoming(events: DataFrame, as_of: dt.date, days: int | None = None, approved_only: bool = True) -> DataFrame:
+def published(events: DataFrame, as_of: dt.date, days: int | None = None, approved_only: bool = True) -> DataFrame:
     out = events.where(live(F.lit(as_of)))
     if days:
         out = out.where(F.col("start") <= F.lit(as_of + dt.timedelta(days)))
-    return (out.where("approved") if approved_only else out).orderBy("start", "town", "title", "fingerprint")
+    return out.where("approved") if approved_only else out
+
+
+def upcoming(events: DataFrame, as_of: dt.date, days: int | None = None, approved_only: bool = True) -> DataFrame:
+    return published(events, as_of, days, approved_only).orderBy("start", "town", "title", "fingerprint")
 
 
 def new_since(events: DataFrame, moment, as_of: dt.date) -> DataFrame:

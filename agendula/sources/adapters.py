@@ -265,6 +265,33 @@ def enrichment_budget(rows: DataFrame, as_of: dt.date, days: int = 120, most: in
     return soon.orderBy(F.col("end").isNotNull(), F.greatest("start", F.lit(as_of)), "url").limit(most)
 
 
+# --- fixed values: what a line of a dance table says
+_STREET = r"(?i)\s+\d+\s+(?:rue|av|avenue|bd|boulevard|place|chemin|quai)"
+_POSTCODE_0406 = r"\b(0[46]\d{3})\b"
+_DANCE_PRICE = r"(?i)(\d+\s*euros?(?:\s*/\s*\d+\s*euros?)?|au chapeau|chapeau|free|gratuit)"
+_DANCE_DJ = r"(?i)DJ\s*:\s*(.+)$"
+_DANCE_HOURS = r"(?i)from\s+([\d:apm.]+)\s+to\s+([\d:apm.]+)"
+
+
+def dance_table(raw: DataFrame, as_of: dt.date, town: str = "Nice") -> DataFrame:
+    """Tables of nights under day headings: a row's first cell has the hour, its last cell title, address, hours, price and DJ in one line."""
+    e = _pages(raw)
+    e = e.withColumn("day", F.when(F.col("tag").rlike("^h[1-6]$|^caption$"), D.parse_date(F.col("text"), F.lit(as_of))))
+    cells = carry_forward(e, ["doc"], ["pos"], "day").where("tag = 'td'").groupBy("doc", F.col("parent").alias("pos"))
+    r = cells.agg(F.min_by("text", "pos").alias("clock"), F.max_by("text", "pos").alias("body"), F.max("day").alias("start")).where("body <> '' and start is not null")
+    get = lambda pattern, i=1: F.nullif(F.trim(F.regexp_extract("body", pattern, i)), F.lit(""))
+    edges = lambda c: F.regexp_replace(c, r"^[ ,\-–]+|[ ,\-–]+$", "")
+    head = F.split(F.col("body"), _POSTCODE_0406, 2)[0]
+    title = edges(F.split(head, _STREET, 2)[0])
+    address = F.nullif(edges(F.substring(head, F.instr(head, title) + F.length(title), F.length(head))), F.lit(""))
+    code, price = get(_POSTCODE_0406), get(_DANCE_PRICE)
+    start, end = D.parse_time(get(_DANCE_HOURS)), D.parse_time(get(_DANCE_HOURS, 2))
+    hours = F.when(get(_DANCE_HOURS).isNull(), D.parse_time(F.col("clock"))).otherwise(F.concat(start, F.lit("–"), end))
+    note = F.nullif(F.concat_ws(" · ", hours, price, F.concat(F.lit("DJ "), get(_DANCE_DJ))), F.lit(""))
+    out = r.select("doc", "pos", title.alias("title"), "start", D.parse_time(F.col("clock")).alias("time"), F.coalesce(F.when(code.isNotNull(), T.canon_town(F.lit(town), code)), F.lit(town)).alias("town"), F.nullif(F.concat_ws(" · ", address, code), F.lit("")).alias("venue"), F.lit("danse").alias("category"), note.alias("note"), price.alias("price"), F.coalesce(price.rlike("(?i)chapeau|free|gratuit"), F.lit(False)).alias("free"))
+    return _once(out.where("title <> ''"), ["title", "start"])
+
+
 # --- JSON shapes
 
 _WORDPRESS = (
@@ -389,7 +416,7 @@ def default_registry() -> Registry:
     """A source for each shape, under its shape's name."""
     r = Registry()
     r.add(
-        Source("curated", table, delay=0), Source("programmes", partial(templated_table, note="{price}", url="{url}"), delay=0), Source("heading_dated", heading_dated, delay=2.0), Source("wordpress", wordpress), Source("open_data", open_data, delay=0.5), Source("timed_cards", timed_cards, delay=1.5),
+        Source("curated", table, delay=0), Source("programmes", partial(templated_table, note="{price}", url="{url}"), delay=0), Source("heading_dated", heading_dated, delay=2.0), Source("dance_table", dance_table, delay=2.0), Source("wordpress", wordpress), Source("open_data", open_data, delay=0.5), Source("timed_cards", timed_cards, delay=1.5),
         Source("structured_pages", structured_pages), Source("text_dated", text_dated, needs_browser=True), Source("season_calendar", partial(season_calendar, season_start=2026), reconciles=True),
         Source("calendars", calendar, reconciles=True), Source("plain_calendars", partial(calendar, expand=False, coarse=True)), Source("dance_calendars", partial(calendar, expand=False, coarse=True, category="danse")),
         Source("sale_listing", sale_listing, delay=1.5), Source("place_cards", place_cards, delay=0.6), Source("genre_cards", genre_cards, needs_browser=True), Source("town_cards", town_cards, needs_browser=True),

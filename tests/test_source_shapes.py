@@ -74,3 +74,12 @@ def test_templated_table(spark):
 def test_pages_without_cards_give_nothing(spark):
     for f in (A.sale_listing, A.place_cards, A.genre_cards, A.town_cards, A.season_programme):
         assert f(raw(spark, "", "plain", "<p>x</p>"), AS_OF).count() == 0 and f(raw(spark, "x").where("false"), AS_OF).count() == 0
+
+
+def test_dance_table(spark):
+    page = "<h3>Samedi 18 juillet 2026</h3><table><tr><td>21:00</td><td>x</td><td>Amarras 2 rue la Bruyere 06000 Nice from 9pm to 1:30am 10 euros / 8 euros DJ: Ana B</td></tr><tr><td>20h</td><td>Milonga libre au chapeau</td></tr><tr><td></td><td></td></tr></table><h3>Dimanche 19 juillet 2026</h3><table><tr><td>19h30</td><td>Milonga libre</td></tr></table>"
+    got = A.dance_table(raw(spark, page), AS_OF).orderBy("pos").collect()
+    assert [(r.title, r.start, r.time, r.town, r.venue, r.price, r.free) for r in got] == [
+        ("Amarras", day(18), "21:00", "Nice", "2 rue la Bruyere · 06000", "10 euros / 8 euros", False), ("Milonga libre au chapeau", day(18), "20:00", "Nice", None, "au chapeau", True), ("Milonga libre", day(19), "19:30", "Nice", None, None, False)]
+    assert [r.note for r in got] == ["21:00–01:30 · 10 euros / 8 euros · DJ Ana B", "20:00 · au chapeau", "19:30"]
+    assert A.dance_table(raw(spark, "", "<p>x</p>"), AS_OF).count() == 0
