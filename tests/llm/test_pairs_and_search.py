@@ -207,6 +207,41 @@ def test_bounds_work_from_the_first_block_on(monkeypatch):
         assert sorted((-v, c) for j, c, v in got if j == i) == want
 
 
+@pytest.mark.parametrize("big", [30, 10**30])
+def test_bounds_hold_the_scores_at_every_depth(big):
+    """Entries come in order, once each, and the bounds that they give enclose the scores."""
+    r = np.random.default_rng(8)
+    x, q = r.integers(-30, 30, (70, 5)), r.integers(-30, 30, (6, 5))
+    if big > 30:
+        x, q = x.astype(object) * big, q.astype(object)
+    s, w = q @ x.T, np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
+    lists = topk.Lists(x)
+    low, n = np.repeat((w @ lists.end)[:, None], 70, axis=1), 0
+    for depth in topk.DEPTHS:
+        fresh, gap = lists.read(depth)
+        assert lists.seen.sum() == 10 * lists.place and lists.place > n
+        n = lists.place
+        low += w @ fresh.T
+        high = low + (w @ gap)[:, None] - (w * gap) @ lists.seen.T
+        assert (low <= s).all() and (s <= high).all()
+    assert (low == s).all()
+
+
+def test_clustered_vectors_leave_a_part_of_the_lists_unread(monkeypatch):
+    read = []
+    plain = topk.Lists.read
+    monkeypatch.setattr(topk.Lists, "read", lambda self, depth: read.append(-self.place) or (plain(self, depth), read.append(read.pop() + self.place))[0])
+    r = np.random.default_rng(9)
+    centres = r.integers(-40, 40, (100, 32))
+    x = centres[np.arange(4000) % 100] + r.integers(-2, 3, (4000, 32))
+    got = topk.search(x[:40], np.arange(40), x, np.arange(4000), 20)
+    assert sum(read) <= 0.75 * 4000
+    s = x[:40] @ x.T
+    for i in range(40):
+        want = sorted((-int(v), c) for c, v in enumerate(s[i]) if c != i)[:20]
+        assert sorted((-v, c) for j, c, v in got if j == i) == want
+
+
 def test_top_k_among_clashing_columns(spark):
     r = np.random.default_rng(6)
     rows = [(i, r.normal(size=4).tolist(), i, 1.0, 2, 3) for i in range(60)]
