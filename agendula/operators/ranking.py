@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 
 
-def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "position") -> DataFrame:
-    """``rows`` with ``name``: 1, 2, ... within each ``by`` (of all rows, if that is empty), by ``order``, nulls first."""
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "position", ranges: int | None = None) -> DataFrame:
+    """``rows`` with ``name``: 1, 2, ... within each ``by`` (of all rows, if that is empty), by ``order``, nulls first. ``ranges``: how many, if not the session's."""
     keys = [*by, *order]
-    placed = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__place", F.monotonically_increasing_id()), "ranked")
+    placed = cut(rows.repartitionByRange(*([ranges] if ranges else []), *keys).sortWithinPartitions(*keys).withColumn("__place", F.monotonically_increasing_id()), "ranked")
     # The upper bits of a place are its partition.
     placed = placed.withColumn("__range", F.shiftright("__place", 33))
     counts = placed.groupBy("__range", *by).agg(F.count(F.lit(1)).alias("__n"), F.min("__place").alias("__from"))
