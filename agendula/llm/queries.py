@@ -206,6 +206,114 @@ select doc_id, n, form, case when form <> 'plain' then low end as prefix_chars,
 from parts
 """
 
-#: The others have none: the engine that runs this SQL knows neither XXH64 (op9) nor CRC-32 (op8) nor the rolling hash of op5, and models and tokenizers
-#: are no SQL. tests/llm holds them against brute force, round trips or held-out labels.
-SQL = {"op4_source_mix": _MIX_SQL, "op6_exact_top_k": _TOP_K_SQL, "op7_warc_archive": _WARC_SQL, "op11_vector_codes": _codes_sql(), "op12_license_scan": _license_sql(), "op13_fill_in_middle": _FIM_SQL}
+
+def _crc_step(c: str, x: str) -> str:
+    """One step of CRC-32 by half a byte ``x`` (its low four bits), as SQL."""
+
+    def half(n: int) -> int:
+        for _ in range(4):
+            n = n >> 1 ^ 0xEDB88320 * (n & 1)
+        return n
+
+    table = ", ".join(f"{half(i)}::ubigint" for i in range(16))
+    return f"xor([{table}][(xor({c}, {x}) & 15)::int + 1], ({c}) >> 4)"
+
+
+def _shards_sql(shards: int = 16) -> str:
+    """The schedule group by group: a recursion over groups by falling size, with the loads as a list."""
+    ones = "4294967295::ubigint"
+    return f"""
+with recursive docs as materialized (
+  select doc_id, raw, sha256(raw) as key, octet_length(raw) + 1 as size,
+         xor(list_reduce(list_transform(regexp_extract_all(hex(raw), '..'), lambda b: ('0x' || b)::ubigint), lambda c, b: {_crc_step(_crc_step("c", "b"), "(b >> 4)")}, {ones}), {ones}) as crc
+  from (select doc_id, encode(coalesce(text, '')) as raw from documents)),
+groups as materialized (
+  select key, sum(size)::bigint as weight, row_number() over (order by sum(size) desc, key) as n, row_number() over (partition by sum(size) order by key) - 1 as place from docs group by key),
+steps as (
+  select 0::bigint as n, 0::bigint as weight, list_transform(range({shards}), lambda x: 0::bigint) as loads, -1::bigint as shard
+  union all
+  select g.n, g.weight, list_transform(s.loads, lambda x, i: case when i = s.least then x + g.weight else x end), s.least - 1
+  from (select n, loads, list_position(loads, list_min(loads)) as least from steps) s join groups g on g.n = s.n + 1),
+taken as (select weight, shard, count(*) as c from steps where n > 0 group by weight, shard),
+ends as (select weight, shard, sum(c) over (partition by weight order by shard) as till, sum(c) over (partition by weight order by shard) - c as since from taken),
+placed as (select key, e.shard from groups g join ends e on g.weight = e.weight and g.place >= e.since and g.place < e.till)
+select doc_id, size::bigint as size, crc::bigint as text_crc32, 'bytes' as law, shard::int as shard,
+       (row_number() over (partition by shard order by doc_id nulls first) - 1)::bigint as slot, null::int as grown_shard
+from docs join placed using (key)
+"""
+
+
+#: Fixed values of XXH64: its five primes.
+_P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+
+
+def _u(n: int) -> str:
+    return f"{n % (1 << 64)}::uhugeint"
+
+
+def _mod(e: str) -> str:
+    """Modulo 2^64; products of two such values fit 128 bits."""
+    return f"(({e}) & {_u(-1)})"
+
+
+def _turn(e: str, r: int) -> str:
+    return f"(({e}) * {_u(1 << r)} & {_u(-1)} | ({e}) // {_u(1 << 64 - r)})"
+
+
+def _xxh64_ctes(source: str, seed: int = 42) -> str:
+    """CTEs from ``source`` (column s, distinct) to ``hashed`` (s, h): XXH64 of s in UTF-8, in 128-bit arithmetic."""
+    lane = lambda at, n: "('0x' || " + " || ".join(f"substr(hx, 2 * ({at}) + {2 * j + 1}, 2)" for j in reversed(range(n))) + ")::ubigint::uhugeint"
+    mixed = lambda e: _mod(_turn(_mod(e), 31) + f" * {_u(_P1)}")
+    step = lambda k, r, a, b: f"{{'k': {k}, 'r': {_u(1 << r)}, 's': {_u(1 << 64 - r)}, 'a': {_u(a)}, 'b': {_u(b)}}}"
+    starts = (seed + _P1 + _P2, seed + _P2, seed, seed - _P1)
+    stripes = ", ".join(f"list_reduce(list_transform(range(n // 32), lambda i: {lane(f'32 * i + {8 * j}', 8)}), lambda v, x: {mixed(f'v + x * {_u(_P2)}')}, {_u(v)}) as v{j}" for j, v in enumerate(starts))
+    joined = _mod(" + ".join(_turn(f"v{j}", r) for j, r in enumerate((1, 7, 12, 18))))
+    for j in range(4):
+        joined = _mod(f"xor({joined}, {mixed(f'v{j} * {_u(_P2)}')}) * {_u(_P1)} + {_u(_P4)}")
+    eights = f"list_transform(range(n % 32 // 8), lambda i: {step(mixed(lane('n // 32 * 32 + 8 * i', 8) + f' * {_u(_P2)}'), 27, _P1, _P4)})"
+    fours = f"list_transform(range(n % 8 // 4), lambda i: {step(_mod(lane('n // 8 * 8', 4) + f' * {_u(_P1)}'), 23, _P2, _P3)})"
+    singles = f"list_transform(range(n % 4), lambda i: {step(_mod(lane('n // 4 * 4 + i', 1) + f' * {_u(_P5)}'), 11, _P1, 0)})"
+    return f"""
+hexed as materialized (select s, hex(encode(s)) as hx, octet_length(encode(s)) as n from {source}),
+striped as materialized (select *, {stripes} from hexed),
+begun as (select s, hx, n, (case when n >= 32 then {joined} else {_u(seed + _P5)} end + n::uhugeint) & {_u(-1)} as h from striped),
+tailed as (
+  select s, list_reduce(flatten([{eights}, {fours}, {singles}]),
+    lambda v, o: ((xor(v, o.k) * o.r & {_u(-1)} | xor(v, o.k) // o.s) * o.a + o.b) & {_u(-1)}, h) as h from begun),
+first as (select s, xor(h, h // {_u(1 << 33)}) * {_u(_P2)} & {_u(-1)} as h from tailed),
+second as (select s, xor(h, h // {_u(1 << 29)}) * {_u(_P3)} & {_u(-1)} as h from first),
+hashed as (select s, xor(h, h // {_u(1 << 32)})::ubigint as h from second)"""
+
+
+def _simhash_sql() -> str:
+    """Fingerprints by a sum a bit; links by comparing all distinct fingerprints; components by reachability."""
+    votes = ", ".join(f"sum((h >> {b}) & 1) * 2 > count(*) as b{b}" for b in range(64))
+    fingerprint = " + ".join(f"case when b{b} then {1 << b}::uhugeint else 0 end" for b in range(64))
+    return f"""
+with recursive docs as (
+  select doc_id, row_number() over () as r,
+         regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+shingles as (select r, array_to_string(w[i + 1 : i + 3], ' ') as s from docs, lateral (select unnest(range(case when len(w) = 0 then 0 else greatest(len(w) - 2, 1) end)) as i)),
+wanted as (select distinct s from shingles), {_xxh64_ctes("wanted")},
+votes as (select r, {votes} from shingles join hashed using (s) group by r),
+marked as (select doc_id, coalesce({fingerprint}, 0)::ubigint as f from docs left join votes using (r)),
+prints as materialized (select f, min(doc_id) as first_id from marked group by f),
+links as materialized (select a.f as f, b.f as g from prints a join prints b on bit_count(xor(a.f, b.f)) <= 3),
+reach as (select f, g from links union select reach.f, links.g from reach join links on reach.g = links.f),
+least as (select reach.f, min(p.first_id) as component_id from reach join prints p on p.f = reach.g group by reach.f)
+select doc_id, lpad(lower(to_hex(f)), 16, '0') as fingerprint, component_id from marked join least using (f)
+"""
+
+
+#: The others have none: the rolling hash of op5 and the windows over it were not written in SQL, and models and tokenizers are no SQL.
+#: tests/llm holds them against brute force, round trips or held-out labels.
+SQL = {
+    "op4_source_mix": _MIX_SQL,
+    "op6_exact_top_k": _TOP_K_SQL,
+    "op7_warc_archive": _WARC_SQL,
+    "op8_lpt_shards": _shards_sql(),
+    "op9_simhash": _simhash_sql(),
+    "op11_vector_codes": _codes_sql(),
+    "op12_license_scan": _license_sql(),
+    "op13_fill_in_middle": _FIM_SQL,
+}

@@ -1,9 +1,10 @@
 """Sharding by longest-processing-time scheduling of groups that must stay together.
 
 Groups are the rows with equal texts. Groups by falling size go to the least-loaded shard through a heap. Groups of one size are
-alike to the schedule, so the driver sees only how many there are of each size: with total size S no more than sqrt(2 S) rows, a few
-million at 100 TB. A long run of equal sizes is poured over the shards at once, to the loads that the heap would reach one by one.
-Which group of a size goes where follows from its rank among them, numbered without a global window.
+alike to the schedule, so the driver reads only how many there are of each size, as a stream: it holds the heap, one partition of sizes and one
+chunk of the schedule, which it writes as a table. A long run of equal sizes is poured over the shards at once, to the loads that the heap
+would reach one by one. Which group of a size goes where follows from its rank among them by digest; ranks and slots are numbered by ranges,
+without a global window, and do not depend on the number of ranges.
 
 Defined results: a null text weighs 1 and groups with the empty text; repeated rows and ties share their group's shard; an
 empty table gives an empty table; extra columns are ignored.
@@ -12,18 +13,20 @@ empty table gives an empty table; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
-from itertools import accumulate
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, islice
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from ..operators.ranking import numbered
+from .common import cut, scratch, small
 
 
-def lpt(sizes: list[tuple[int, int]], shards: int) -> dict[int, list[int]]:
-    """(size, number of groups) to how many of each size every shard takes: largest first, each to the least-loaded shard (ties: the lowest)."""
-    heap, out = [(0, k) for k in range(shards)], {}
-    for size, count in sorted(sizes, reverse=True):
+def schedule(sizes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[int]]]:
+    """(size, number of groups), largest first, to how many of each size every shard takes: each to the least-loaded shard (ties: the lowest)."""
+    heap = [(0, k) for k in range(shards)]
+    for size, count in sizes:
         took = [0] * shards
         if count > 4 * shards:
             loads = [load for load, _ in sorted(heap, key=lambda x: x[1])]
@@ -40,35 +43,39 @@ def lpt(sizes: list[tuple[int, int]], shards: int) -> dict[int, list[int]]:
             load, k = heap[0]
             took[k] += 1
             heapq.heapreplace(heap, (load + size, k))
-        out[size] = took
-    return out
+        yield size, took
+
+
+def lpt(sizes: list[tuple[int, int]], shards: int) -> dict[int, list[int]]:
+    """:func:`schedule` of sizes in any order."""
+    return dict(schedule(sorted(sizes, reverse=True), shards))
+
+
+def _scheduled(groups: DataFrame, shards: int, chunk: int) -> tuple[DataFrame, int]:
+    """__size and __ends (how many groups of that size the shards up to each take), written ``chunk`` rows at a time; and the number of rows."""
+    spark, path, schema, n = groups.sparkSession, scratch(groups.sparkSession, "shard-schedule"), "__size long, __ends array<bigint>", 0
+    counts = groups.groupBy("__size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("__size"))
+    plan = ((size, list(accumulate(took))) for size, took in schedule(((r["__size"], r["n"]) for r in counts.toLocalIterator()), shards))
+    while rows := list(islice(plan, chunk)):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+        n += len(rows)
+    return spark.read.schema(schema).parquet(path) if n else spark.createDataFrame([], schema), n
 
 
-def assign(rows: DataFrame, key: str, size: str, shards: int = 16) -> DataFrame:
+def assign(rows: DataFrame, key: str, size: str, shards: int = 16, chunk: int = 100_000) -> DataFrame:
     """``rows`` plus ``shard`` (int). ``key``: a non-null column that names the group. ``size``: a long column of 1 or more."""
     groups = cut(rows.groupBy(key).agg(F.sum(size).alias("__size")), "shard-groups")
-    counts = [(r["__size"], r["n"]) for r in groups.groupBy("__size").agg(F.count(F.lit(1)).alias("n")).collect()]
-    ends = [(s, list(accumulate(took))) for s, took in lpt(counts, shards).items()]
-    ends = rows.sparkSession.createDataFrame(ends, "__size long, __ends array<bigint>")
-    placed = slots(groups.withColumn("__row", F.lit(0)), "__size", F.col(key)).join(small(ends, len(counts)), "__size")
+    ends, n = _scheduled(groups, shards, chunk)
+    placed = slots(groups.withColumn("__row", F.lit(0)), "__size", F.col(key)).join(small(ends, n), "__size")
     placed = cut(placed.select(key, F.size(F.filter("__ends", lambda e: e <= F.col("slot"))).alias("shard")), "shard-placed")
     return rows.join(placed, key)
 
 
 def slots(rows: DataFrame, shard: str, order: Column, per_cell: int = 20_000) -> DataFrame:
-    """``rows`` plus ``slot``: numbers from 0 without gaps within each shard.
-
-    Rows are numbered inside cells of about ``per_cell`` rows (a hash of ``order`` picks the cell) and shifted by the counts of
-    the cells before, so no task holds a shard.
-    """
-    n = rows.count()
-    cells = max(1, -(-n // per_cell))
-    cell = rows.withColumn("__cell", F.pmod(F.xxhash64(order, "__row"), F.lit(cells)).cast("int"))
-    counts = cell.groupBy(shard, "__cell").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(shard).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("__from", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    inside = F.row_number().over(Window.partitionBy(shard, "__cell").orderBy(order, "__row"))
-    return cell.join(starts, [shard, "__cell"]).withColumn("slot", (F.col("__from") + inside - 1).cast("long")).drop("__from", "__cell")
+    """``rows`` plus ``slot``: numbers from 0 without gaps within each shard by ``order`` (ties: ``__row``), in ranges of about ``per_cell`` rows, so no task holds a shard."""
+    cells = max(1, -(-rows.count() // per_cell))
+    out = numbered(rows.withColumn("__order", order), [shard], ["__order", "__row"], "slot", cells)
+    return out.withColumn("slot", (F.col("slot") - 1).cast("long")).drop("__order")
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:

@@ -125,6 +125,17 @@ def test_shards_slots_over_many_cells(spark):
         assert s == list(range(len(s)))
 
 
+def test_schedule_is_written_in_chunks(spark):
+    """Any size of chunk gives the same shards."""
+    rows = spark.range(300).selectExpr("id as key", "id % 37 + 1 as size")
+    want = {tuple(r) for r in shard.assign(rows, "key", "size", 5).collect()}
+    assert {tuple(r) for r in shard.assign(rows, "key", "size", 5, chunk=4).collect()} == want
+    loads = defaultdict(int)
+    for r in want:
+        loads[r[2]] += r[1]
+    assert sorted(loads.values()) == _greedy([k % 37 + 1 for k in range(300)], 5)
+
+
 def test_shards_empty(spark):
     assert shard.shard_documents(spark.createDataFrame([], DOCS)).collect() == []
 
