@@ -31,7 +31,7 @@ def _gram(words: Column, n: int):
 
 def in_scope(location: Column, postcode: Column, department: str = "06") -> Column:
     """A named foreign country or another department's postcode is out; no address is in."""
-    abroad = F.coalesce(location, F.lit("")).rlike(r"(?iu)\b(italie|italia|italy|espagne|spain|allemagne|germany|suisse|switzerland|belgique|belgium|portugal|united kingdom|england|usa)\b")
+    abroad = F.coalesce(location, F.lit("")).rlike(X.ABROAD)
     return ~abroad & F.coalesce(postcode.startswith(department), F.lit(True))
 
 
@@ -51,15 +51,15 @@ def genre_category(genre: Column) -> Column:
 def clean_venue(venue: Column) -> Column:
     """A place name, or null for what is too long or looks like code."""
     v = F.trim(venue)
-    return F.when((v != "") & (F.length(v) <= 90) & ~v.rlike(r'[{}\[\]"\\]|https?:|@type|startDate|schema\.org'), v)
+    return F.when((v != "") & (F.length(v) <= 90) & ~v.rlike(X.NO_VENUE), v)
 
 
 def sale_card(block: Column) -> dict[str, Column]:
     """Postcode, venue and note ('Brocante · ~80 exhibitors') of a flea-market card: 'code - kind - venue', size bullets."""
     text = T._squeeze(block)
-    part = lambda i: F.regexp_extract(text, r"(\d{5})\s+-\s+([^\n]+?)(?:\s+-\s+(.+))?$", i)
+    part = lambda i: F.regexp_extract(text, X.SALE_LINE, i)
     kind = F.coalesce(F.try_element_at(_map(X.SALE_KINDS), F.replace(F.lower(F.trim(part(2))), F.lit("é"), F.lit("e"))), F.nullif(F.trim(part(2)), F.lit("")), F.lit("Vide-grenier"))
-    count = F.regexp_extract(F.when(part(1) != "", F.replace(text, part(1), F.lit(""))).otherwise(text), r"(?<![\d/])(\d{2,3})(?!\d)", 1)
+    count = F.regexp_extract(F.when(part(1) != "", F.replace(text, part(1), F.lit(""))).otherwise(text), X.SALE_COUNT, 1)
     bullets = F.length(text) - F.length(F.replace(text, F.lit("•"), F.lit("")))
     size = F.concat(F.element_at(F.array(*map(F.lit, X.SALE_SIZES)), F.greatest(F.least(bullets, F.lit(4)), F.lit(1))), F.lit(" market"))
     extra = F.when(count != "", F.concat(F.lit("~"), count, F.lit(" exhibitors"))).when(bullets > 0, size)
@@ -98,7 +98,7 @@ def flyer_fields(text: Column, as_of: Column) -> Column:
     number = lambda c: F.nullif(c, F.lit("")).cast("int")
 
     def fields(f: Column) -> Column:
-        named, slashed = r"\b(\d{1,2})\s+([a-z]{3,9})\.?(?:\s+(\d{4}))?", r"\b(\d{1,2})/(\d{1,2})(?:/(\d{2,4}))?"
+        named, slashed = X.FLYER_DAY_NAMED, X.FLYER_DAY_SLASHED
         get = lambda p, i: F.regexp_extract(f, p, i)
         month = F.try_element_at(months, get(named, 2))
         year = number(get(slashed, 3))
@@ -108,7 +108,7 @@ def flyer_fields(text: Column, as_of: Column) -> Column:
         category = F.coalesce(*[F.when(f.rlike(p), F.lit(k)) for p, k in X.FLYER_PATTERNS])
         return F.struct(date.alias("date"), D.parse_time(f).alias("time"), category.alias("category"))
 
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: (F.length(s) >= 4) & ~s.rlike(r"(?i)^\d|https?:|www\.|\d\s*€|gratuit|entree|\bh\d|^\W+$"))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: (F.length(s) >= 4) & ~s.rlike(X.FLYER_NO_TITLE))
     shouted = F.filter(lines, lambda s: s == F.upper(s))
     title = F.substring(F.coalesce(F.try_element_at(shouted, F.lit(1)), F.try_element_at(lines, F.lit(1))), 1, 120)
     guessed = T.let(folded, fields)

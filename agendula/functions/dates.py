@@ -30,8 +30,8 @@ def parse_date(text: Column, as_of: Column, default_year: Column | None = None)
     """ISO, compact, slashed or dotted, day-month and month-day names. A shape that matches but is no date gives null."""
     s = F.trim(text.cast("string"))
     get = lambda p, i: F.regexp_extract(s, p, i)
-    iso, compact, slash = r"(?<!\d)(\d{4})-(\d{2})-(\d{2})(?!\d)", r"^(\d{4})(\d{2})(\d{2})$", r"\b(\d{1,2})[/.](\d{1,2})[/.](\d{4})\b"
-    day_first, month_first = r"(?U)\b(\d{1,2})(?:er)?\s+([A-Za-zÀ-ÿ]+)\.?(?:\s+(\d{4}))?", r"(?U)\b([A-Za-zÀ-ÿ]+)\.?\s+(\d{1,2})(?:,)?(?:\s+(\d{4}))?"
+    iso, compact, slash = X.ISO_DATE, X.COMPACT_DATE, X.SLASH_DATE
+    day_first, month_first = X.DAY_FIRST, X.MONTH_FIRST
 
     def named(p: str, day: int, name: int) -> tuple[Column, Column]:
         m = _month(get(p, name))
@@ -52,7 +52,7 @@ def parse_date(text: Column, as_of: Column, default_year: Column | None = None)
 def parse_time(text: Column) -> Column:
     """HH:MM of '8:30pm', '19h', '19h30' or '19:30'."""
     s = F.lower(F.trim(text.cast("string")))
-    half, full = r"\b(\d{1,2})\s*[:.]?\s*(\d{2})?\s*(am|pm)\b", r"\b(\d{1,2})\s*[h:]\s*(\d{2})?"
+    half, full = X.HALF_DAY_CLOCK, X.DAY_CLOCK
     get = lambda p, i: F.regexp_extract(s, p, i)
     minute = lambda p: F.coalesce(_int(get(p, 2)), F.lit(0))
     noon = F.when(get(half, 3) == "pm", 12).otherwise(0)
@@ -62,14 +62,11 @@ def parse_time(text: Column) -> Column:
     )
 
 
-_ICS = r"^(\d{4})(\d{2})(\d{2})(?:T(\d{2})(\d{2})(?:\d{2})?(Z)?)?"
-
-
 def ics_datetime(value: Column, zone: str = X.TIME_ZONE) -> tuple[Column, Column]:
     """(local date, HH:MM or null) of a calendar value; UTC is converted, midnight means no time."""
     s = F.trim(value)
-    get = lambda i: F.regexp_extract(s, _ICS, i)
-    day = F.when(s.rlike(_ICS), _date(_int(get(1)), _int(get(2)), _int(get(3))))
+    get = lambda i: F.regexp_extract(s, X.CALENDAR_MOMENT, i)
+    day = F.when(s.rlike(X.CALENDAR_MOMENT), _date(_int(get(1)), _int(get(2)), _int(get(3))))
     timed = get(4) != ""
     moment = F.try_to_timestamp(F.concat_ws(" ", day.cast("string"), F.concat(get(4), F.lit(":"), get(5), F.lit(":00"))), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
     local = F.when(get(6) == "Z", F.convert_timezone(F.lit("UTC"), F.lit(zone), moment)).otherwise(moment)

@@ -10,17 +10,17 @@ CATEGORIES = {
 # --- category patterns; the first that matches decides
 CATEGORY_PATTERNS = [
     (r"vide[- ]grenier|brocante|braderie|bourse|vide[- ]dressing|vide[- ]maison|chiner", "brocante"),
-    (r"\bmilonga|\btango|practica|bal\b|guinguette|salsa|bachata|kizomba|zouk|swing|lindy|charleston|balboa|danse|dance|soir[ee]es? latin|latino|latina", "danse"),
+    (r"\bmilonga|\btango|practica|bal\b|guinguette|salsa|bachata|kizomba|zouk|swing|lindy|charleston|balboa|danse|dance|soirees? latin|latino|latina", "danse"),
     (r"exposition|\bexpo\b|vernissage|exhibition|galerie|retrospective|collection permanente", "expo"),
-    (r"\bdj\b|dj set|clubbing|night ?club|bo[ii]te de nuit|techno|\bhouse\b|\belectro\b|\brave\b|after[\s-]?party|club night|soir[ee]e club|ap[ee]ro club|warehouse", "autre"),
-    (r"concert|jazz|live music|musique live|orchestre|philharmoni|chorale|r[ee]cital|fanfare|blues|reggae|lyrique|art lyrique|chant lyrique|festival de musique", "concert"),
+    (r"\bdj\b|dj set|clubbing|night ?club|boite de nuit|techno|\bhouse\b|\belectro\b|\brave\b|after[\s-]?party|club night|soiree club|apero club|warehouse", "autre"),
+    (r"concert|jazz|live music|musique live|orchestre|philharmoni|chorale|recital|fanfare|blues|reggae|lyrique|art lyrique|chant lyrique|festival de musique", "concert"),
     (r"theatre|spectacle|opera|ballet|one man show|humour|cirque|danse contemporaine", "scene"),
     (r"visite guidee|visite|guided (tour|visit)|parcours patrimoine|balade", "visite"),
     (r"atelier|workshop|stage de|masterclass|initiation|cours\b", "atelier"),
     (r"conference|networking|afterwork|startup|\bai\b|\bia\b|intelligence artificielle|tech\b|pitch|hackathon|business|entrepreneur|coworking|summit|forum|salon professionnel|webinar", "business"),
     (r"expat|language exchange|echange linguistique|apero|picnic|pique-nique|rencontre|social|hangout|jeux de societe|board game|quiz|blind test", "social"),
     (r"marche|market|fete|festa|foire|festin|procession|feu d'artifice|carnaval|transhumance", "marche"),
-    (r"course|trail|randonnee|match|tournoi|competition|marathon|regate|petanque|yoga|running|self.?d[ee]fense|autod[ee]fense|arts martiaux|krav maga|boxe|fitness|pilates", "sport"),
+    (r"course|trail|randonnee|match|tournoi|competition|marathon|regate|petanque|yoga|running|self.?defense|autodefense|arts martiaux|krav maga|boxe|fitness|pilates", "sport"),
 ]
 DEFAULT_CATEGORY = "autre"
 
@@ -137,3 +137,37 @@ PLACE_CARD = {"block": "event-item__wrap", "title": "event-item__title-link", "p
 GENRE_CARD = {"info": "info-container", "date": "date", "venue": "lieu", "genre": "genre"}
 SEASON_CARD = {"year": "enveloppe__number", "block": "card", "title": "card__spectacle_title", "dates": "card__dates", "note": "card__description", "link": "card__link"}
 EMPTY_CHIPS = ["accessible pmr", "gratuit"]
+
+#: Patterns of titles, notes and texts.
+TITLE_DEBRIS = r"\s{2,}|\|\s*$|^\s*-"
+CLOCK_IN_TITLE = r"(?U)(?<![\w:.])(?:à\s+|at\s+|@\s*)?(?:(\d{1,2})\s*[hH]\s*(\d{2})?|(\d{1,2})\s*:\s*(\d{2}))(?![\d\w])"
+BARE_CLOCK = r"(?i)^\d{1,2}\s*[h:]\s*\d{0,2}\s*$"
+NOTE_LEAD = r"^\s*([^\s·][^·]{0,24}?)\s*·\s*"
+NOTE_TIMES = r"^\s*\d{1,2}[:h]\d{2}(?:\s*[–-]\s*\d{1,2}[:h]\d{2})?\s*·\s*"
+SEGMENT_ENDS = r"\s{2,}|[>•·]"
+FROM_TO_HOURS = r"(?iu)\bde\s*(\d{1,2})\s*h\s*(\d{2})?\s*(?:à|a|au|jusqu|[-–])"
+FROM_HOUR = r"(?iu)(?:à partir de|a partir de|d[èe]s|d[ée]but(?:e)?\s*(?:à|a)?)\s*(\d{1,2})\s*h\s*(\d{2})?"
+CLASS_BEFORE = "(?iu)cours|pr[ée]c[ée]d|stage|initiation|atelier|d[ée]butant|workshop"
+PRICE_LINE = r"(?iu)\b(?:tarifs?|prix|entr[ée]e)\s*:\s*(.{1,60}?)\s*$"
+PRICE_WORDS = r"(?i)\d|gratuit|libre"
+POSTCODE_SPLIT = r"(?s)^(.*)\b(\d{5})\b(.*)$"
+
+#: Patterns of dates and times.
+ISO_DATE = r"(?<!\d)(\d{4})-(\d{2})-(\d{2})(?!\d)"
+COMPACT_DATE = r"^(\d{4})(\d{2})(\d{2})$"
+SLASH_DATE = r"\b(\d{1,2})[/.](\d{1,2})[/.](\d{4})\b"
+DAY_FIRST = r"(?U)\b(\d{1,2})(?:er)?\s+([A-Za-zÀ-ÿ]+)\.?(?:\s+(\d{4}))?"
+MONTH_FIRST = r"(?U)\b([A-Za-zÀ-ÿ]+)\.?\s+(\d{1,2})(?:,)?(?:\s+(\d{4}))?"
+HALF_DAY_CLOCK = r"\b(\d{1,2})\s*[:.]?\s*(\d{2})?\s*(am|pm)\b"
+DAY_CLOCK = r"\b(\d{1,2})\s*[h:]\s*(\d{2})?"
+CALENDAR_MOMENT = r"^(\d{4})(\d{2})(\d{2})(?:T(\d{2})(\d{2})(?:\d{2})?(Z)?)?"
+
+#: Patterns of cards, flyers and addresses.
+ABROAD = r"(?iu)\b(italie|italia|italy|espagne|spain|allemagne|germany|suisse|switzerland|belgique|belgium|portugal|united kingdom|england|usa)\b"
+NO_VENUE = r'[{}\[\]"\\]|https?:|@type|startDate|schema\.org'
+SALE_LINE = r"(\d{5})\s+-\s+([^\n]+?)(?:\s+-\s+(.+))?$"
+SALE_COUNT = r"(?<![\d/])(\d{2,3})(?!\d)"
+FLYER_DAY_NAMED = r"\b(\d{1,2})\s+([a-z]{3,9})\.?(?:\s+(\d{4}))?"
+FLYER_DAY_SLASHED = r"\b(\d{1,2})/(\d{1,2})(?:/(\d{2,4}))?"
+FLYER_NO_TITLE = r"(?i)^\d|https?:|www\.|\d\s*€|gratuit|entree|\bh\d|^\W+$"
+EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"

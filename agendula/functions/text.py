@@ -203,7 +203,7 @@ def upper_ratio(c: Column) -> Column:
 
 def title_penalty(title: Column) -> Column:
     """Shouting 10, a badge 5, debris 2."""
-    debris = title.rlike(r"\s{2,}|\|\s*$|^\s*-")
+    debris = title.rlike(X.TITLE_DEBRIS)
     return F.when(upper_ratio(title) > 0.7, 10).otherwise(0) + F.when(title.rlike(X.TITLE_BADGE), 5).otherwise(0) + F.when(debris, 2).otherwise(0)
 
 
@@ -321,40 +321,34 @@ def clean_title(c: Column) -> Column:
     return F.trim(close_brackets(unshout_words(deshout(c))))
 
 
-_CLOCK = r"(?U)(?<![\w:.])(?:à\s+|at\s+|@\s*)?(?:(\d{1,2})\s*[hH]\s*(\d{2})?|(\d{1,2})\s*:\s*(\d{2}))(?![\d\w])"
-
-
 def time_from_title(title: Column, stored: Column) -> tuple[Column, Column]:
     """(title, time) with a clock time moved from the title to the time, where no other time is stored."""
-    group = lambda i: F.nullif(F.regexp_extract(title, _CLOCK, i), F.lit(""))
+    group = lambda i: F.nullif(F.regexp_extract(title, X.CLOCK_IN_TITLE, i), F.lit(""))
     hour, minute = F.coalesce(group(1), group(3)).cast("int"), F.coalesce(group(2), group(4), F.lit("0")).cast("int")
     found = F.when((hour <= 23) & (minute <= 59), F.format_string("%02d:%02d", hour, minute))
     kept = F.nullif(stored, F.lit(""))
     lift = found.isNotNull() & (kept.isNull() | (kept == "00:00") | (kept == found))
-    rest = F.regexp_replace(title, "(?s)^(.*?)" + _CLOCK.removeprefix("(?U)"), "$1 ")
+    rest = F.regexp_replace(title, "(?s)^(.*?)" + X.CLOCK_IN_TITLE.removeprefix("(?U)"), "$1 ")
     rest = F.regexp_replace(F.regexp_replace(rest, r"\s+", " "), r"\s+([-–—·:,])\s*$", "")
     rest = F.regexp_replace(rest, r"^[ \-–—·:,]+|[ \-–—·:,]+$", "")
     enough = F.length(F.regexp_replace(rest, r"[^\p{L}]", "")) >= 3
     return F.when(lift & enough, rest).otherwise(title), F.when(lift, found).otherwise(stored)
 
 
-_BARE = r"(?i)^\d{1,2}\s*[h:]\s*\d{0,2}\s*$"
-
-
 def note_full(c: Column) -> Column:
     """A note without leading time, category label and bare times; empty if it is only a time."""
-    lead = r"^\s*([^\s·][^·]{0,24}?)\s*·\s*"
+    lead = X.NOTE_LEAD
 
     def unlabelled(t: Column) -> Column:
         return F.when(F.lower(strip_accents(F.regexp_extract(t, lead, 1))).isin(X.NOTE_LABELS), F.trim(F.regexp_replace(t, lead, ""))).otherwise(t)
 
     def timeless(t: Column) -> Column:
-        parts = F.filter(F.transform(F.split(t, "·"), lambda x: F.trim(x)), lambda p: (p != "") & ~p.rlike(_BARE))
+        parts = F.filter(F.transform(F.split(t, "·"), lambda x: F.trim(x)), lambda p: (p != "") & ~p.rlike(X.BARE_CLOCK))
         return F.when(t.contains("·"), F.array_join(parts, " · ")).otherwise(t)
 
     def whole(t: Column) -> Column:
-        body = F.trim(F.regexp_replace(t, r"^\s*\d{1,2}[:h]\d{2}(?:\s*[–-]\s*\d{1,2}[:h]\d{2})?\s*·\s*", ""))
-        return F.when(t.rlike(_BARE), F.lit("")).otherwise(let(let(body, unlabelled), timeless))
+        body = F.trim(F.regexp_replace(t, X.NOTE_TIMES, ""))
+        return F.when(t.rlike(X.BARE_CLOCK), F.lit("")).otherwise(let(let(body, unlabelled), timeless))
 
     return let(tidy_text(c), whole)
 
@@ -426,14 +420,14 @@ def is_online(title: Column, venue: Column, event_type: Column, flagged: Column)
 def segments(text: Column) -> Column:
     """Parts between bullets or wide gaps."""
     raw = F.regexp_replace(unescape(F.regexp_replace(_or_empty(text), "<[^>]+>", " ")), r"\s+:", " :")
-    return F.filter(F.transform(F.split(raw, r"\s{2,}|[>•·]"), lambda x: F.trim(x)), lambda s: s != "")
+    return F.filter(F.transform(F.split(raw, X.SEGMENT_ENDS), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def time_from_text(text: Column) -> Column:
     """The first explicit start ('de 21h00 à', 'à partir de 19h') outside segments on a class beforehand."""
-    span = r"(?iu)\bde\s*(\d{1,2})\s*h\s*(\d{2})?\s*(?:à|a|au|jusqu|[-–])"
-    since = r"(?iu)(?:à partir de|a partir de|d[èe]s|d[ée]but(?:e)?\s*(?:à|a)?)\s*(\d{1,2})\s*h\s*(\d{2})?"
-    main = F.filter(segments(text), lambda s: ~s.rlike("(?iu)cours|pr[ée]c[ée]d|stage|initiation|atelier|d[ée]butant|workshop"))
+    span = X.FROM_TO_HOURS
+    since = X.FROM_HOUR
+    main = F.filter(segments(text), lambda s: ~s.rlike(X.CLASS_BEFORE))
 
     def clock(s: Column) -> Column:
         pick = lambda i: F.when(s.rlike(span), F.regexp_extract(s, span, i)).otherwise(F.regexp_extract(s, since, i))
@@ -444,14 +438,14 @@ def time_from_text(text: Column) -> Column:
 
 
 def price_from_text(text: Column, most: int = 45) -> Column:
-    price = lambda s: F.regexp_replace(F.regexp_extract(s, r"(?iu)\b(?:tarifs?|prix|entr[ée]e)\s*:\s*(.{1,60}?)\s*$", 1), r"^[ .:\-–]+|[ .:\-–]+$", "")
-    good = lambda p: (p != "") & (F.length(p) <= most) & p.rlike(r"(?i)\d|gratuit|libre")
+    price = lambda s: F.regexp_replace(F.regexp_extract(s, X.PRICE_LINE, 1), r"^[ .:\-–]+|[ .:\-–]+$", "")
+    good = lambda p: (p != "") & (F.length(p) <= most) & p.rlike(X.PRICE_WORDS)
     return F.try_element_at(F.filter(F.transform(segments(text), price), good), F.lit(1))
 
 
 def split_location(location: Column) -> tuple[Column, Column, Column]:
     """(venue, city, postcode): the last postcode parts the two; without one all is the venue."""
-    pattern = r"(?s)^(.*)\b(\d{5})\b(.*)$"
+    pattern = X.POSTCODE_SPLIT
     part = lambda i: F.regexp_extract(location, pattern, i)
     trimmed = lambda c: F.nullif(F.regexp_replace(c, r"^[ ,.\-]+|[ ,.\-]+$", ""), F.lit(""))
     has = part(2) != ""

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 
-EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
-
 
 def event_rules(as_of: Column) -> dict[str, Column]:
     last = F.coalesce("end", "start")
@@ -55,14 +53,14 @@ def submission_rules() -> dict[str, Column]:
     return {
         "title_length": between("title", 3, 200), "town_length": between("town", 2, 80), "venue_length": optional("venue", F.length("venue") <= 160), "note_length": optional("note", F.length("note") <= 1000),
         "url_shape": optional("url", F.col("url").rlike("(?i)^https?://") & (F.length("url") <= 500)), "time_shape": optional("time", F.col("time").rlike(r"^([01]\d|2[0-3]):[0-5]\d$")),
-        "category_known": F.col("category").isin(list(X.CATEGORIES)), "end_after_start": optional("end_date", F.col("end_date") >= F.col("start_date")), "email_shape": optional("email", F.col("email").rlike(EMAIL)),
+        "category_known": F.col("category").isin(list(X.CATEGORIES)), "end_after_start": optional("end_date", F.col("end_date") >= F.col("start_date")), "email_shape": optional("email", F.col("email").rlike(X.EMAIL)),
         "not_approved": ~F.col("approved"), "not_published": ~F.col("published"),
     }
 
 
 def message_rules() -> dict[str, Column]:
     return {
-        "kind_known": F.col("kind").isin("hello", "correction", "source", "removal"), "body_length": F.col("body").isNull() | (F.length("body") <= 4000), "email_shape": F.col("email").isNull() | F.col("email").rlike(EMAIL),
+        "kind_known": F.col("kind").isin("hello", "correction", "source", "removal"), "body_length": F.col("body").isNull() | (F.length("body") <= 4000), "email_shape": F.col("email").isNull() | F.col("email").rlike(X.EMAIL),
         "has_content": F.col("body").isNotNull() | F.col("email").isNotNull(),
     }
 
