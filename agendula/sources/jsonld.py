@@ -13,7 +13,7 @@ def objects(texts: DataFrame, column: str = "json", most: int = 1000) -> DataFra
     """Rows with one JSON text each to rows (…, seq path, node): every object in it, at any depth.
 
     The walk is a recursive table expression over the parts of a VARIANT that ends with the deepest container, and fails beyond
-    ``most`` levels; texts that are no JSON give nothing.
+    ``most`` levels, never for the number of rows; texts that are no JSON give nothing.
     """
     spark = texts.sparkSession
     keep = [c for c in texts.columns if c != column]
@@ -21,13 +21,16 @@ def objects(texts: DataFrame, column: str = "json", most: int = 1000) -> DataFra
     texts.select(*keep, F.try_parse_json(column).alias("node")).where("node is not null").createOrReplaceTempView(name)
     cols = "".join(f"`{c}`, " for c in keep)
     w_cols = "".join(f"w.`{c}`, " for c in keep)
+    # Read as a map or a list, a part shows what it is without a look at what it holds.
+    is_object = lambda v: f"try_variant_get({v}, '$', 'map<string,variant>') is not null"
+    is_list = lambda v: f"try_variant_get({v}, '$', 'array<variant>') is not null"
     return spark.sql(
         f"""with recursive w max recursion level {most} as (
               select {cols} node, '' as path, 0 as level from {name}
               union all
               select {w_cols} v.value, concat(w.path, '/', lpad(cast(v.pos as string), 5, '0')), w.level + 1
-              from w, lateral variant_explode(w.node) v where (schema_of_variant(v.value) like 'OBJECT%' or schema_of_variant(v.value) like 'ARRAY%'))
-            select {cols} path, node from w where schema_of_variant(node) like 'OBJECT%'"""
+              from w, lateral variant_explode(w.node) v where ({is_object('v.value')} or {is_list('v.value')}))
+            select {cols} path, node from (select * from w limit all) where {is_object('node')}"""
     )
 
 
