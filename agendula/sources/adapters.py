@@ -19,7 +19,6 @@ from ..functions import cards as C
 from ..functions import dates as D
 from ..functions import fixed as X
 from ..functions import text as T
-from ..lineage import cut
 from ..operators import sequences
 from ..operators.sequences import carry_forward, day_list, first_of
 from . import html as H
@@ -241,8 +240,6 @@ def structured_pages(raw: DataFrame, as_of: dt.date, town: str | None = None, ca
     texts = raw.select("doc", F.posexplode(H.json_ld(F.col("body"))).alias("k", "json"))
     found = jsonld.events(texts).withColumn("pos", F.col("k").cast("long") * 10_000_000 + F.row_number().over(Window.partitionBy("doc", "k").orderBy("path")))
     found = found.withColumns({"town": F.coalesce(F.nullif("town", F.lit("Unknown")), F.lit(town)), "category": F.coalesce(F.lit(category), "category")})
-    # What pages say is used for its rows and to find the pages without any.
-    found = cut(found, "structured")
     rest = raw.join(found.select("doc").distinct(), "doc", "left_anti")
     return shaped(_once(found, ["title", "start"])).unionByName(shaped(timed_cards(rest, as_of, town, category)))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as T
+from ..lineage import cut
 
 
 def objects(texts: DataFrame, column: str = "json", most: int = 1000) -> DataFrame:
@@ -64,19 +65,19 @@ def in_scope(country: Column, postcode: Column, department: str = "06") -> Colum
 def events(texts: DataFrame, column: str = "json") -> DataFrame:
     """JSON-LD texts to adapter rows, with the columns of ``texts``."""
     keep = [c for c in texts.columns if c != column]
-    # A value is taken from its node once, and then used by name.
+    # Values are taken from their nodes once and written; inside text functions, which are lambdas, each use would be a look into the node.
     parts = {"name": text_of("$.name"), "type": get("$['@type']"), "from": get("$.startDate"), "to": get("$.endDate"), "price": F.coalesce(get("$.offers.price"), get("$.offers[0].price")), "mode": get("$.eventAttendanceMode"),
              "link": F.coalesce(get("$.url"), get("$['@id']")), "description": get("$.description"), "access": get("$.isAccessibleForFree", "boolean"), **place()}
-    found = objects(texts, column).where(is_event()).select(*keep, "path", *[c.alias(f"__{k}") for k, c in parts.items()])
+    found = cut(objects(texts, column).where(is_event()).select(*keep, "path", *[c.alias(f"__{k}") for k, c in parts.items()]), "said")
     p = {k: F.col(f"__{k}") for k in parts}
     day, clock = D.iso_parts(p["from"])
     end, _ = D.iso_parts(p["to"])
-    out = found.select(
+    found = found.where(p["name"].isNotNull() & day.isNotNull() & in_scope(p["country"], p["postcode"]))
+    return found.select(
         *keep, "path", T.unescape(p["name"]).alias("title"), day.alias("start"), F.when(end > day, end).alias("end"), clock.alias("time"), T.canon_town(p["city"], p["postcode"]).alias("town"), p["venue"].alias("venue"),
         T.classify(p["name"], p["type"]).alias("category"), p["link"].alias("url"), T.visible_note(p["description"]).alias("note"),
         (F.coalesce(p["access"], F.lit(False)) | F.coalesce(p["price"].try_cast("double") == 0, F.lit(False))).alias("free"),
-        F.coalesce(p["mode"].contains("Online"), F.lit(False)).alias("online"), in_scope(p["country"], p["postcode"]).alias("in_scope"))
-    return out.where("title is not null and start is not null and in_scope").drop("in_scope")
+        F.coalesce(p["mode"].contains("Online"), F.lit(False)).alias("online"))
 
 
 def opening_time(day: Column, specs: Column) -> Column:
