@@ -117,11 +117,15 @@ def elements(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("doc").cast("long").alias("doc"), "html").mapInArrow(_elements, ELEMENTS)
 
 
-def visible_text(html: Column) -> Column:
-    """Text without markup, scripts and styles."""
-    c = F.regexp_replace(html, r"(?is)<(script|style|template|noscript)[^>]*>.*?</\1>", " ")
+def visible_text(html: Column, references: dict[str, str] | None = None) -> Column:
+    """Text without markup, scripts and styles. ``references``: the only ones read, whole and in this order, by what they stand for; else all
+    that a browser reads, those cut short too."""
+    c = html
+    for tag in ("script", "style", "template", "noscript"):
+        c = F.regexp_replace(c, f"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
     c = F.regexp_replace(F.regexp_replace(c, "(?s)<!--.*?-->", " "), "<[^>]+>", " ")
-    return F.trim(F.regexp_replace(T.unescape(c), r"\s+", " "))
+    c = T.unescape(c) if references is None else T._replace_all(c, references)
+    return F.trim(F.regexp_replace(c, r"[\t\n\f\r ]+", " "))
 
 
 def cards(found: DataFrame, dates_from: Column | None = None) -> DataFrame:
