@@ -31,11 +31,11 @@ def own_gram(words: Column, most: int = GRAM) -> Column:
     return F.substring(F.when(F.size(long) > 0, F.get(long, F.lit(0))).otherwise(longest), 1, most)
 
 
-def likeness(a: Column, b: Column, a_words: Column, b_words: Column) -> Column:
-    """1 where one text holds the other, else the Jaccard similarity of their words; 0 if one is empty."""
+def likeness(a: Column, b: Column, a_words: Column, b_words: Column, held: bool = True) -> Column:
+    """1 where one text holds the other (``held``), else the Jaccard similarity of their words; 0 if one is empty."""
     shared = F.size(F.array_intersect(a_words, b_words))
     share = shared / (F.size(a_words) + F.size(b_words) - shared)
-    return F.when((a == "") | (b == ""), F.lit(0.0)).when(a.contains(b) | b.contains(a), F.lit(1.0)).otherwise(share)
+    return F.when((a == "") | (b == ""), F.lit(0.0)).when(F.lit(held) & (a.contains(b) | b.contains(a)), F.lit(1.0)).otherwise(share)
 
 
 def by_rarity(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -52,9 +52,9 @@ def _sides(rows: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame, DataFr
     return tuple(rows.where("text <> ''").select(*on, key, kept.alias("row")) for key in (F.explode("prefix").alias("__key"), F.col("gram").alias("__key"), F.explode(grams(F.col("text"))).alias("__key")))
 
 
-def candidates(a: DataFrame, b: DataFrame, on: list[str], least: float) -> DataFrame:
+def candidates(a: DataFrame, b: DataFrame, on: list[str], least: float, held: bool = True) -> DataFrame:
     """(a, b): pairs of rows (id, text and ``on``, which are equal) that one of the indexes brings together, each once: by the first of their
-    prefix words that they share, or if they share none, because one text holds the other.
+    prefix words that they share, or if they share none, because one text holds the other (``held``).
     """
     if a.columns != b.columns:
         raise ValueError("both sides need the same columns")
@@ -74,19 +74,20 @@ def candidates(a: DataFrame, b: DataFrame, on: list[str], least: float) -> DataF
     shared = F.array_intersect("a.prefix", "b.prefix")
     ways = [(0, 0, F.get(shared, F.lit(0)) == F.col("__key")), (1, 2, F.col("b.text").contains(F.col("a.text")) & (F.size(shared) == 0)), (2, 1, F.col("a.text").contains(F.col("b.text")) & (F.size(shared) == 0))]
     order = F.col("a.id") < F.col("b.id") if same else F.lit(True)
-    met = [left[i].withColumnRenamed("row", "a").join(right[j].withColumnRenamed("row", "b"), [*on, "__key"]).where(order & new).select("a", "b") for i, j, new in ways]
+    met = [left[i].withColumnRenamed("row", "a").join(right[j].withColumnRenamed("row", "b"), [*on, "__key"]).where(order & new).select("a", "b") for i, j, new in (ways if held else ways[:1])]
     return reduce(DataFrame.unionByName, met)
 
 
-def similar(a: DataFrame, b: DataFrame, on: list[str], least: float, also: Column | None = None) -> DataFrame:
+def similar(a: DataFrame, b: DataFrame, on: list[str], least: float, also: Column | None = None, held: bool = True) -> DataFrame:
     """(a, b, likeness): pairs of rows with equal ``on`` whose texts resemble by ``least`` or more, each once.
 
     ``a`` and ``b`` have a unique ``id``, a folded ``text``, ``on`` and any other columns. One table as both (the same object): pairs of its
-    rows, the smaller id first. ``also``: a further condition on ``a`` and ``b``.
+    rows, the smaller id first. ``also``: a further condition on ``a`` and ``b``. ``held``: a text that holds the other resembles it by 1; else
+    words alone count.
     """
-    met = candidates(a, b, on, least)
+    met = candidates(a, b, on, least, held)
     met = met.where(also) if also is not None else met
-    return met.withColumn("likeness", likeness(F.col("a.text"), F.col("b.text"), F.col("a.words"), F.col("b.words"))).where(F.col("likeness") >= least)
+    return met.withColumn("likeness", likeness(F.col("a.text"), F.col("b.text"), F.col("a.words"), F.col("b.words"), held)).where(F.col("likeness") >= least)
 
 
 def folded(c: Column) -> Column:
