@@ -124,13 +124,21 @@ def find_duplicates(submitted: DataFrame, events: DataFrame, least: float = 0.6)
     """(submission id, fingerprint): events on the day and in the town of a submission whose title is as similar."""
     month = lambda d: F.trunc(d, "month")
     place = T.fold(F.col("town"), True).alias("key")
-    s = submitted.select(F.struct(F.col("id").alias("key"), month("start").alias("month")).alias("id"), S.folded(F.col("title")).alias("text"), place, month("start").alias("month"), "start", F.col("start").alias("last"))
-    e = events.select(F.col("fingerprint").alias("key_id"), S.folded(F.col("title")).alias("text"), place, "start", F.coalesce("end", "start").alias("last"))
-    # Rows meet by town and month, so that a town with most of the events is dealt over its months; a run stands in each of its own.
-    e = e.withColumn("month", F.explode(F.sequence(month("start"), month(F.greatest("start", "last")), F.expr("interval 1 month"))))
-    e = e.select(F.struct(F.col("key_id").alias("key"), "month").alias("id"), "text", "key", "month", "start", "last")
-    met = S.similar(s, e, ["key", "month"], least, F.col("a.start").between(F.col("b.start"), F.col("b.last")))
-    return met.select(F.col("a.id.key").alias("id"), F.col("b.id.key").alias("fingerprint"))
+    s = submitted.select("id", S.folded(F.col("title")).alias("text"), place, "start").where("start is not null")
+    e = events.select("fingerprint", S.folded(F.col("title")).alias("like"), place, "start", F.coalesce("end", "start").alias("last")).where("start <= last")
+    months = F.sequence(month("start"), month("last"), F.expr("interval 1 month"))
+    # Titles are compared once a town and month, however many rows bear them; folded texts hold no control character.
+    titles = lambda d, c, m: d.select("key", m.alias("month"), F.col(c).alias("text")).distinct().withColumn("id", F.concat_ws("\x1f", "key", F.col("month").cast("string"), "text"))
+    alike = S.similar(titles(s, "text", month("start")), titles(e, "like", F.explode(months)), ["key", "month"], least)
+    alike = alike.select(F.col("a.key").alias("key"), F.col("a.month").alias("month"), F.col("a.text").alias("text"), F.col("b.text").alias("like"))
+    # Rows meet by title and day; a run of more than a month stands in each of its months instead.
+    long = F.datediff("last", "start") > 31
+    short = e.where(~long).select("*", F.explode(F.sequence("start", "last")).alias("at"))
+    long = e.where(long).select("*", F.explode(months).alias("at"))
+    s = s.withColumn("month", month("start")).join(alike, ["key", "month", "text"]).select("id", "key", "like", "start")
+    by_day = s.withColumn("at", F.col("start")).join(short.drop("start", "last"), ["key", "like", "at"]).select("id", "fingerprint")
+    by_month = s.withColumn("at", month("start")).join(long.withColumnsRenamed({"start": "first"}), ["key", "like", "at"]).where(F.col("start").between(F.col("first"), F.col("last")))
+    return by_day.unionByName(by_month.select("id", "fingerprint"))
 
 
 def pages(events: DataFrame, as_of: dt.date) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from agendula.operators import similarity as S
+from agendula.plans import listing as L
 from agendula.plans import queries as Q
 from agendula.plans.quality import stale_feed
 from agendula.sources import jsonld
@@ -47,3 +48,14 @@ def test_a_feed_is_stale_by_less_than_a_second(spark):
     rows = spark.createDataFrame([(n, now - dt.timedelta(hours=48, microseconds=n)) for n in (-1, 0, 1, 999_999)], "n long, t timestamp_ntz")
     got = {r["n"]: r["s"] for r in rows.select("n", stale_feed(F.col("t"), F.lit(now).cast("timestamp_ntz")).alias("s")).collect()}
     assert got == {-1: False, 0: False, 1: True, 999_999: True}
+
+
+def test_copies_of_titles_are_compared_once(spark, monkeypatch):
+    day = lambda n: dt.date(2026, 1, 20) + dt.timedelta(n)
+    sent = spark.createDataFrame([(i, "Jazz Night", "Nice", day(i)) for i in range(20)], "id long, title string, town string, start date")
+    events = spark.createDataFrame([(100 + i, "jazz night at the harbour", "NICE", day(i), day(i + n)) for i, n in enumerate((0, 3, 45, -1))] + [(200, "jazz night", "Nice", day(5), None)], "fingerprint long, title string, town string, start date, end date")
+    seen, similar = [], L.S.similar
+    monkeypatch.setattr(L.S, "similar", lambda a, b, *more: seen.append((a.count(), b.count())) or similar(a, b, *more))
+    got = {tuple(r) for r in L.find_duplicates(sent, events).collect()}
+    assert got == {(0, 100)} | {(i, 101) for i in range(1, 5)} | {(i, 102) for i in range(2, 20)} | {(5, 200)}
+    assert seen == [(2, 4)]
