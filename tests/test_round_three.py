@@ -2,9 +2,12 @@
 
 import datetime as dt
 import json
+import re
 
 from pyspark.sql import functions as F
 
+from agendula.functions import fixed as X
+from agendula.functions import text as T
 from agendula.operators import similarity as S
 from agendula.plans import listing as L
 from agendula.plans import queries as Q
@@ -59,3 +62,23 @@ def test_copies_of_titles_are_compared_once(spark, monkeypatch):
     got = {tuple(r) for r in L.find_duplicates(sent, events).collect()}
     assert got == {(0, 100)} | {(i, 101) for i in range(1, 5)} | {(i, 102) for i in range(2, 20)} | {(5, 200)}
     assert seen == [(2, 4)]
+
+
+def test_a_pattern_runs_only_where_its_stem_stands(spark):
+    for pattern, _ in X.CATEGORY_PATTERNS:
+        assert "|".join(T._alternatives(pattern)) == pattern
+        assert all(T._stem(a) in re.sub(r"\\b|[\[(].*?[\])]|\?", "", a) for a in T._alternatives(pattern))
+    assert [T._stem(a) for a in (r"\bexpo\b", "soirees? latin", r"after[\s-]?party", "guided (tour|visit)", "self.?defense")] == ["expo", "soiree", "after", "guided ", "defense"]
+    texts = ["un expo.", "exposant", "soirée latine", "les soirées latino", "bal", "balle", "visite", "guided tour", "self-defense", "ai", "j'ai", "tango", "xtango", None]
+    got = [r["c"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.classify(F.col("t")).alias("c")).collect()]
+    assert got == ["expo", "autre", "danse", "danse", "danse", "autre", "visite", "visite", "sport", "business", "business", "danse", "autre", "autre"]
+
+
+def test_marks_and_letters_of_several(spark):
+    texts = ["\u00c9t\u00e9 \u00bd \ufb01n", "\ud55c\uad6d caf\u00e9", "\u00df\u0153", "plain", "AUX ARMES citoyens", "\u00c9COLE NR"]
+    got = [tuple(r) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.strip_accents(F.col("t")), T.nfkc(F.col("t")), T.unshout_words(F.col("t"))).collect()]
+    import unicodedata
+
+    assert [g[0] for g in got] == ["".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)) for t in texts]
+    assert [g[1] for g in got] == [unicodedata.normalize("NFKC", t) for t in texts]
+    assert [g[2] for g in got[4:]] == ["Aux Armes citoyens", "\u00c9cole NR"]
