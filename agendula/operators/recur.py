@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
+from ..functions.text import let
 
 _DAYS = ["MO", "TU", "WE", "TH", "FR", "SA", "SU"]
 
@@ -36,33 +37,44 @@ def _every(low: Column, high: Column, days: Column) -> Column:
 
 
 def _monthly(first: Column, day: Column, tokens: Column) -> Column:
-    """Days of one month that BYDAY tokens name; without tokens the day of the month, if it is there."""
+    """Days of one month that BYDAY tokens (nth, wanted) name; without tokens the day of the month, if it is there."""
     plain = F.date_add(first, day - 1)
     plain = F.when(F.month(plain) == F.month(first), F.array(plain)).otherwise(F.array().cast("array<date>"))
 
     def one(t: Column) -> Column:
-        nth, name = F.coalesce(F.nullif(F.regexp_extract(t, r"^(-?\d)?([A-Z]{2})$", 1), F.lit("")).cast("int"), F.lit(0)), F.regexp_extract(t, r"^(-?\d)?([A-Z]{2})$", 2)
-        wanted = F.array_position(F.array(*map(F.lit, _DAYS)), name)
-        offset = F.pmod(wanted - 1 - F.weekday(first), F.lit(7)).cast("int")
-        all_days = F.filter(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.date_add(first, offset + 7 * i)), lambda d: F.month(d) == F.month(first))
-        at = F.when(nth < 0, F.size(all_days) + nth + 1).otherwise(nth).cast("int")
-        picked = F.when((at >= 1) & (at <= F.size(all_days)), F.slice(all_days, F.greatest(at, F.lit(1)), 1)).otherwise(F.array().cast("array<date>"))
-        return F.when(wanted == 0, F.array().cast("array<date>")).when(nth == 0, all_days).otherwise(picked)
+        offset = F.pmod(t["wanted"] - 1 - F.weekday(first), F.lit(7)).cast("int")
+        at_day = lambda low, n: F.date_add(low, ((n - 1) * 7).cast("int"))
+
+        def from_first(low: Column) -> Column:
+            count = F.when(F.date_add(low, 28) <= F.last_day(low), 5).otherwise(4)
+            at = F.when(t["nth"] < 0, count + t["nth"] + 1).otherwise(t["nth"])
+            return F.when(t["nth"] == 0, F.transform(F.sequence(F.lit(1), count), lambda n: at_day(low, n))).when((at >= 1) & (at <= count), F.array(at_day(low, at))).otherwise(F.array().cast("array<date>"))
+
+        return F.when(t["wanted"] == 0, F.array().cast("array<date>")).otherwise(let(F.date_add(first, offset), from_first))
 
     return F.when(F.size(tokens) == 0, plain).otherwise(F.array_sort(F.flatten(F.transform(tokens, one))))
 
 
 def rule_dates(start: Column, rrule: Column, exdates: Column, low: Column, high: Column) -> Column:
     """Ascending days of a rule within [low, high], without the excluded ones. Rules of another FREQ give none."""
-    r = parse_rule(rrule)
+    return let(parse_rule(rrule), lambda r: _dates(r, start, exdates, low, high))
+
+
+def _token(t: Column) -> Column:
+    part = lambda i: F.regexp_extract(t, r"^(-?\d)?([A-Z]{2})$", i)
+    return F.struct(F.coalesce(F.nullif(part(1), F.lit("")).cast("int"), F.lit(0)).alias("nth"), F.array_position(F.array(*map(F.lit, _DAYS)), part(2)).cast("int").alias("wanted"))
+
+
+def _dates(r: Column, start: Column, exdates: Column, low: Column, high: Column) -> Column:
     end = F.least(high, F.coalesce(r["until"], high))
     monday = F.date_sub(start, F.weekday(start))
     week_days = F.when(F.size(r["days"]) > 0, F.array_sort(F.transform(r["days"], lambda d: (F.array_position(F.array(*map(F.lit, _DAYS)), F.right(d, F.lit(2))) - 1).cast("int")))).otherwise(F.array(F.weekday(start)))
-    weekly = F.flatten(F.transform(_every(monday, end, r["step"] * 7), lambda w: F.transform(F.filter(week_days, lambda d: d >= 0), lambda d: F.date_add(w, d))))
+    weekly = let(F.filter(week_days, lambda d: d >= 0), lambda days: F.flatten(F.transform(_every(monday, end, r["step"] * 7), lambda w: F.transform(days, lambda d: F.date_add(w, d)))))
     month = F.trunc(start, "month")
     months = F.floor(F.months_between(F.trunc(end, "month"), month) / r["step"]).cast("int")
     starts = F.when(months >= 0, F.transform(F.sequence(F.lit(0), months), lambda i: F.add_months(month, i * r["step"]))).otherwise(F.array().cast("array<date>"))
-    monthly = F.flatten(F.transform(starts, lambda m: _monthly(m, F.day(start), r["days"])))
+    # Tokens are read once a rule, not once a month.
+    monthly = let(F.transform(r["days"], _token), lambda tokens: F.flatten(F.transform(starts, lambda m: _monthly(m, F.day(start), tokens))))
     found = F.when(r["freq"] == "DAILY", _every(start, end, r["step"])).when(r["freq"] == "WEEKLY", weekly).when(r["freq"] == "MONTHLY", monthly).otherwise(F.array().cast("array<date>"))
     found = F.filter(found, lambda d: (d >= start) & (d <= end))
     counted = F.when(r["count"].isNotNull() & (r["count"] > 0), F.slice(found, F.lit(1), F.greatest(r["count"], F.lit(1)))).otherwise(found)
