@@ -141,8 +141,8 @@ class Done(ds.WriterCommitMessage):
 
 
 class Writer(ds.DataSourceArrowWriter):
-    def __init__(self, folder: str, overwrite: bool):
-        self.folder, self.overwrite = folder, overwrite
+    def __init__(self, folder: str, overwrite: bool, in_order: bool = False):
+        self.folder, self.overwrite, self.in_order = folder, overwrite, in_order
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Done:
         fs, root = _files(self.folder)
@@ -167,6 +167,9 @@ class Writer(ds.DataSourceArrowWriter):
                 sizes[key] += pc.sum(own["size"]).as_py() or 0
                 if sizes[key] >= PART:
                     flush(key)
+            # Of rows in the order of their keys, only the last key can go on.
+            for key in [k for k in held if self.in_order and table.num_rows and k != tuple(table[n][-1].as_py() for n in KEYS)]:
+                flush(key)
             while sum(sizes.values()) >= HELD:
                 flush(max(sizes, key=sizes.get))
         for key in list(held):
@@ -199,7 +202,7 @@ class Landed(ds.DataSource):
         return Reader(self.options["path"], schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> Writer:
-        return Writer(self.options["path"], overwrite)
+        return Writer(self.options["path"], overwrite, self.options.get("inorder") == "true")
 
 
 def register(spark: SparkSession) -> None:
@@ -218,7 +221,7 @@ def land(rows: DataFrame, folder: str, mode: str = "append") -> None:
     register(rows.sparkSession)
     keys = [k for k in KEYS if k in rows.columns]
     names = [n for n in _TYPES if n in rows.columns]
-    rows.select(*names).sortWithinPartitions(*keys).write.format("landed").mode(mode).save(folder)
+    rows.select(*names).sortWithinPartitions(*keys).write.format("landed").option("inorder", "true").mode(mode).save(folder)
 
 
 def sweep(folder: str) -> int:
