@@ -82,8 +82,12 @@ def _once(rows: DataFrame, key: list[str]) -> DataFrame:
 # --- HTML shapes
 
 
+def _html(raw: DataFrame) -> DataFrame:
+    return raw.select("doc", F.col("body").alias("html"))
+
+
 def _pages(raw: DataFrame) -> DataFrame:
-    return H.elements(raw.select("doc", F.col("body").alias("html")))
+    return H.elements(_html(raw))
 
 
 def heading_dated(raw: DataFrame, as_of: dt.date, town: str | None = None, category: str | None = None) -> DataFrame:
@@ -182,14 +186,12 @@ def sale_listing(raw: DataFrame, as_of: dt.date, base: str = "", department: str
 
 def place_cards(raw: DataFrame, as_of: dt.date, base: str = "", town: str = "Nice") -> DataFrame:
     """Cards with machine-readable days and hours, a line for the place and chips for festival and genre."""
-    k, has, text = X.PLACE_CARD, H.has_class, F.nullif(F.col("text"), F.lit(""))
-    e = H.within(_pages(raw), has(k["block"])).where("block is not null")
-    day = F.when(F.col("datetime").rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring("datetime", 1, 10)))
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("pos", c.alias("v"))))), lambda x: x["v"])
-    chip = F.when(has(k["chip"]), F.nullif(F.regexp_replace("text", r"[,\s]+$", ""), F.lit("")))
-    c = e.groupBy("doc", "block").agg(
-        H.first_in(text, has(k["title"])).alias("title"), H.first_in(F.col("href"), has(k["title"])).alias("href"), H.first_in(day, F.lit(True)).alias("start"), F.max_by(day, F.when(day.isNotNull(), F.col("pos"))).alias("last"),
-        H.first_in(F.col("datetime"), F.col("datetime").rlike(r"^\d{2}:\d{2}$")).alias("time"), H.first_in(text, has(k["place"])).alias("place"), in_order(chip).alias("chips"))
+    k, has, text = X.PLACE_CARD, H.says_class, lambda x: F.nullif(x["text"], F.lit(""))
+    day = lambda x: F.when(x["datetime"].rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(x["datetime"], 1, 10)))
+    chip = lambda x: F.nullif(F.regexp_replace(x["text"], r"[,\s]+$", ""), F.lit(""))
+    c = H.blocks(_html(raw), class_=k["block"]).select("doc", "block", H.first_inside(text, has(k["title"])).alias("title"), H.first_inside(lambda x: x["href"], has(k["title"])).alias("href"), H.all_inside(day).alias("days"),
+        H.first_inside(lambda x: x["datetime"], lambda x: x["datetime"].rlike(r"^\d{2}:\d{2}$")).alias("time"), H.first_inside(text, has(k["place"])).alias("place"), H.all_inside(chip, has(k["chip"])).alias("chips"))
+    c = c.withColumns({"start": F.get("days", F.lit(0)), "last": F.try_element_at("days", F.lit(-1))})
     place, said = F.nullif(F.trim(F.replace("place", F.lit("Lieu :"), F.lit(""))), F.lit("")), F.lower(F.array_join("chips", " "))
     told = F.filter("chips", lambda x: ~F.lower(x).isin(X.EMPTY_CHIPS))
     out = c.where("title is not null and start is not null").select(
@@ -202,15 +204,14 @@ def place_cards(raw: DataFrame, as_of: dt.date, base: str = "", town: str = "Nic
 def genre_cards(raw: DataFrame, as_of: dt.date, base: str = "", town: str = "Nice", path: str = "/evenement/", restricted: str | None = None, excluded: DataFrame | None = None) -> DataFrame:
     """Linked cards with dates, venue and genre in parts of their own; a link without them is a picture's. Of the ``restricted`` venue's
     rows those on the list of excluded links go, or all where that list could not be read (None)."""
-    k, has, text = X.GENRE_CARD, H.has_class, F.nullif(F.col("text"), F.lit(""))
-    e = H.within(_pages(raw), (F.col("tag") == "a") & F.col("href").startswith(path)).where("block is not null")
-    c = e.groupBy("doc", "block").agg(
-        F.min_by("href", "pos").alias("href"), F.bool_or(has(k["info"])).alias("info"), H.first_in(F.col("text"), has(k["date"])).alias("dates"), H.first_in(F.nullif("alt", F.lit("")), F.col("tag") == "img").alias("alt"),
-        H.first_in(text, F.col("tag") == "h2").alias("head"), H.first_in(text, has(k["venue"])).alias("venue"), H.first_in(text, has(k["genre"])).alias("genre"))
+    k, has, text = X.GENRE_CARD, H.says_class, lambda x: F.nullif(x["text"], F.lit(""))
+    c = H.blocks(_html(raw), tag="a", href=path).where(F.exists("inside", has(k["info"]))).select("doc", "block", F.get("inside", F.lit(0))["href"].alias("href"),
+        H.first_inside(lambda x: x["text"], has(k["date"])).alias("dates"), H.first_inside(lambda x: F.nullif(x["alt"], F.lit("")), lambda x: x["tag"] == "img").alias("alt"),
+        H.first_inside(text, lambda x: x["tag"] == "h2").alias("head"), H.first_inside(text, has(k["venue"])).alias("venue"), H.first_inside(text, has(k["genre"])).alias("genre"))
     days = F.transform(F.regexp_extract_all("dates", F.lit(r"(\d{2}/\d{2}/\d{4})"), F.lit(1)), lambda d: F.try_to_date(d, "dd/MM/yyyy"))
     title = F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("alt", "head"), r"\s+", " "), r"…+\s*$", "")), F.lit(""))
     href = F.regexp_replace(F.split_part("href", F.lit("?"), F.lit(1)), "/+$", "")
-    out = c.where("info").select("doc", F.col("block").alias("pos"), title.alias("title"), F.try_element_at(days, F.lit(1)).alias("start"), F.try_element_at(days, F.lit(2)).alias("end"), F.lit(town).alias("town"), "venue", C.genre_category(F.col("genre")).alias("category"), href.alias("url"), F.col("genre").alias("note"))
+    out = c.select("doc", F.col("block").alias("pos"), title.alias("title"), F.try_element_at(days, F.lit(1)).alias("start"), F.try_element_at(days, F.lit(2)).alias("end"), F.lit(town).alias("town"), "venue", C.genre_category(F.col("genre")).alias("category"), href.alias("url"), F.col("genre").alias("note"))
     out = _once(out, ["url"]).where("title is not null and start is not null")
     if restricted is not None:
         there = F.coalesce(F.lower("venue").contains(restricted.lower()), F.lit(False))

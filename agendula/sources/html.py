@@ -6,8 +6,12 @@ The tree walk has no native form, so it runs over Arrow batches, one page at a t
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from functools import partial
+from html import unescape
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -24,32 +28,53 @@ CARD_TEXT, ABOVE = 4000, 8
 ELEMENTS = "doc long, pos int, last int, depth int, parent int, card int, around int, digest string, above array<int>, tag string, id string, class string, href string, datetime string, alt string, text string"
 
 
+_SPACE = re.compile(r"\s+", re.ASCII)
+#: One token of plain markup: text, an end, a start with its quoted attributes, a comment. Other markup is the standard parser's.
+_TOKEN = re.compile(r'''([^<\x00]+)|</([a-z][a-z0-9]*)>|<([a-z][a-z0-9]*)((?:[ \n]+[a-z][a-z0-9-]*="[^"&<>\x00]*")*)[ \n]*(/?)>|<!--[^-<>&\x00]*-->|<!DOCTYPE html>''')
+_ATTRIBUTE = re.compile(r'''([a-z][a-z0-9-]*)="([^"]*)"''')
+#: Elements whose content the standard parser reads in a way of its own.
+_RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "noscript", "xmp", "plaintext", "svg", "math"}
+
+
 class _Tree(HTMLParser):
     """Elements in document order with their whole text; each with the places of its parent, of the nearest elements above and of the last element in it.
 
     An element's digest is taken when it ends, of its tag and attributes, its own texts and the digests of what stands in it, in their order: equal
-    digests are equal contents.
+    digests are equal contents. Shown texts are kept once; an element's are those from its begin to its end.
     """
 
-    def __init__(self):
+    def __init__(self, digests: bool = True):
         super().__init__(convert_charrefs=True)
+        self.digests = digests
         self.rows: list[dict] = []
         self.open: list[int] = []
+        self.shown: list[str] = []
+        self.hidden = 0
 
     def _end(self, at: int) -> None:
         """End the open elements from the ``at``-th on, the innermost first."""
         for i in reversed(self.open[at:]):
             r = self.rows[i]
-            r["digest"] = hashlib.blake2b("\x1f".join(r.pop("parts")).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+            r["text"] = " ".join(" ".join(self.shown[r["text"] :]).split())
+            self.hidden -= r["tag"] in HIDDEN
+            r["last"] = max(i, r["last"])
+            if self.digests:
+                r["digest"] = hashlib.blake2b("\x1f".join(r.pop("parts")).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
             if r["parent"] is not None:
-                self.rows[r["parent"]]["parts"].append("\x1e" + r["digest"])
+                up = self.rows[r["parent"]]
+                up["last"] = max(up["last"], r["last"])
+                if self.digests:
+                    up["parts"].append("\x1e" + r["digest"])
         del self.open[at:]
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        parts = [tag, *[f"\x1d{k}\x1d{v}" for k, v in attrs]]
-        self.rows.append({"tag": tag, "parent": self.open[-1] if self.open else None, "depth": len(self.open), "text": [], "parts": parts, "id": a.get("id"), "class": a.get("class"), "href": a.get("href"), "datetime": a.get("datetime"), "alt": a.get("alt")})
+        r = {"tag": tag, "parent": self.open[-1] if self.open else None, "depth": len(self.open), "last": 0, "text": len(self.shown), "id": a.get("id"), "class": a.get("class"), "href": a.get("href"), "datetime": a.get("datetime"), "alt": a.get("alt")}
+        if self.digests:
+            r["parts"] = [tag, *[f"\x1d{k}\x1d{v}" for k, v in attrs]]
+        self.rows.append(r)
         self.open.append(len(self.rows) - 1)
+        self.hidden += tag in HIDDEN
         if tag in VOID:
             self._end(len(self.open) - 1)
 
@@ -66,15 +91,42 @@ class _Tree(HTMLParser):
 
     def handle_data(self, data):
         if self.open:
-            self.rows[self.open[-1]]["parts"].append(data)
-            if not any(self.rows[i]["tag"] in HIDDEN for i in self.open):
-                for i in self.open:
-                    self.rows[i]["text"].append(data)
+            if self.digests:
+                self.rows[self.open[-1]]["parts"].append(data)
+            if not self.hidden:
+                self.shown.append(data)
 
     def close(self):
         super().close()
         self._end(0)
 
+    def plain(self, html: str) -> bool:
+        """Walk markup that is all plain tokens, as the standard parser would; False if it is not."""
+        at = 0
+        for m in _TOKEN.finditer(html):
+            if m.start() != at:
+                return False
+            at, kind = m.end(), m.lastindex
+            if kind == 1:
+                data = m[1]
+                if "&" in data:
+                    if at == len(html):
+                        return False
+                    data = unescape(data)
+                self.handle_data(data)
+            elif kind == 2:
+                self.handle_endtag(m[2])
+            elif kind:
+                tag = m[3]
+                if tag in _RAW:
+                    return False
+                attrs = _ATTRIBUTE.findall(m[4])
+                if m[5]:
+                    self.handle_startendtag(tag, attrs)
+                else:
+                    self.handle_starttag(tag, attrs)
+        return at == len(html)
+
 
 def _card(rows: list[dict], i: int | None) -> int | None:
     """The element itself or the nearest around it that can be a card, if its text is short enough."""
@@ -85,31 +137,46 @@ def _card(rows: list[dict], i: int | None) -> int | None:
     return None
 
 
-def parse(html: str | None) -> list[dict]:
-    tree = _Tree()
-    tree.feed(html or "")
+def _walk(html: str | None, digests: bool = True) -> list[dict]:
+    """Elements in document order with all that follows from the walk alone."""
+    tree = _Tree(digests)
+    if not tree.plain(html or ""):
+        tree = _Tree(digests)
+        tree.feed(html or "")
     tree.close()
-    for r in tree.rows:
-        r["text"] = " ".join(" ".join(r["text"]).split())
-    for i, r in enumerate(tree.rows):
-        r["pos"], r["last"], r["card"], r["around"] = i, i, _card(tree.rows, i), _card(tree.rows, r["parent"])
-        r["above"] = [] if r["parent"] is None else [r["parent"], *tree.rows[r["parent"]]["above"][: ABOVE - 1]]
-        r["digest"] = r["digest"] if r["tag"] in CARDS else None
-    for r in reversed(tree.rows):
-        if r["parent"] is not None:
-            up = tree.rows[r["parent"]]
-            up["last"] = max(up["last"], r["last"])
     return tree.rows
 
 
+def parse(html: str | None) -> list[dict]:
+    rows = _walk(html)
+    for i, r in enumerate(rows):
+        r["pos"], r["card"], r["around"] = i, _card(rows, i), _card(rows, r["parent"])
+        r["above"] = [] if r["parent"] is None else [r["parent"], *rows[r["parent"]]["above"][: ABOVE - 1]]
+        r["digest"] = r["digest"] if r["tag"] in CARDS else None
+    return rows
+
+
+def _in_batches(batches: Iterator[pa.RecordBatch], one, room: int = 4_000_000) -> Iterator[tuple[list[int], list]]:
+    """What ``one`` makes of each document, with the document's number once an item, for some ``room`` characters at a time."""
+    docs, items, held = [], [], 0
+    for batch in batches:
+        for doc, html in zip(batch["doc"].to_pylist(), batch["html"].to_pylist(), strict=True):
+            found = one(html)
+            docs += [doc] * len(found)
+            items += found
+            held += len(html or "")
+            if held > room:
+                yield docs, items
+                docs, items, held = [], [], 0
+    if items:
+        yield docs, items
+
+
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["pos", "last", "depth", "parent", "card", "around", "digest", "above", "tag", "id", "class", "href", "datetime", "alt", "text"]
     kinds = [pa.int32()] * 6 + [pa.string()] + [pa.list_(pa.int32())] + [pa.string()] * 7
-    for batch in batches:
-        for doc, html in zip(batch["doc"].to_pylist(), batch["html"].to_pylist(), strict=True):
-            rows = parse(html)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(rows), pa.int64()), *[pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)]], ["doc", *names])
+    for docs, rows in _in_batches(batches, parse):
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *[pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)]], ["doc", *names])
 
 
 def elements(pages: DataFrame) -> DataFrame:
@@ -117,6 +184,60 @@ def elements(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("doc").cast("long").alias("doc"), "html").mapInArrow(_elements, ELEMENTS)
 
 
+_INSIDE = ("tag", "classes", "href", "datetime", "alt", "text")
+
+
+def _blocks(html: str | None, begins: Callable[[dict], bool]) -> list[tuple[int, list[dict]]]:
+    """Blocks (place, elements) of a page as :func:`within` tells them."""
+    out, last = [], -1
+    for i, r in enumerate(_walk(html, digests=False)):
+        r["classes"] = None if r["class"] is None else f" {_SPACE.sub(' ', r['class'])} "
+        if begins(r):
+            last = r["last"]
+            out.append((i, []))
+        if i <= last:
+            out[-1][1].append(r)
+    return out
+
+
+def _begins(r: dict, class_: str | None, tag: str | None, href: str) -> bool:
+    return (class_ is None or f" {class_} " in (r["classes"] or "")) and (tag is None or r["tag"] == tag) and (not href or (r["href"] or "").startswith(href))
+
+
+def blocks(pages: DataFrame, class_: str | None = None, tag: str | None = None, href: str = "") -> DataFrame:
+    """Pages (doc, html) to a row a block (doc, block, inside): the elements of each that has the class, the tag and the begin of a link, in order.
+
+    Blocks are those of :func:`within`. A page's blocks are put together where it is walked, so no element is shuffled.
+    """
+    one = partial(_blocks, begins=partial(_begins, class_=class_, tag=tag, href=href))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, found in _in_batches(batches, one):
+            ends = list(accumulate((len(x) for _, x in found), initial=0))
+            inside = [r for _, x in found for r in x]
+            struct = pa.StructArray.from_arrays([pa.array([r[n] for r in inside], pa.string()) for n in _INSIDE], _INSIDE)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([i for i, _ in found], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)], ["doc", "block", "inside"])
+
+    inside = ", ".join(f"{n}: string" for n in _INSIDE)
+    return pages.select(F.col("doc").cast("long").alias("doc"), "html").mapInArrow(rows, f"doc long, block int, inside array<struct<{inside}>>")
+
+
+def says_class(name: str) -> Callable[[Column], Column]:
+    """Whether an element inside a block has the class."""
+    return lambda x: F.coalesce(x["classes"].contains(f" {name} "), F.lit(False))
+
+
+def all_inside(value: Callable[[Column], Column], where: Callable[[Column], Column] | None = None) -> Column:
+    """The values, in order, of the elements inside a block that hold, without nulls."""
+    found = F.filter("inside", where) if where else F.col("inside")
+    return F.filter(F.transform(found, value), lambda v: v.isNotNull())
+
+
+def first_inside(value: Callable[[Column], Column], where: Callable[[Column], Column] | None = None) -> Column:
+    """As :func:`first_in`, of the elements inside a block."""
+    return F.get(all_inside(value, where), F.lit(0))
+
+
 def visible_text(html: Column, references: dict[str, str] | None = None) -> Column:
     """Text without markup, scripts and styles. ``references``: the only ones read, whole and in this order, by what they stand for; else all
     that a browser reads, those cut short too."""
