@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
-from .titles import kept_titles
+from .titles import folded, kept_titles, titled
+
+#: Buckets in which the rows of a batch are counted, and how many beyond twice the mean make one crowded.
+BUCKETS, CROWD = 1 << 16, 1 << 17
 
 
 def blank_to_null(c: str) -> Column:
@@ -38,27 +41,50 @@ def better_title(old: Column, new: Column) -> Column:
     return F.when(turned | (T.title_penalty(new) < T.title_penalty(old)), new).otherwise(old)
 
 
-def merge_snapshot(stored: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("fingerprint"), F.lit(BUCKETS)).cast("int")
+
+
+def crowded(batch: DataFrame, crowd: int = CROWD) -> list[int]:
+    """Buckets of events with far more rows than the others, so that an event of very many rows lies in one of them."""
+    sizes = batch.groupBy(_bucket().alias("bucket")).count()
+    return sorted(r["bucket"] for r in sizes.crossJoin(F.broadcast(sizes.agg(F.sum("count").alias("all")))).where(F.col("count") > crowd + 2 * F.col("all") / BUCKETS).select("bucket").collect())
+
+
+def merge_snapshot(stored: DataFrame, batch: DataFrame, now: Column, crowd: int = CROWD) -> DataFrame:
     """The stored snapshot with a batch (normalised events plus ``seq``, their order) merged in, field by field.
 
     Within a fingerprint the stored row comes first, then the batch by ``seq``. An event of the row's own source may clear its end
     and its free flag and replace its url; others only add. ``added`` and ``merged`` tell what became of the row.
 
-    Rows are first aggregated by fingerprint and source, before they are shuffled; the owner is the source that came first, so an event's
-    fields then follow from one row a source.
+    Rows are dealt by fingerprint once, and everything follows where they lie. Events in crowded buckets (the batch is counted first) are aggregated by
+    fingerprint and source before they are shuffled, and their titles are dealt by ranges: no task holds such an event.
     """
     cols = [c for c in stored.columns if c not in ("fingerprint", "sources", "first_seen", "last_seen")]
     old = stored.select("fingerprint", *cols, "sources", "first_seen", F.col("last_seen"), F.lit(-1).cast(batch.schema["seq"].dataType).alias("seq"))
-    new = batch.select("fingerprint", *cols, F.array("source").alias("sources"), now.alias("first_seen"), now.alias("last_seen"), "seq")
-    rows = old.unionByName(new)
-
+    new = batch.select("fingerprint", *cols, "seq")
+    # What follows from a row is added where it has come.
+    whole = lambda r: r.withColumns({c: F.when(F.col("seq") < 0, F.col(c)).otherwise(v) for c, v in {"sources": F.array("source"), "first_seen": now, "last_seen": now}.items()})
+    rows, many = old.unionByName(new, allowMissingColumns=True), crowded(batch, crowd)
+    few = rows.where(~_bucket().isin(many)) if many else rows
+    few = whole(few.repartition("fingerprint")).withColumn("titled", titled(F.col("seq"), F.col("title")))
+    out = _merged(few, [F.collect_list("titled").alias("titles")], {"title": folded(F.flatten(F.col("by")["titles"]))})
+    if many:
+        rows = whole(rows.where(_bucket().isin(many)))
+        out = out.unionByName(_merged(rows, [], {}).join(kept_titles(rows), "fingerprint", "left").select(out.columns))
+    return out.select(*stored.columns, "added", "merged")
+
+
+def _merged(rows: DataFrame, more: list[Column], more_fields: dict[str, Column]) -> DataFrame:
+    """One row a fingerprint, of one entry a source; ``more`` is aggregated by source too, and ``more_fields`` follow from the entries. The owner is the
+    source that came first."""
     at = lambda c: F.when(F.col(c).isNotNull(), F.struct("seq", F.col(c).alias("value")))
     long = lambda c: F.when(F.col(c).isNotNull(), F.struct((-F.length(c)).alias("size"), "seq", F.col(c).alias("value")))
     kept = ["source", "town", "category", "start", "online", "submitted_by", "approved", "first_seen"]
     by_source = rows.groupBy("fingerprint", "source").agg(
         F.min("seq").alias("from"), F.max("seq").alias("to"), F.min(F.struct("seq", *kept)).alias("first"), F.count(F.lit(1)).alias("n"), F.bool_or("outdoor").alias("outdoor"), F.max("last_seen").alias("last_seen"), F.collect_set("sources").alias("sources"),
         F.max(F.struct("seq", F.col("end").alias("value"))).alias("any_end"), F.max(at("end")).alias("some_end"), F.max(F.struct("seq", F.col("free").alias("value"))).alias("any_free"), F.max(F.when(F.col("free"), F.col("seq"))).alias("some_free"),
-        F.max(at("url")).alias("last_url"), F.min(at("url")).alias("first_url"), *[F.max(at(c)).alias(c) for c in ("time", "price", "image")], *[F.min(long(c)).alias(c) for c in ("venue", "note")],
+        F.max(at("url")).alias("last_url"), F.min(at("url")).alias("first_url"), *[F.max(at(c)).alias(c) for c in ("time", "price", "image")], *[F.min(long(c)).alias(c) for c in ("venue", "note")], *more,
     )
     # One entry a source, the owner's first.
     each = by_source.groupBy("fingerprint").agg(F.sort_array(F.collect_list(F.struct("from", *[c for c in by_source.columns if c not in ("fingerprint", "source", "from")]))).alias("by"))
@@ -75,8 +101,7 @@ def merge_snapshot(stored: DataFrame, batch: DataFrame, now: Column) -> DataFram
         "added": F.col("own.from") >= 0,
         "merged": F.aggregate(F.col("by")["n"], F.lit(0).cast("long"), lambda a, n: a + n) - 1,
     }
-    out = each.select("fingerprint", *[c.alias(name) for name, c in fields.items()])
-    return out.join(kept_titles(rows), "fingerprint", "left").select(*stored.columns, "added", "merged")
+    return each.select("fingerprint", *[c.alias(name) for name, c in (fields | more_fields).items()])
 
 
 def collapse_venue_duplicates(events: DataFrame) -> DataFrame:

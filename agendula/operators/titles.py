@@ -4,6 +4,8 @@ A title wins that says cancelled where the other does not, or that has a smaller
 titles does to the title before it is therefore a table of sixteen answers, and the tables of two neighbouring runs give that of both.
 Titles are dealt by ranges of (fingerprint, seq), so one event's titles may lie in many tasks; runs of ``2^RUN`` rows become tables
 there, then runs of tables, and no task holds an event's titles.
+
+That costs several exchanges of all titles, so it is for events of very many rows; of others :func:`folded` takes the list at once.
 """
 
 from __future__ import annotations
@@ -63,6 +65,18 @@ def _composed(tables: Column) -> Column:
     return F.aggregate(rest, F.get(tables, F.lit(0)), lambda acc, t: F.transform(acc, lambda a: _then(a, t)))
 
 
+def titled(seq: Column, title: Column) -> Column:
+    """What :func:`folded` asks of a title; null for none."""
+    at = lambda cls: F.struct(seq.alias("seq"), F.get(F.array(*[F.lit(1 << i) for i in range(2 * len(PENALTIES))]), cls).alias("bit"), _beaten(cls).alias("beaten"), title.alias("title"))
+    return F.when(title.isNotNull(), T.let(title_class(title), at))
+
+
+def folded(items: Column) -> Column:
+    """The title that is left of the whole list of an event's titles (:func:`titled`), taken in turn; null of none."""
+    one = lambda held, x: F.when(x["beaten"].bitwiseAND(held["bit"]) != 0, x).otherwise(held)
+    return T.let(F.sort_array(items), lambda xs: F.aggregate(F.slice(xs, F.lit(2), F.size(xs)), F.get(xs, F.lit(0)), one))["title"]
+
+
 def kept_titles(rows: DataFrame, run: int = RUN, runs: int = RUNS) -> DataFrame:
     """(fingerprint, title) of (fingerprint, seq, title): what is left when every title in turn meets the one kept so far. Null titles take no part."""
     r = rows.where("title is not null").select("fingerprint", "seq", "title")

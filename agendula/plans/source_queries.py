@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import shared_dir
+from ..lineage import cut, shared_dir
 from ..operators import resolve
 from ..sources import adapters, landed
 from ..streaming.store import Store
@@ -113,12 +113,18 @@ def stored_merge(spark, folder):
     # A part's event has one day, so that its bucket stays.
     rows = rows.withColumn("early", early).withColumn("start", F.date_add(F.lit(LONG_AGO), (F.col("fingerprint").cast("long") % 2000).cast("int")))
     store = Store(spark, f"{shared_dir(spark)}/agendula/store-{uuid.uuid4().hex}", 16)
-    counts = None
+    counts = []
     for first in (True, False):
         batch = rows.where("early" if first else "not early").drop("early")
         touched = {r["b"] for r in batch.select(store.bucket().alias("b")).distinct().collect()}
-        if not first:
-            counts = resolve.merge_snapshot(store.read(1).drop("bucket"), batch, now).select("fingerprint", "added", "merged")
-        store.rewrite(touched, lambda stored, batch=batch: resolve.merge_snapshot(stored, batch, now).drop("added", "merged"))
-    out = store.read().join(counts, "fingerprint")
+
+        def change(stored: DataFrame, batch=batch) -> DataFrame:
+            # Merged once: the store takes the events, the result what became of them.
+            merged = cut(resolve.merge_snapshot(stored, batch, now), "merged")
+            counts[:] = [merged.select("fingerprint", "added", "merged")]
+            return merged.drop("added", "merged")
+
+        store.rewrite(touched, change)
+    # Events in buckets that the last batch left alone were met by nothing.
+    out = store.read().join(counts[0], "fingerprint", "left").fillna({"added": False, "merged": 0})
     return out.select(F.col("fingerprint").cast("long").alias("id"), "title", "source", "end", "url", "venue", "note", "free", "outdoor", "sources", "added", "merged")
