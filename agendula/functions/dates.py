@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as X
+from .text import let
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
@@ -62,25 +63,39 @@ def parse_time(text: Column) -> Column:
     )
 
 
+def ics_moment(value: Column, zone: str = X.TIME_ZONE) -> Column:
+    """Struct (day, clock), the local date and HH:MM or null, of a calendar value; UTC is converted, midnight means no time. Null for what is no value."""
+
+    def timed(s: Column, day: Column) -> Column:
+        moment = F.concat(day, F.lit(" "), F.substring(s, 10, 2), F.lit(":"), F.substring(s, 12, 2), F.lit(":00")).try_cast("timestamp_ntz")
+        local = F.when(s.rlike(X.CALENDAR_UTC), F.convert_timezone(F.lit("UTC"), F.lit(zone), moment)).otherwise(moment)
+        return let(local, lambda m: F.struct(F.to_date(m).alias("day"), F.nullif(F.date_format(m, "HH:mm"), F.lit("00:00")).alias("clock")))
+
+    def whole(s: Column) -> Column:
+        day = F.concat(F.substring(s, 1, 4), F.lit("-"), F.substring(s, 5, 2), F.lit("-"), F.substring(s, 7, 2))
+        return F.when(s.rlike(X.CALENDAR_CLOCK), timed(s, day)).when(s.rlike(X.CALENDAR_DAY), F.struct(day.try_cast("date").alias("day"), F.lit(None).cast("string").alias("clock")))
+
+    return let(F.trim(value), whole)
+
+
 def ics_datetime(value: Column, zone: str = X.TIME_ZONE) -> tuple[Column, Column]:
-    """(local date, HH:MM or null) of a calendar value; UTC is converted, midnight means no time."""
-    s = F.trim(value)
-    get = lambda i: F.regexp_extract(s, X.CALENDAR_MOMENT, i)
-    day = F.when(s.rlike(X.CALENDAR_MOMENT), _date(_int(get(1)), _int(get(2)), _int(get(3))))
-    timed = get(4) != ""
-    moment = F.try_to_timestamp(F.concat_ws(" ", day.cast("string"), F.concat(get(4), F.lit(":"), get(5), F.lit(":00"))), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
-    local = F.when(get(6) == "Z", F.convert_timezone(F.lit("UTC"), F.lit(zone), moment)).otherwise(moment)
-    clock = F.date_format(local, "HH:mm")
-    return F.when(day.isNotNull() & timed, F.to_date(local)).otherwise(day), F.when(timed & (clock != "00:00"), clock)
+    """(local date, HH:MM or null) of a calendar value."""
+    moment = ics_moment(value, zone)
+    return moment["day"], moment["clock"]
 
 
 def ics_end(start: Column, end: Column, zone: str = X.TIME_ZONE, coarse: bool = False) -> Column:
     """Last day to show, or null for one day. A bare end date is exclusive; an end before dawn belongs to its evening (``coarse``: any hour)."""
-    first, (last, clock) = ics_datetime(start, zone)[0], ics_datetime(end, zone)
-    bare = ~F.upper(end).contains("T")
-    dawn = F.lit(True) if coarse else clock.isNull() | (clock < "06:00")
-    shown = F.when(bare, F.date_sub(last, 1)).when((F.datediff(last, first) == 1) & dawn, first).otherwise(last)
-    return F.when(shown > first, shown)
+
+    def shown(first: Column, last: Column, clock: Column) -> Column:
+        dawn = F.lit(True) if coarse else clock.isNull() | (clock < "06:00")
+        return F.when(~F.upper(end).contains("T"), F.date_sub(last, 1)).when((F.datediff(last, first) == 1) & dawn, first).otherwise(last)
+
+    def later(m: Column) -> Column:
+        return let(shown(m["first"]["day"], m["last"]["day"], m["last"]["clock"]), lambda day: F.when(day > m["first"]["day"], day))
+
+    # Most entries have no end.
+    return F.when(end.isNotNull(), let(F.struct(ics_moment(start, zone).alias("first"), ics_moment(end, zone).alias("last")), later))
 
 
 def paris_offset(day: Column, zone: str = X.TIME_ZONE) -> Column:

@@ -97,10 +97,15 @@ def excluded_days(exdate: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(exdate, F.lit("")), ","), lambda t: F.try_to_date(F.substring(F.trim(t), 1, 8), "yyyyMMdd")), lambda d: d.isNotNull())
 
 
-def resolve_overrides(rows: DataFrame) -> DataFrame:
-    """Rows (feed, feed_rank, seq, fingerprint, is_override): one a fingerprint. In a feed the first override, else the first row; of feeds the first."""
+def resolve_overrides(rows: DataFrame, ranked: bool = False) -> DataFrame:
+    """Rows (feed, feed_rank, seq, fingerprint, is_override): one a fingerprint. In a feed the first override, else the first row; of feeds the first.
+
+    ``ranked``: no two feeds have one rank, so that one order says both and rows are shuffled once.
+    """
     from .sequences import first_of
 
+    if ranked:
+        return first_of(rows, ["fingerprint"], ["feed_rank", F.desc("is_override"), "seq"])
     own = first_of(rows, ["feed", "fingerprint"], [F.desc("is_override"), "seq"])
     return first_of(own, ["fingerprint"], ["feed_rank", "seq"])
 

@@ -382,7 +382,7 @@ def submissions(raw: DataFrame, as_of: dt.date) -> DataFrame:
 def calendar(raw: DataFrame, as_of: dt.date, town: str | None = None, category: str | None = None, expand: bool = True, coarse: bool = False) -> DataFrame:
     """Calendar feeds; each document is a feed, in their order."""
     feeds = raw.select(F.col("doc").alias("feed"), F.col("doc").alias("feed_rank"), "source", "body", "url").withColumns({"town": F.lit(town).cast("string"), "category": F.lit(category).cast("string")})
-    e = ics.events(feeds, as_of, expand, coarse)
+    e = ics.events(feeds, as_of, expand, coarse, ranked=True)
     return e.withColumns({"doc": F.col("feed"), "pos": F.col("seq").cast("long") * 1_000_000 + F.least(F.greatest(F.datediff("start", F.lit(as_of)) + 300_000, F.lit(0)), F.lit(999_999))})
 
 
